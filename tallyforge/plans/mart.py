@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,10 +141,8 @@ def calendar(spark: SparkSession) -> DataFrame:
 
 
 def dimensions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Dimension tables; those made from ``range`` have a fixed number of rows."""
+    """Dimensions that grow with the given tables."""
     get = lambda name: table(spark, sf_dir, name)
-    k = c("sk")
-    keys = lambda n: spark.range(n).select(c("id").alias("sk"))
     text = lambda prefix, col: F.concat(F.lit(prefix), col.cast("string"))
     places = get("nation").join(F.broadcast(get("region")), c("n_regionkey") == c("r_regionkey"))
     n = c("n_nationkey").cast("long")
@@ -178,8 +177,16 @@ def dimensions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         (p % 50).alias("manager_id"), price.alias("current_price"),
         cents(price * F.lit("0.6").cast("decimal(2,1)")).alias("wholesale_cost"),
         pick(UNITS, p % 4).alias("units"), pick(SIZES, F.floor(p / 4) % 4).alias("size"))
+    return {"customer_address": address, "store": store, "customer": customer, "item": item}
+
+
+def fixed_dimensions(spark: SparkSession) -> dict[str, DataFrame]:
+    """Dimensions with a fixed number of rows; never stored, always small enough to broadcast."""
+    k = c("sk")
+    keys = lambda n: spark.range(n).select(c("id").alias("sk"))
+    text = lambda prefix, col: F.concat(F.lit(prefix), col.cast("string"))
     return {
-        "date_dim": calendar(spark), "customer_address": address, "store": store, "customer": customer, "item": item,
+        "date_dim": calendar(spark),
         "time_dim": keys(1440).select(
             k.cast("int").alias("time_sk"), F.floor(k / 60).alias("hour"), (k % 60).alias("minute"),
             F.when(k < 720, "AM").otherwise("PM").alias("am_pm"),
@@ -241,12 +248,20 @@ def load_star_schema(spark: SparkSession, sf_dir: str, target: str) -> None:
     tasks and merge small ones, so neither a hot month nor a small test writes badly.
     """
     lines = line_facts(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
-    spread(sales_fact(lines), FACTS["sales"]).write.partitionBy(*FACTS["sales"]).parquet(f"{target}/sales")
-    spread(returns_fact(lines), FACTS["returns"]).write.partitionBy(*FACTS["returns"]).parquet(f"{target}/returns")
-    sales = spark.read.parquet(f"{target}/sales")
-    spread(inventory_fact(sales), FACTS["inventory"]).write.partitionBy("month").parquet(f"{target}/inventory")
-    for name, frame in dimensions(spark, sf_dir).items():
-        frame.hint("rebalance").write.parquet(f"{target}/{name}")
+    small = dimensions(spark, sf_dir)
+
+    def write(name: str) -> None:
+        if name in small:
+            small[name].hint("rebalance").write.parquet(f"{target}/{name}")
+        elif name == "returns":
+            spread(returns_fact(lines), FACTS[name]).write.partitionBy(*FACTS[name]).parquet(f"{target}/{name}")
+        else:  # inventory is read off the finished sales
+            spread(sales_fact(lines), FACTS["sales"]).write.partitionBy(*FACTS["sales"]).parquet(f"{target}/sales")
+            stock = inventory_fact(spark.read.parquet(f"{target}/sales"))
+            spread(stock, FACTS["inventory"]).write.partitionBy("month").parquet(f"{target}/inventory")
+
+    with ThreadPoolExecutor(4) as pool:  # independent writes share the cluster
+        list(pool.map(write, ["sales", "returns", *small]))
 
 
 def spread(frame: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -258,11 +273,12 @@ class Mart:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._fixed = {name: F.broadcast(frame) for name, frame in fixed_dimensions(spark).items()}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return cached_read(self.spark, f"{self.path}/{name}")
+        return self._fixed[name] if name in self._fixed else cached_read(self.spark, f"{self.path}/{name}")
 
     def sold(self, *channels: str) -> DataFrame:
         return self.sales.where(c("channel").isin(*channels)) if channels else self.sales
@@ -270,10 +286,26 @@ class Mart:
     def returned(self, *channels: str) -> DataFrame:
         return self.returns.where(c("channel").isin(*channels)) if channels else self.returns
 
-    def days(self, condition=None, *extra: str) -> DataFrame:
-        """Calendar rows for a sale date join; ``sold_month`` lets partitions be pruned."""
-        days = self.date_dim if condition is None else self.date_dim.where(condition)
-        return F.broadcast(days.select(c("date_sk").alias("sold_date_sk"), c("month_seq").alias("sold_month"), *extra))
+    def days(self, condition=None, *extra: str, role: str = "sold") -> DataFrame:
+        """Calendar rows keyed like a fact: day key, and month key so that partitions are pruned."""
+        days = calendar(self.spark) if condition is None else calendar(self.spark).where(condition)
+        return F.broadcast(days.select(
+            c("date_sk").alias(f"{role}_date_sk"), c("month_seq").alias(f"{role}_month"), *extra))
+
+    def sold_in(self, condition, *channels: str, extra: tuple[str, ...] = ()) -> DataFrame:
+        return self.sold(*channels).join(self.days(condition, *extra), ["sold_date_sk", "sold_month"])
+
+    def returned_in(self, condition, *channels: str, extra: tuple[str, ...] = ()) -> DataFrame:
+        return self.returned(*channels).join(
+            self.days(condition, *extra, role="returned"), ["returned_date_sk", "returned_month"])
+
+    def stock_in(self, condition, extra: tuple[str, ...] = ()) -> DataFrame:
+        days = calendar(self.spark).where(condition).select(
+            "date_sk", c("month_seq").alias("month"), *extra)
+        return self.inventory.join(F.broadcast(days), ["date_sk", "month"])
+
+
+_MARTS: dict[tuple[int, str], Mart] = {}
 
 
 def open_mart(spark: SparkSession, sf_dir: str) -> Mart:
@@ -292,4 +324,7 @@ def open_mart(spark: SparkSession, sf_dir: str) -> Mart:
         fs.mkdirs(ready)
         fs.create(hadoop.Path(f"{root}/_ready/{run.rsplit('/', 1)[1]}")).close()
     run = sorted(status.getPath().getName() for status in fs.listStatus(ready))[0]
-    return Mart(spark, f"{root}/{run}")
+    key = (id(spark), f"{root}/{run}")
+    if key not in _MARTS or _MARTS[key].spark is not spark:
+        _MARTS[key] = Mart(spark, key[1])
+    return _MARTS[key]
