@@ -1,4 +1,4 @@
 """Import every module that registers queries."""
 
-from .plans import mart_tables, star_reports  # noqa: F401
+from .plans import basket_reports, channel_reports, mart_tables, star_reports  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

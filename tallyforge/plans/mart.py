@@ -83,8 +83,8 @@ def sales_fact(lines: DataFrame) -> DataFrame:
         (sold_sk + (part * 7) % 150).cast("int").alias("ship_date_sk"),
         F.when(order % 3 != 0, supp % 6).when(order % 50 != 0, supp).alias("site_sk"),
         (supp % 5).alias("warehouse_sk"), (part % 10).alias("ship_mode_sk"),
-        (part % 30).alias("promo_sk"), (part % 40).alias("page_sk"),
-        (cust % 140).alias("cdemo_sk"), (cust % 72).alias("hdemo_sk"), (order % 25).alias("addr_sk"),
+        (part % 36).alias("promo_sk"), (part % 40).alias("page_sk"),
+        ((cust + order) % 140).alias("cdemo_sk"), (cust % 72).alias("hdemo_sk"), (order % 25).alias("addr_sk"),
         F.when((order % 3 != 1) | (order % 50 != 2), (order + 7) % 25).alias("ship_addr_sk"),
         F.when((order % 3 != 2) | (order % 50 != 1), cust).alias("ship_customer_sk"),
         "quantity", "ext_list_price", "ext_discount_amt", "ext_tax",
@@ -165,7 +165,8 @@ def dimensions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         pick(("Mr.", "Ms.", "Dr."), u % 3).alias("salutation"),
         F.when(u % 2 == 0, "Y").otherwise("N").alias("preferred"), (u % 12 + 1).alias("birth_month"),
         (1930 + u % 60).alias("birth_year"), text("Country_", u % 15).alias("birth_country"),
-        F.lower("c_mktsegment").alias("segment"))
+        F.lower("c_mktsegment").alias("segment"), (400 + u % 700).cast("int").alias("first_sales_sk"),
+        (430 + u % 700).cast("int").alias("first_shipto_sk"))
     p = c("p_partkey")
     price = c("p_retailprice").cast(MONEY)
     item = get("part").select(
@@ -230,7 +231,7 @@ FACTS = {"sales": ("channel", "sold_month"), "returns": ("channel", "returned_mo
 def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     """Name of the mart for the present state of the source files (one call per table)."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    digest = hashlib.sha1(b"mart-1")
+    digest = hashlib.sha1(b"mart-2")
     for name in SOURCES:
         path = hadoop.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
         fs = path.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -28,8 +28,8 @@ li AS (SELECT *, o_orderdate::DATE sold, o_custkey cust FROM lines JOIN orders O
 sales0 AS (
   SELECT l_orderkey order_number, l_partkey item_sk, cust customer_sk, {_CHANNEL} channel, sold,
     (sold + ((l_partkey * 7) % 150)::INT)::DATE shipped, (l_partkey * 37 + l_orderkey * 11) % 1440 minute_of_day,
-    {_STORE_SITE} site_sk, supp % 5 warehouse_sk, l_partkey % 10 ship_mode_sk, l_partkey % 30 promo_sk,
-    l_partkey % 40 page_sk, cust % 140 cdemo_sk, cust % 72 hdemo_sk, l_orderkey % 25 addr_sk,
+    {_STORE_SITE} site_sk, supp % 5 warehouse_sk, l_partkey % 10 ship_mode_sk, l_partkey % 36 promo_sk,
+    l_partkey % 40 page_sk, (cust + l_orderkey) % 140 cdemo_sk, cust % 72 hdemo_sk, l_orderkey % 25 addr_sk,
     CASE WHEN NOT (l_orderkey % 3 = 1 AND l_orderkey % 50 = 2) THEN (l_orderkey + 7) % 25 END ship_addr_sk,
     CASE WHEN NOT (l_orderkey % 3 = 2 AND l_orderkey % 50 = 1) THEN cust END ship_customer_sk,
     quantity, ext_list_price, ext_discount_amt, ext_tax,
@@ -77,7 +77,8 @@ cust AS (
     c_nationkey::BIGINT current_addr_sk, 'First' || c_custkey % 97 first_name, 'Last' || c_custkey % 89 last_name,
     {_nth('Mr.|Ms.|Dr.', 'c_custkey % 3')} salutation, CASE c_custkey % 2 WHEN 0 THEN 'Y' ELSE 'N' END preferred,
     c_custkey % 12 + 1 birth_month, 1930 + c_custkey % 60 birth_year, 'Country_' || c_custkey % 15 birth_country,
-    lower(c_mktsegment) segment
+    lower(c_mktsegment) segment,
+    (400 + c_custkey % 700)::INT first_sales_sk, (430 + c_custkey % 700)::INT first_shipto_sk
   FROM customer),
 item AS (
   SELECT p_partkey item_sk, 'ITEM' || p_partkey item_id, p_name product_name, 'about ' || p_name item_desc, p_brand brand,
