@@ -1,4 +1,5 @@
 """Import every module that registers queries."""
 
+from .operators import aggregates, joins, projection, sorting, windows  # noqa: F401
 from .plans import basket_reports, channel_reports, mart_tables, star_reports  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -22,3 +22,14 @@ def query(name: str, oracle: str | None = None):
         return fn
 
     return keep
+
+
+def on_tables(name: str, oracle: str | None = None):
+    """Register ``fn(t)``, where ``t`` opens the given tables by attribute."""
+    from .sources.tables import Tables
+
+    def keep(fn):
+        query(name, oracle)(lambda spark, sf_dir: fn(Tables(spark, sf_dir)))
+        return fn
+
+    return keep

@@ -18,3 +18,15 @@ def cached_read(spark: SparkSession, path: str) -> DataFrame:
     if key not in _OPEN or _OPEN[key].sparkSession is not spark:
         _OPEN[key] = spark.read.parquet(path)
     return _OPEN[key]
+
+
+class Tables:
+    """The given tables as attributes: ``t.orders``."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return table(self.spark, self.sf_dir, name)
