@@ -4,3 +4,4 @@ from .functions import queries as scalar_queries  # noqa: F401
 from .operators import aggregates, joins, projection, sorting, windows  # noqa: F401
 from .plans import basket_reports, channel_reports, mart_tables, star_reports  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
+from .sources import queries as source_queries  # noqa: F401
