@@ -5,3 +5,4 @@ from .operators import aggregates, joins, projection, sorting, windows  # noqa:
 from .plans import basket_reports, channel_reports, mart_tables, star_reports  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
 from .sources import queries as source_queries  # noqa: F401
+from .streaming import queries as streaming_queries  # noqa: F401
