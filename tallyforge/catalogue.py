@@ -1,5 +1,6 @@
 """Import every module that registers queries."""
 
+from .eventlog import queries as eventlog_queries  # noqa: F401
 from .functions import queries as scalar_queries  # noqa: F401
 from .operators import aggregates, joins, projection, sorting, windows  # noqa: F401
 from .plans import basket_reports, channel_reports, mart_tables, star_reports  # noqa: F401
