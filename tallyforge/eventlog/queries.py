@@ -195,7 +195,7 @@ def plan_triage(t):
     return E.plan_triage(t.orders.select(k.alias("doc"), text.alias("text")))
 
 
-@evt("evt_16_health_findings", "SELECT * FROM found WHERE code IN ('APPLICATION_INCOMPLETE', 'FAILED_JOBS', 'FAILED_STAGES') UNION ALL SELECT 'app', 'medium', 'PARSE_ERRORS', '' UNION ALL SELECT 'empty', 'high', 'NO_SPARK_EVENTS', ''")
+@evt("evt_16_health_findings", "SELECT * FROM found WHERE code IN ('APPLICATION_INCOMPLETE', 'FAILED_JOBS', 'FAILED_STAGES') UNION ALL SELECT 'app', 'medium', 'PARSE_ERRORS', '' WHERE EXISTS (FROM events WHERE event_id IN (5000, 7001, 9003)) UNION ALL SELECT 'empty', 'high', 'NO_SPARK_EVENTS', ''")
 def health_findings(t):
     log = event_log(t)
     bad = E.cleaning_report(_raw_lines(t)).where(c("corrupt"))
