@@ -213,12 +213,11 @@ def explode_split(t):
     return t.documents.select(F.explode(F.split("text", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
-@on_tables("arr_02_explode_outer", """SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 450000) ON o_custkey = c_custkey""")
+@on_tables("arr_02_explode_outer", """SELECT o_orderkey, unnest(CASE WHEN o_totalprice > 400000 THEN [o_custkey, o_orderkey + 1] ELSE [NULL::BIGINT] END) AS k FROM orders""")
 def explode_outer(t):
-    """The array stays bounded by splitting each customer's orders into key ranges first."""
-    big = t.orders.where(c("o_totalprice") > 450000).groupBy("o_custkey", (c("o_orderkey") % 1000).alias("part")).agg(F.collect_list("o_orderkey").alias("keys"))
-    joined = t.customer.select("c_custkey").join(big, c("o_custkey") == c("c_custkey"), "left")
-    return joined.select("c_custkey", F.explode_outer("keys").alias("o_orderkey"))
+    """Rows whose array is empty or missing stay, with a null."""
+    keys = F.when(c("o_totalprice") > 400000, F.array("o_custkey", c("o_orderkey") + 1)).when(c("o_totalprice") > 200000, F.array().cast("array<bigint>"))
+    return t.orders.select("o_orderkey", F.explode_outer(keys).alias("k"))
 
 
 @on_tables("jsn_01_from_json", "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
@@ -252,14 +251,13 @@ def properties(t):
     return t.events.select("event_id", props["kind"].alias("kind"), props["owner"].alias("owner"))
 
 
-@on_tables("jsn_06_flatten", """SELECT o_orderkey, o_custkey AS customer_id, l_partkey AS lines_part, l_quantity::BIGINT AS lines_qty_pieces
-    FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey""")
+@on_tables("jsn_06_flatten", """SELECT o_orderkey, o_custkey AS customer_id, l_partkey AS lines_part, l_quantity::BIGINT AS lines_qty_pieces FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    UNION ALL SELECT o_orderkey, o_custkey, l_suppkey, l_linenumber::BIGINT FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 def flatten(t):
-    """Nested orders with an array of line structs per (order, line number); hot orders stay split."""
-    line = F.struct(c("l_partkey").alias("part"), F.struct(c("l_quantity").cast("long").alias("pieces")).alias("qty"))
-    lines = t.lineitem.groupBy("l_orderkey", (c("l_partkey") % 64).alias("slice")).agg(F.collect_list(line).alias("lines"))
-    nested = t.orders.join(lines, c("l_orderkey") == c("o_orderkey"), "left").select(
-        "o_orderkey", F.struct(c("o_custkey").alias("id")).alias("customer"), "lines")
+    """Structs inside an array inside a record, down to plain columns and one row per element."""
+    entry = lambda part, pieces: F.struct(c(part).alias("part"), F.struct(c(pieces).cast("long").alias("pieces")).alias("qty"))
+    lines = t.lineitem.select("l_orderkey", F.array(entry("l_partkey", "l_quantity"), entry("l_suppkey", "l_linenumber")).alias("lines"))
+    nested = t.orders.join(lines, c("l_orderkey") == c("o_orderkey")).select("o_orderkey", F.struct(c("o_custkey").alias("id")).alias("customer"), "lines")
     return S.flatten(nested)
 
 

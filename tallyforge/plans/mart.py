@@ -145,7 +145,7 @@ def dimensions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Dimensions that grow with the given tables."""
     get = lambda name: table(spark, sf_dir, name)
     text = lambda prefix, col: F.concat(F.lit(prefix), col.cast("string"))
-    places = get("nation").join(F.broadcast(get("region")), c("n_regionkey") == c("r_regionkey"))
+    places = get("nation").join(get("region"), c("n_regionkey") == c("r_regionkey"))
     n = c("n_nationkey").cast("long")
     address = places.select(
         n.alias("addr_sk"), text("City_", n % 7).alias("city"), text("County_", n % 10).alias("county"),
@@ -154,7 +154,7 @@ def dimensions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         (-(c("n_regionkey") + 4)).alias("gmt_offset"), text("Street ", n).alias("street_name"),
         pick(("apartment", "condo", "single family"), n % 3).alias("location_type"))
     s = c("s_suppkey")
-    store = get("supplier").join(F.broadcast(address), c("s_nationkey") == c("addr_sk")).select(
+    store = get("supplier").join(address, c("s_nationkey") == c("addr_sk")).select(
         s.alias("store_sk"), c("s_name").alias("store_id"), text("store ", s % 10).alias("store_name"),
         "city", "county", "state", "zip", "gmt_offset", (s % 10).alias("market_id"),
         (200 + s % 100).alias("employees"), (s % 3).alias("company_id"), text("company ", s % 3).alias("company_name"))
