@@ -6,6 +6,8 @@ events and only the fields it needs, with an explicit schema.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -384,7 +386,9 @@ def deep_stages(log: EventLog, limit: int = 50) -> DataFrame:
     """Stages worth a full parse: failed ones first, then those with a signature in a task end, in key order."""
     failed = stage_infos(log).where(c("failure_reason") != "").select(*STAGE, F.lit(0).alias("kind"))
     marked = "(?i)" + "|".join(f"(?:{p})" for _, patterns in rules.SIGNATURES.values() for p in patterns)
-    raw = log.lines.where((c("event") == "SparkListenerTaskEnd") & c("value").rlike(marked))
+    lower = F.lower("value")
+    anchored = reduce(lambda a, b: a | b, [lower.contains(word) for word in rules.ANCHORS])
+    raw = log.lines.where((c("event") == "SparkListenerTaskEnd") & anchored).where(c("value").rlike(marked))
     hit = raw.select("app_key", F.regexp_extract("value", r'"Stage ID"\s*:\s*(-?\d+)', 1).try_cast("long").alias("stage_id"),
                      F.coalesce(F.regexp_extract("value", r'"Stage Attempt ID"\s*:\s*(-?\d+)', 1).try_cast("long"), F.lit(0)).alias("attempt_id"), F.lit(1).alias("kind"))
     from pyspark.sql import Window

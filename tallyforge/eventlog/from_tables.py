@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..plans.mart import _fingerprint
 from ..session import scratch, shared_dir
 from ..sources.files import read_lines
+from ..sources.tables import spread_scan
 from .events import SQL_END, SQL_START, EventLog
 
 c = F.col
@@ -34,7 +35,7 @@ def tasks(lineitem: DataFrame) -> DataFrame:
 
 
 def _task_lines(t) -> DataFrame:
-    rows = tasks(t.lineitem)
+    rows = tasks(spread_scan(t.lineitem))
     s, run, qty, n = c("stage"), c("run"), c("qty"), c("l_linenumber")
     start = _event("SparkListenerTaskStart", Stage_ID=s, Stage_Attempt_ID=c("attempt"), Task_Info=F.struct(
         c("task").alias("Task ID"), c("launch").alias("Launch Time"), (c("task") % 10).cast("string").alias("Executor ID"), F.lit("host").alias("Host")))

@@ -270,7 +270,7 @@ def application_summary(t):
         "findings", "severity_rank", "critical", "high", "medium", "low")
 
 
-@evt("evt_28_two_pass_tasks", "SELECT app_key, stage_id, attempt_id, count(*) AS tasks, sum(run_ms)::BIGINT AS run_ms FROM ends WHERE stage_id IN (5, 11) GROUP BY ALL")
+@evt("evt_28_two_pass_tasks", "SELECT app_key, stage_id, attempt_id, count(*) AS tasks, sum(run_ms)::BIGINT AS run_ms FROM ends WHERE stage_id = 5 OR (app_key, stage_id, attempt_id) IN (SELECT app_key, stage_id, attempt_id FROM ends WHERE reason IN ('FetchFailed', 'ExceptionFailure')) GROUP BY ALL")
 def two_pass_tasks(t):
     return E.two_pass_tasks(event_log(t)).groupBy(*E.STAGE).agg(F.count("*").alias("tasks"), F.sum("run_ms").alias("run_ms"))
 

@@ -13,6 +13,11 @@ SIGNATURES = {
     "EXECUTOR_LOST": ("high", (r"executordeadexception", r"executor.*lost", r"remote rpc client disassociated", r"container.*lost", r"worker lost")),
 }
 
+# A text without any of these words, in lower case, matches no signature; looking for them is cheaper.
+ANCHORS = ("oomkilled", "exit code 137", "container", "killed by yarn", "exceed", "memory overhead", "outofmemoryerror", "heap space", "gc overhead",
+           "array size", "direct buffer", "native memory", "netty", "fetchfailed", "failed to connect", "missing an output", "shuffle block",
+           "executordead", "lost", "disassociated")
+
 PROPERTY_PREFIXES = ("spark.app.", "spark.executor.", "spark.driver.", "spark.sql.", "spark.memory.", "spark.dynamicAllocation.",
                      "spark.kubernetes.", "spark.shuffle.")
 

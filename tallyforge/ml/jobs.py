@@ -131,6 +131,15 @@ def text_features(texts: DataFrame, vocabulary: int = 1 << 18) -> PipelineModel:
         CountVectorizer(inputCol="words_nsw", outputCol="tf", vocabSize=vocabulary), IDF(inputCol="tf", outputCol="tfidf")]).fit(texts)
 
 
+def document_frequencies(texts: DataFrame) -> DataFrame:
+    """word, docs, idf of every word left after stop-word removal, with no limit on the vocabulary."""
+    steps = Pipeline(stages=[Tokenizer(inputCol="clean", outputCol="words"), StopWordsRemover(inputCol="words", outputCol="words_nsw")])
+    words = steps.fit(texts).transform(texts).select(F.explode(F.array_distinct("words_nsw")).alias("word"))
+    size = texts.agg(F.count("*").alias("n"))
+    counts = words.groupBy("word").agg(F.count("*").alias("docs"))
+    return counts.withColumn("idf", F.log((size.scalar() + 1).cast("double") / (c("docs") + 1)))
+
+
 def clean_texts(texts: DataFrame) -> DataFrame:
     return texts.withColumn("clean", remove_punctuation(c("text")))
 

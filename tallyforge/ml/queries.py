@@ -221,11 +221,7 @@ def streaming_scores(t):
     SELECT word, docs, round(ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (docs + 1)), 9) AS idf FROM d WHERE word NOT IN ('the', 'of', 'ourselves', 'yourself', 'yourselves', 'himself', 'herself', 'themselves', 'because', 'through', 'between', 'against', 'shouldn', 'mightn', 'needn', 'wouldn', 'couldn', 'further', 'itself', 'myself', 'theirs', 'ain''t')""")
 def inverse_document_frequency(t):
     """Document frequency and weight of the long words (and of words that stop-word removal must drop or keep)."""
-    texts = jobs.clean_texts(t.documents.select("doc_id", "text"))
-    model = jobs.text_features(texts)
-    counter, weights = model.stages[2], model.stages[3]
-    rows = [(w, int(n), float(i)) for w, n, i in zip(counter.vocabulary, weights.docFreq, weights.idf.toArray(), strict=True)]  # at most the vocabulary size
-    table = t.spark.createDataFrame(rows, "word string, docs long, idf double")
+    table = jobs.document_frequencies(jobs.clean_texts(t.documents.select("doc_id", "text")))
     return table.where(c("word").isin("the", "of", "la") | (F.length("word") >= 7)).select("word", "docs", F.round("idf", 9).alias("idf"))
 
 

@@ -308,8 +308,8 @@ def channel_profit(m):
     paired = sales.where(c("channel") == "catalog").join(whole, "channel").select(
         "channel", "id", (c("sales") * c("n")).alias("sales"), c("ret").alias("returns"),
         (c("profit") * c("n") - c("loss")).alias("profit"))
-    out = own.unionByName(paired).rollup("channel", "id").agg(total("sales"), total("returns"), total("profit"))
-    return top(out, "channel", "id").withColumn("id", c("id").cast("string"))
+    levels = own.unionByName(paired).rollup("channel", "id").agg(total("sales"), total("returns"), total("profit"))
+    return top(levels.withColumn("id", c("id").cast("string")), "channel", "id")
 
 
 # ---- returns against sales -------------------------------------------------------------------

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalar import blank_to_null, strip_leading_junk, text_flag, xml_record
 from ..registry import on_tables
+from ..sources.tables import spread_scan
 
 c = F.col
 
@@ -90,7 +91,7 @@ def _documents(t) -> DataFrame:
     body = F.concat(F.lit("<IRS"), kind, F.lit(">"), fields, F.lit("</IRS"), kind, F.lit(">"))
     root = F.concat(F.lit('?? <Return returnVersion="'), F.when(early, "2011v1.2").otherwise("2014v5.0"), F.lit('">'),
                     tag("ReturnHeader", F.concat(filer, header)), tag("ReturnData", body), F.lit("</Return>"))
-    return t.orders.select(k.alias("doc"), root.alias("text"))
+    return spread_scan(t.orders).select(k.alias("doc"), root.alias("text"))
 
 
 @on_tables("job_04_tax_returns", """SELECT o_orderkey AS doc, o_custkey AS EIN, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS BusinessName, CASE WHEN o_orderkey % 2 = 0 THEN 2011 ELSE 2014 END::BIGINT AS TaxYear,

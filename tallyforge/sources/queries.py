@@ -239,7 +239,7 @@ def drop(t):
     t.region.write.saveAsTable(f"{database}.region")
     rows = t.spark.table(f"{database}.region").count()
     t.spark.sql(f"DROP TABLE IF EXISTS {database}.region")
-    left = t.spark.sql(f"SHOW TABLES IN {database}").count()
+    left = t.spark.sql(f"SHOW TABLES IN {database}").where(~c("isTemporary")).count()
     t.spark.sql(f"DROP DATABASE IF EXISTS {database} CASCADE")
     return t.region.limit(1).select(F.lit(rows).cast("long").alias("rows_before"), F.lit(left).cast("long").alias("tables_after"))
 
