@@ -200,7 +200,7 @@ def health_findings(t):
     log = event_log(t)
     bad = E.cleaning_report(_raw_lines(t)).where(c("corrupt"))
     codes = ("APPLICATION_INCOMPLETE", "FAILED_JOBS", "FAILED_STAGES", "PARSE_ERRORS")
-    known = log.lines.select("app_key").unionByName(t.region.select(F.lit("empty").alias("app_key")))
+    known = log.lines.select("app_key").unionByName(t.region.select(F.concat(F.lit("empty"), F.substring("r_name", 1, 0)).alias("app_key")))
     return E.findings(log, parse_errors=bad).where(c("code").isin(*codes)).unionByName(E.empty_logs(known, log))
 
 
