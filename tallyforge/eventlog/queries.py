@@ -310,3 +310,12 @@ def marker_seconds(t):
     read = placed.select("position", "event_id", part[0].alias("kind"), F.to_timestamp(part[1]).alias("at"))
     starts = read.where(c("kind") == "querystart").select((c("position") + 1).alias("position"), c("at").alias("begin"))
     return read.where(c("kind") == "queryend").join(starts, "position").select("event_id", elapsed_seconds(c("begin"), c("at")).alias("seconds"))
+
+
+@evt("job_16_event_log_report", f"""SELECT app_key, severity, code, count(*) AS findings, coalesce(max(scope), 'none') AS scope FROM found
+    LEFT JOIN (VALUES {_RULES_SQL}) r(priority, scope, code) USING (code) GROUP BY ALL""")
+def event_log_report(t):
+    """Findings per application, severity and code with the scope that takes them up."""
+    scopes = t.spark.createDataFrame([(s, x) for _, s, x in rules.REMEDIATION], "scope string, code string")
+    found = E.findings(event_log(t)).groupBy("app_key", "severity", "code").agg(F.count("*").alias("findings"))
+    return found.join(F.broadcast(scopes), "code", "left").withColumn("scope", F.coalesce("scope", F.lit("none")))

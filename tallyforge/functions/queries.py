@@ -279,6 +279,12 @@ def punctuation_native(t):
     return t.conversations.select("conv_id", "turn", S.remove_punctuation(c("text")).alias("clean"))
 
 
+@on_tables("udf_02_rating_native", "SELECT conv_id, turn, CASE WHEN turn % 5 + 1 >= 4 THEN 1 ELSE 0 END AS label FROM conversations")
+def rating_native(t):
+    """A rating function as ``when``, with a number as result where the row function gave text."""
+    return t.conversations.select("conv_id", "turn", F.when(c("turn") % 5 + 1 >= 4, 1).otherwise(0).alias("label"))
+
+
 @on_tables("udf_03_rows_to_rows", "SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents WHERE lang = 'de'")
 def rows_to_rows(t):
     return t.documents.where(c("lang") == "de").select("doc_id", F.explode(F.split("text", " ")).alias("word"))

@@ -115,6 +115,17 @@ def fuel_economy(t):
     return _one_row(t, rows=sizes, split_is_whole=whole, fits=bool(quality["r2"] > 0.8 and quality["rmse"] < 6))
 
 
+@on_tables("ml_04_forest_regression", "SELECT count(*) AS rows, true AS beats_the_mean FROM lineitem")
+def forest_regression(t):
+    """Fifty trees on the training rows predict every row better than the mean does."""
+    cars = _cars(t).select("l_orderkey", *_CAR_FEATURES, "mpg")
+    train, _ = jobs.hash_split(cars, "l_orderkey", 0.7)
+    predicted = jobs.train_fuel_economy(train, _CAR_FEATURES).transform(cars)
+    mean = cars.agg(F.avg("mpg").alias("m"))
+    error = lambda x: F.sum((c("mpg") - x) * (c("mpg") - x))
+    return predicted.agg(F.count("*").alias("rows"), (error(c("prediction")) < error(mean.scalar()) * 0.2).alias("beats_the_mean"))
+
+
 @on_tables("ml_05_evaluator", """WITH p AS (SELECT l_quantity y, l_quantity + l_discount * 10 z FROM lineitem)
     SELECT round(sqrt(sum((y - z) ** 2) / count(*)), 6) AS rmse, round(1 - sum((y - z) ** 2) / sum((y - (SELECT avg(y) FROM p)) ** 2), 6) AS r2 FROM p""")
 def evaluator(t):
@@ -123,6 +134,30 @@ def evaluator(t):
     return _one_row(t, rmse=round(quality["rmse"], 6), r2=round(quality["r2"], 6))
 
 
+@on_tables("ml_10_saved_parts", """SELECT s_suppkey, round((s_acctbal - (SELECT min(s_acctbal) FROM supplier)) / ((SELECT max(s_acctbal) FROM supplier) - (SELECT min(s_acctbal) FROM supplier)), 9) AS scaled FROM supplier""")
+def saved_parts(t):
+    """Assembler and scaler are saved, loaded and used."""
+    from pyspark.ml.feature import MinMaxScalerModel, VectorAssembler
+
+    path, vectors = scratch(t.spark, "model"), jobs.assembler(["s_acctbal"])
+    MinMaxScaler(inputCol="features", outputCol="scaled").fit(vectors.transform(t.supplier)).write().overwrite().save(f"{path}/scaler")
+    vectors.write().overwrite().save(f"{path}/vectors")
+    rows = MinMaxScalerModel.load(f"{path}/scaler").transform(VectorAssembler.load(f"{path}/vectors").transform(t.supplier))
+    return rows.select("s_suppkey", F.round(vector_to_array("scaled")[0], 9).alias("scaled"))
+
+
+@on_tables("ml_12_linear_classifier", "SELECT count(*) AS rows, true AS separates FROM lineitem")
+def linear_classifier(t):
+    """A linear support vector classifier finds a linear rule in the line items."""
+    from pyspark.ml.classification import LinearSVC
+
+    rows = t.lineitem.select("l_orderkey", "l_quantity", c("l_linenumber").cast("double").alias("n"), F.when(c("l_quantity") > 25, 1.0).otherwise(0.0).alias("label"))
+    vectors = jobs.assembler(["l_quantity", "n"]).transform(rows)
+    train, _ = jobs.hash_split(vectors, "l_orderkey", 0.8)
+    score = jobs.f1(LinearSVC(maxIter=50, regParam=0.001).fit(train).transform(vectors))
+    return rows.agg(F.count("*").alias("rows")).withColumn("separates", F.lit(bool(score > 0.9)))
+
+
 @on_tables("ml_14_random_split", "SELECT count(*) AS rows, true AS same_again FROM orders")
 def random_split(t):
     """Seeded parts are disjoint and whole, and come out the same again."""

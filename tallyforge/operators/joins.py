@@ -184,3 +184,26 @@ def positional(t):
     left = with_position(t.supplier.select("s_suppkey"), ["s_suppkey"], "n")
     right = with_position(t.part.select((-c("p_retailprice")).alias("down"), "p_partkey"), ["down", "p_partkey"], "n")
     return left.join(right, "n").select("s_suppkey", "p_partkey")
+
+
+@on_tables("joi_19_wide_chain", """SELECT cr.r_name AS home, sr.r_name AS source, p_type, o_orderpriority, e.event_type, d.lang, count(*) AS lines, sum(l_quantity::BIGINT * e.n)::BIGINT AS weight
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN region cr ON cn.n_regionkey = cr.r_regionkey
+    JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN region sr ON sn.n_regionkey = sr.r_regionkey JOIN part ON l_partkey = p_partkey
+    JOIN (SELECT user_id, min(event_type) event_type, count(*) n FROM events GROUP BY 1) e ON e.user_id = c_custkey JOIN documents d ON d.doc_id = c_custkey
+    LEFT JOIN labels b ON b.doc_id = d.doc_id LEFT JOIN benchmark q ON q.item_id = d.doc_id LEFT JOIN (SELECT DISTINCT conv_id FROM conversations) v ON v.conv_id = d.doc_id
+    LEFT JOIN pages g ON g.page_id = d.doc_id GROUP BY ALL""")
+def wide_chain(t):
+    """All tables in one chain; small filtered customer sides come first, the line items last."""
+    def place(role, name):
+        return t.nation.join(t.region, c("n_regionkey") == c("r_regionkey")).select(c("n_nationkey").alias(role), c("r_name").alias(name))
+
+    active = t.events.groupBy("user_id").agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"))
+    people = (t.customer.select("c_custkey", c("c_nationkey").alias("cn")).join(active, c("c_custkey") == c("user_id"))
+              .join(t.documents.select("doc_id", "lang"), c("c_custkey") == c("doc_id")).join(t.labels.select("doc_id"), "doc_id", "left")
+              .join(t.benchmark.select(c("item_id").alias("doc_id")), "doc_id", "left").join(t.conversations.select(c("conv_id").alias("doc_id")).distinct(), "doc_id", "left")
+              .join(t.pages.select(c("page_id").alias("doc_id")), "doc_id", "left").join(place("cn", "home"), "cn"))
+    bought = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority").join(people, c("o_custkey") == c("c_custkey"))
+    lines = (t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", c("l_quantity").cast("long").alias("q")).join(bought, c("l_orderkey") == c("o_orderkey"))
+             .join(t.part.select("p_partkey", "p_type"), c("l_partkey") == c("p_partkey"))
+             .join(t.supplier.select("s_suppkey", c("s_nationkey").alias("sn")), c("l_suppkey") == c("s_suppkey")).join(place("sn", "source"), "sn"))
+    return lines.groupBy("home", "source", "p_type", "o_orderpriority", "event_type", "lang").agg(F.count("*").alias("lines"), F.sum(c("q") * c("n")).alias("weight"))

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..registry import query
-from .mart import open_mart
+from ..session import scratch
+from .mart import load_star_schema, open_mart
 from .mart_oracle import MART_SQL
 
 c = F.col
@@ -50,3 +51,19 @@ _dimension("item", "SELECT * REPLACE (current_price::DOUBLE AS current_price, wh
 _dimension("customer", "SELECT * FROM cust")
 _dimension("store", "SELECT * FROM store")
 _dimension("customer_address", "SELECT * FROM addr")
+
+
+@query("job_13_star_load", MART_SQL + """SELECT 'sales' AS name, channel AS part, count(*) AS rows FROM sales GROUP BY ALL UNION ALL SELECT 'returns', channel, count(*) FROM rets GROUP BY ALL
+    UNION ALL SELECT 'inventory', 'all', count(*) FROM stock UNION ALL SELECT 'item', 'all', count(*) FROM item UNION ALL SELECT 'customer', 'all', count(*) FROM cust UNION ALL SELECT 'store', 'all', count(*) FROM store""")
+def star_load(spark, sf_dir):
+    """A new load of the whole star schema and the rows of what it wrote."""
+    path = scratch(spark, "star")
+    load_star_schema(spark, sf_dir, path)
+
+    def counted(name, part):
+        return spark.read.parquet(f"{path}/{name}").groupBy(part.alias("part")).agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "part", "rows")
+
+    out = counted("sales", c("channel")).unionByName(counted("returns", c("channel")))
+    for name in ("inventory", "item", "customer", "store"):
+        out = out.unionByName(counted(name, F.lit("all")))
+    return out

@@ -415,6 +415,30 @@ def partitioned(t):
     return data.read().where(c("o_orderstatus") == "P").select("o_orderkey", "o_orderstatus", "year")
 
 
+@on_tables("job_12_version_walk", """WITH n AS (SELECT year(o_orderdate) y, count(*) k FROM orders GROUP BY 1), s(step, first, last) AS (VALUES ('created', 1995, 1995), ('appended', 1995, 1996), ('overwritten', 1997, 1997),
+      ('as of version 1', 1995, 1996), ('as of the first day', 1995, 1995), ('added since version 2', 1998, 1998), ('after compaction', 1997, 1998))
+    SELECT step, sum(k)::BIGINT AS rows FROM s JOIN n ON y BETWEEN first AND last GROUP BY 1""")
+def version_walk(t):
+    """The walk through one dataset: create, append, overwrite, read back earlier states, compact."""
+    data = VersionedDataset(t.spark, _new(t, "versions"))
+    of = lambda year: t.orders.where(F.year("o_orderdate") == year).select("o_orderkey", "o_orderstatus")
+    seen = []
+    note = lambda step, frame: seen.append((step, frame.count()))
+    data.overwrite(of(1995), datetime(2024, 1, 1))
+    note("created", data.read())
+    data.append(of(1996), datetime(2024, 1, 2))
+    note("appended", data.read())
+    data.overwrite(of(1997), datetime(2024, 1, 3))
+    note("overwritten", data.read())
+    note("as of version 1", data.as_of_version(1))
+    note("as of the first day", data.as_of_time(datetime(2024, 1, 1, 12)))
+    data.append(of(1998), datetime(2024, 1, 4))
+    note("added since version 2", data.between(2, 3))
+    data.compact()
+    note("after compaction", data.read())
+    return t.spark.createDataFrame(seen, "step string, rows long")
+
+
 # ---- jobs from file to file ---------------------------------------------------------------------
 
 

@@ -18,14 +18,15 @@ def message_stream(spark: SparkSession, source: str, options: dict[str, str], sc
     return (reader.schema(schema) if schema else reader).load()
 
 
-def parse_words(messages: DataFrame) -> DataFrame:
-    """``"<iso time> w1 w2"`` to one row (timestamp, word) per word.
+def parse_words(messages: DataFrame, fraction: bool = True) -> DataFrame:
+    """``"<iso time> w1 w2"`` to one row (timestamp, word) per word; ``fraction=False`` keeps whole seconds.
 
     The text is cut at the first blank. A fixed width of 25 characters, as some producers
     assume, would leave the last digit of a longer time stamp as a word.
     """
     text = c("value").cast("string")
-    line = messages.select(F.try_to_timestamp(F.substring_index(text, " ", 1)).alias("timestamp"),
+    stamp = F.try_to_timestamp(F.substring_index(text, " ", 1))
+    line = messages.select((stamp if fraction else F.date_trunc("second", stamp)).alias("timestamp"),
                            F.regexp_replace(text, r"^\S*\s?", "").alias("words"))
     return line.select("timestamp", F.explode(F.split("words", " ")).alias("word")).where(c("word") != "")
 

@@ -158,3 +158,67 @@ def incremental_scan(t):
 
     jobs.to_batches(t.spark.readStream.text(source), scan, _new(t, "state")).awaitTermination()
     return t.spark.read.parquet(out).groupBy("event_type").agg(F.sum("lines").alias("lines"))
+
+
+@on_tables("stm_02_parse_whole_seconds", f"SELECT epoch(date_trunc('second', ts))::BIGINT AS seconds, word, count(*) AS n FROM {_WORDS_SQL} GROUP BY ALL")
+def parse_whole_seconds(t):
+    path = _new(t, "words")
+    jobs.to_files(jobs.parse_words(_messages(t), fraction=False), path, _new(t, "state")).awaitTermination()
+    return t.spark.read.parquet(path).groupBy(F.unix_timestamp("timestamp").alias("seconds"), "word").agg(F.count("*").alias("n"))
+
+
+@on_tables("stm_05_late_rows_dropped", """WITH e AS (SELECT *, (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE AS mark FROM events WHERE day(ts) > 15)
+    SELECT event_type, count(*) AS n FROM e WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= mark GROUP BY 1""")
+def late_rows_dropped(t):
+    """Watermark of one minute (STM-03): the first half of the month comes after the second and is too late.
+    The state of the first run carries over to the second one through the checkpoint (STM-08)."""
+    source, path, state = _new(t, "events"), _new(t, "counts"), _new(t, "state")
+    rows = t.events.select(c("ts").cast("timestamp").alias("timestamp"), c("event_type").alias("word"))
+    for late in (False, True):
+        day = F.dayofmonth("timestamp")
+        rows.where(day <= 15 if late else day > 15).write.mode("append").parquet(source)
+        stream = t.spark.readStream.schema(rows.schema).parquet(source)
+        jobs.to_files(jobs.windowed_counts(stream, "1 hour", "1 minute"), path, state).awaitTermination()
+    return t.spark.read.parquet(path).groupBy(c("WORD").alias("event_type")).agg(F.sum("COUNT").alias("n"))
+
+
+@on_tables("snk_11_streaming_csv", "SELECT o_orderkey, o_orderpriority FROM orders")
+def streaming_csv(t):
+    source, path = _new(t, "orders"), _new(t, "csv")
+    rows = t.orders.select("o_orderkey", "o_orderpriority")
+    rows.write.parquet(source)
+    jobs.to_files(t.spark.readStream.schema(rows.schema).parquet(source), path, _new(t, "state"), fmt="csv").awaitTermination()
+    return t.spark.read.schema(rows.schema).csv(path)
+
+
+@on_tables("snk_12_complete_mode", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
+def complete_mode(t):
+    source, path = _new(t, "orders"), _new(t, "counts")
+    rows = t.orders.select("o_orderkey", "o_orderpriority")
+    rows.write.parquet(source)
+    counts = t.spark.readStream.schema(rows.schema).parquet(source).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    jobs.to_batches(counts, jobs.replace_with_latest(path), _new(t, "state"), mode="complete").awaitTermination()
+    return jobs.latest_result(t.spark, path)
+
+
+@on_tables("snk_13_streaming_partitions", "SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag = 'A'")
+def streaming_partitions(t):
+    source, path = _new(t, "lines"), _new(t, "lines")
+    rows = t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
+    rows.write.parquet(source)
+    jobs.to_files(t.spark.readStream.schema(rows.schema).parquet(source), path, _new(t, "state"), partition_by=("l_returnflag",)).awaitTermination()
+    return t.spark.read.parquet(path).where(c("l_returnflag") == "A")
+
+
+@on_tables("udf_05_batch_function", "SELECT event_type, sum((value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY 1")
+def batch_function(t):
+    """A function per micro-batch: each batch adds its sums, the sums are added at the end."""
+    source, path = _new(t, "events"), _new(t, "sums")
+    rows = t.events.select("event_type", F.round(c("value") * 100).cast("long").alias("cents"))
+    rows.write.parquet(source)
+
+    def add(batch, batch_id):
+        jobs.batch_folder(path)(batch.groupBy("event_type").agg(F.sum("cents").alias("cents")), batch_id)
+
+    jobs.to_batches(t.spark.readStream.schema(rows.schema).parquet(source), add, _new(t, "state")).awaitTermination()
+    return t.spark.read.parquet(path).groupBy("event_type").agg(F.sum("cents").alias("cents"))
