@@ -132,3 +132,17 @@ def test_top_ranks_are_cut_before_the_shuffle(spark, name):
 def test_no_report_builds_a_product(spark, name):
     plan = _plan(QUERIES[name](spark, SF))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan and "Python" not in plan
+
+
+def test_rate_stream_through_the_copy_job(spark):
+    from tallyforge.streaming import jobs
+
+    stream = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 5).load()
+    out = scratch(spark, "rate")
+    query = jobs.stamped_copy(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "state")).start()
+    try:
+        query.awaitTermination(8)
+    finally:
+        query.stop()
+    rows = spark.read.parquet(out)
+    assert rows.count() >= 5 and rows.where("time_stamp is null").count() == 0
