@@ -11,9 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import millis_to_iso, properties_map, safe_ratio, shorten, tolerant_int, unwrap_envelope
+from ..functions.scalar import millis_to_iso, properties_map, ratio_or_zero, shorten, tolerant_int, unwrap_envelope
 from ..operators.ordered import medians
-from ..session import scratch
+from ..session import kept, scratch
 from . import rules
 
 c = F.col
@@ -286,17 +286,17 @@ def _finding(frame: DataFrame, code: str, severity: str) -> DataFrame:
 
 def stage_findings(table: DataFrame) -> DataFrame:
     """Failure, unclosed starts, failed tasks, spill, garbage collection, skew and fetch wait, all rules in one pass."""
-    open_ratio = safe_ratio(c("unclosed"), c("task_starts"))
+    open_ratio = ratio_or_zero(c("unclosed"), c("task_starts"))
     spill = c("spill_memory_total") + c("spill_disk_total")
-    gc = safe_ratio(c("gc_ms_total"), c("run_ms_total"))
-    wait = safe_ratio(c("fetch_wait_ms_total"), c("run_ms_total"))
+    gc = ratio_or_zero(c("gc_ms_total"), c("run_ms_total"))
+    wait = ratio_or_zero(c("fetch_wait_ms_total"), c("run_ms_total"))
     busy = c("run_ms_total") >= rules.BUSY_MS
     level = lambda high: F.when(high, "high").otherwise("medium")
     medium = F.lit("medium")
     tests = [
         ("FAILED_STAGES", c("failure_reason") != "", F.lit("high")),
         ("TASK_STARTS_WITHOUT_ENDS", (c("unclosed") > 0) & ((c("completion_ms") == 0) | (open_ratio >= 0.05)), level((c("unclosed") >= 10) | (open_ratio >= 0.25))),
-        ("HIGH_FAILED_TASK_RATE", (c("failed_tasks") > 0) & ((c("failed_tasks") >= 10) | (safe_ratio(c("failed_tasks"), c("tasks")) >= 0.02)), medium),
+        ("HIGH_FAILED_TASK_RATE", (c("failed_tasks") > 0) & ((c("failed_tasks") >= 10) | (ratio_or_zero(c("failed_tasks"), c("tasks")) >= 0.02)), medium),
         ("HIGH_STAGE_SPILL", spill >= rules.SPILL_BYTES, level(spill >= rules.SPILL_BYTES * 10)),
         ("HIGH_GC_TIME", busy & (gc >= rules.GC_WARN), level(gc >= rules.GC_HIGH)),
         ("HIGH_FETCH_WAIT", busy & (wait >= rules.FETCH_WAIT), medium),
@@ -408,7 +408,7 @@ def two_pass_tasks(log: EventLog, limit: int = 50) -> DataFrame:
 
 def application_summary(log: EventLog, found: DataFrame | None = None) -> DataFrame:
     """One row per application with totals and its worst severity; ``severity_rank`` sorts the index."""
-    table = stages(log)
+    table = kept(stages(log))
     found = findings(log, stage_table=table) if found is None else found
     rank = F.create_map(*[F.lit(x) for i, s in enumerate(rules.SEVERITY_ORDER) for x in (s, i)])
     count = lambda cond, name: F.sum(F.when(cond, 1).otherwise(0)).alias(name)

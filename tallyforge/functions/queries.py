@@ -154,7 +154,7 @@ def absolute(t):
 @on_tables("mth_03_guarded_ratio", """SELECT l_orderkey, l_partkey, l_linenumber, CASE WHEN l_discount > 0 THEN l_tax / l_discount END AS ratio, CASE WHEN l_discount > 0 THEN l_tax / l_discount ELSE 0 END AS or_zero FROM lineitem""")
 def guarded_ratio(t):
     return t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", F.try_divide("l_tax", "l_discount").alias("ratio"),
-                             S.safe_ratio(c("l_tax"), c("l_discount")).alias("or_zero"))
+                             S.ratio_or_zero(c("l_tax"), c("l_discount")).alias("or_zero"))
 
 
 @on_tables("mth_04_decimal_casts", """SELECT o_orderkey, o_totalprice::DECIMAL(15,4)::DOUBLE AS fine, o_totalprice::DECIMAL(12,2)::DOUBLE / 8 AS eighth FROM orders""")

@@ -75,7 +75,7 @@ def tolerant_int(text: Column, default: int = 0) -> Column:
     return F.coalesce(text.try_cast("bigint"), text.try_cast("double").try_cast("bigint"), F.lit(default).cast("bigint"))
 
 
-def safe_ratio(above: Column, below: Column) -> Column:
+def ratio_or_zero(above: Column, below: Column) -> Column:
     return F.coalesce(F.try_divide(above.cast("double"), below.cast("double")), F.lit(0.0))
 
 

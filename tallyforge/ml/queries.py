@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.ordered import with_group_position
 from ..operators.projection import level_of
 from ..registry import on_tables
-from ..session import scratch
+from ..session import kept, scratch
 from ..sources.files import read_csv
 from ..streaming import jobs as streams
 from . import jobs
@@ -55,7 +55,7 @@ def clusters_do_not_overlap(t):
     """Clusters of one number are ranges: sorted by their least value, each ends before the next begins."""
     from pyspark.sql import Window
 
-    measures = jobs.rfm_measures(_transactions(t)).withColumn("monetary", c("monetary").cast("double"))
+    measures = kept(jobs.rfm_measures(_transactions(t)).withColumn("monetary", c("monetary").cast("double")))
     out = jobs.rfm_clusters(measures).transform(measures)
     spans = out.groupBy("monetary_cluster").agg(F.min("monetary").alias("low"), F.max("monetary").alias("high"), F.count("*").alias("n"))
     spans = spans.withColumn("next", F.lead("low").over(Window.orderBy("low")))
@@ -69,7 +69,7 @@ def customer_scores(t):
     source, target = scratch(t.spark, "csv"), scratch(t.spark, "csv")
     _transactions(t).write.option("header", True).csv(source)
     rows = read_csv(t.spark, source).select("cust_id", c("day").cast("date").alias("day"), c("actual_price").cast("decimal(12,2)").alias("actual_price"), "movie_id")
-    measures = jobs.rfm_measures(rows).withColumn("monetary", c("monetary").cast("double"))
+    measures = kept(jobs.rfm_measures(rows).withColumn("monetary", c("monetary").cast("double")))
     scores = jobs.rfm_scores(measures, jobs.rfm_clusters(measures))
     scores.write.mode("overwrite").option("header", True).csv(target)
     schema = "cust_id string, monetary double, frequency long, most_recent string, recency_score int, frequency_score int, monetary_score int, score int"
@@ -81,7 +81,7 @@ def customer_scores(t):
 @on_tables("ml_15_scores_follow_value", "SELECT count(DISTINCT o_custkey) AS customers, 0::BIGINT AS out_of_order FROM orders")
 def scores_follow_value(t):
     """A higher monetary score means more money than any customer with a lower one."""
-    measures = jobs.rfm_measures(_transactions(t)).withColumn("monetary", c("monetary").cast("double"))
+    measures = kept(jobs.rfm_measures(_transactions(t)).withColumn("monetary", c("monetary").cast("double")))
     scores = jobs.rfm_scores(measures, jobs.rfm_clusters(measures))
     spans = scores.groupBy("monetary_score").agg(F.min("monetary").alias("low"), F.max("monetary").alias("high"), F.count("*").alias("n"))
     below = spans.select((c("monetary_score") + 1).alias("monetary_score"), c("high").alias("below"))

@@ -88,7 +88,8 @@ def sales_fact(lines: DataFrame) -> DataFrame:
         ((cust + order) % 140).alias("cdemo_sk"), (cust % 72).alias("hdemo_sk"), (order % 25).alias("addr_sk"),
         F.when((order % 3 != 1) | (order % 50 != 2), (order + 7) % 25).alias("ship_addr_sk"),
         F.when((order % 3 != 2) | (order % 50 != 1), cust).alias("ship_customer_sk"),
-        "quantity", "ext_list_price", "ext_discount_amt", "ext_tax",
+        "quantity", "ext_list_price", "ext_discount_amt", "ext_tax", c("return_quantity").alias("back_quantity"),
+        c("return_amt").alias("back_amt"), c("return_tax").alias("back_tax"),
         cents(c("ext_list_price") - c("ext_discount_amt")).alias("ext_sales_price"),
         cents(c("ext_list_price") * F.lit("0.6").cast("decimal(2,1)")).alias("ext_wholesale_cost"),
         cents(c("quantity") * F.lit("1.25").cast("decimal(3,2)")).alias("ext_ship_cost"),
@@ -103,20 +104,17 @@ def sales_fact(lines: DataFrame) -> DataFrame:
         unit_price(c("ext_wholesale_cost"), c("quantity")).alias("wholesale_cost"))
 
 
-def returns_fact(lines: DataFrame) -> DataFrame:
-    order, part, supp, cust = c("l_orderkey"), c("l_partkey"), c("supp"), c("o_custkey")
-    day = F.date_add("sold", (part % 150).cast("int"))
-    named = lines.where(c("return_quantity") > 0).select(
-        order.alias("order_number"), part.alias("item_sk"), cust.alias("customer_sk"),
-        pick(("store", "catalog", "web"), order % 3).alias("channel"),
-        F.datediff(day, F.lit(EPOCH).cast("date")).alias("returned_date_sk"),
-        month_key(day).alias("returned_month"),
-        F.when(order % 3 != 0, supp % 6).when(order % 50 != 0, supp).alias("site_sk"),
-        (part % 40).alias("page_sk"), (part % 10).alias("reason_sk"),
-        (cust % 140).alias("cdemo_sk"), (cust % 72).alias("hdemo_sk"), ((order + 3) % 25).alias("addr_sk"),
-        "return_quantity", "return_amt", "return_tax",
-        cents(c("return_quantity") * F.lit("0.5").cast("decimal(2,1)")).alias("fee"),
-        cents(c("return_amt") * F.lit("0.8").cast("decimal(2,1)")).alias("refunded_cash"),
+def returns_fact(sales: DataFrame) -> DataFrame:
+    """Returned part of each sale; read off the finished sales, so line items are shuffled once."""
+    order, part = c("order_number"), c("item_sk")
+    day = F.date_add(F.lit(EPOCH).cast("date"), (c("sold_date_sk") + part % 150).cast("int"))
+    named = sales.where(c("back_quantity") > 0).select(
+        order, part, "customer_sk", "channel", F.datediff(day, F.lit(EPOCH).cast("date")).alias("returned_date_sk"),
+        month_key(day).alias("returned_month"), "site_sk", "page_sk", (part % 10).alias("reason_sk"),
+        (c("customer_sk") % 140).alias("cdemo_sk"), "hdemo_sk", ((order + 3) % 25).alias("addr_sk"),
+        c("back_quantity").alias("return_quantity"), c("back_amt").alias("return_amt"), c("back_tax").alias("return_tax"),
+        cents(c("back_quantity") * F.lit("0.5").cast("decimal(2,1)")).alias("fee"),
+        cents(c("back_amt") * F.lit("0.8").cast("decimal(2,1)")).alias("refunded_cash"),
     )
     return named.withColumn(
         "net_loss", cents(c("return_amt") - c("refunded_cash") + c("fee")))
@@ -253,17 +251,15 @@ def load_star_schema(spark: SparkSession, sf_dir: str, target: str) -> None:
     small = dimensions(spark, sf_dir)
 
     def write(name: str) -> None:
-        if name in small:
-            small[name].hint("rebalance").write.parquet(f"{target}/{name}")
-        elif name == "returns":
-            spread(returns_fact(lines), FACTS[name]).write.partitionBy(*FACTS[name]).parquet(f"{target}/{name}")
-        else:  # inventory is read off the finished sales
-            spread(sales_fact(lines), FACTS["sales"]).write.partitionBy(*FACTS["sales"]).parquet(f"{target}/sales")
-            stock = inventory_fact(spark.read.parquet(f"{target}/sales"))
-            spread(stock, FACTS["inventory"]).write.partitionBy("month").parquet(f"{target}/inventory")
+        frame = small[name].hint("rebalance") if name in small else spread(facts[name], FACTS[name])
+        frame.write.partitionBy(*FACTS.get(name, ())).parquet(f"{target}/{name}")
 
     with ThreadPoolExecutor(4) as pool:  # independent writes share the cluster
-        list(pool.map(write, ["sales", "returns", *small]))
+        facts = {"sales": sales_fact(lines)}
+        list(pool.map(write, ["sales", *small]))
+        sales = spark.read.parquet(f"{target}/sales")
+        facts |= {"returns": returns_fact(sales), "inventory": inventory_fact(sales)}
+        list(pool.map(write, ["returns", "inventory"]))
 
 
 def spread(frame: DataFrame, keys: tuple[str, ...]) -> DataFrame:

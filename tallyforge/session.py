@@ -50,3 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path below the shared folder; nothing is ever written to it twice."""
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def kept(frame, label: str = "kept"):
+    """The same rows as a table in the shared folder: computed once, safe when executors are lost."""
+    path = scratch(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
