@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import io
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..session import kept
 
-__all__ = ["batches", "documents", "kept", "own_columns", "sha256", "table", "texts"]
+__all__ = ["batches", "documents", "kept", "own_columns", "sha256", "shipped", "table", "texts"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +39,29 @@ def texts(column: pa.Array) -> Iterator[bytes | None]:
         yield value.as_py()
 
 
+def shipped(spark: SparkSession) -> None:
+    """Let Python workers import this package: Spark serves it as a zip file, as with ``--py-files``.
+
+    Nothing is done where the package is on the workers' path already.
+    """
+    root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    on_path = [Path(p or ".").resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)] + [Path.cwd()]
+    if root in on_path or root.suffix == ".zip" or context.applicationId in _SHIPPED:
+        return
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as out:
+        for name in sorted((root / "tallyforge").rglob("*.py")):
+            out.write(name, name.relative_to(root))
+    target = Path(tempfile.mkdtemp(prefix="tallyforge-py-")) / "tallyforge.zip"  # read by the driver's file server only
+    target.write_bytes(data.getvalue())
+    context.addPyFile(str(target))
+    _SHIPPED.add(context.applicationId)
+
+
+_SHIPPED: set[str] = set()
+
+
 def batches(frame: DataFrame, per_batch: Callable[[pa.RecordBatch], Iterable[dict]], schema: str, arrow: pa.Schema) -> DataFrame:
     """``per_batch`` turns each Arrow batch into dictionaries of columns; Spark bounds a batch in rows and bytes."""
 
@@ -42,6 +70,7 @@ def batches(frame: DataFrame, per_batch: Callable[[pa.RecordBatch], Iterable[dic
             for columns in per_batch(batch):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
+    shipped(frame.sparkSession)
     return frame.mapInArrow(run, schema)
 
 

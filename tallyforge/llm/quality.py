@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batches, own_columns, texts
+from .common import batches, own_columns, shipped, texts
 
 #: Largest share of word characters inside repeated n-grams, by n: long repeats are rarer by chance, so less is allowed.
 MAX_COVERED = {5: 0.25, 6: 0.24, 7: 0.23, 8: 0.22, 9: 0.21, 10: 0.20}
@@ -127,4 +127,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
             verdicts = [measure(t.decode("utf-8", "surrogatepass") if t is not None else None)["kept"] for t in texts(batch.column("text"))]
             yield batch.filter(pa.array(verdicts, pa.bool_()))
 
+    shipped(docs.sparkSession)
     return docs.select(*names).mapInArrow(good, kinds)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, quality
-from .common import documents
+from . import bpe, html_text, language, quality, topk, url_filter
+from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +24,19 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
+@query("op3_exact_top_k")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one, among all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.nearest(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+@query("op4_html_extraction")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 @query("op6_quality_rules")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition coverage of every document, with its verdict."""
@@ -33,3 +47,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded; digests of both."""
     return bpe.digest_documents(documents(spark, sf_dir))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from three quarters of them."""
+    docs = documents(spark, sf_dir)
+    found = language.label_documents(docs, language.fit(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+#: (verdict, host, path). Fixed values.
+URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+
+
+@query("op10_url_filters")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule or learned verdict on the url of every page."""
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
