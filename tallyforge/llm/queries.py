@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, language, near_dups, quality, topk, url_filter
+from . import bpe, html_text, language, line_chunks, mixing, near_dups, quality, topk, url_filter
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def query(name: str, oracle: str | None = None):
     return keep
 
 
+@query("op1_source_mixing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain probabilities and fitted rate of every document."""
+    return mixing.mix(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 @query("op3_exact_top_k")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every hundredth one, among all others."""
@@ -49,6 +55,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
 
+@query("op7_line_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the chunks of lines that an earlier one holds."""
+    return line_chunks.line_dedup(documents(spark, sf_dir))
+
+
 @query("op8_byte_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded; digests of both."""
