@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import kept
+from ..session import scratch
 
 __all__ = ["batches", "documents", "kept", "own_columns", "sha256", "shipped", "table", "texts"]
 
@@ -24,6 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def kept(frame: DataFrame, label: str) -> DataFrame:
+    """The same rows as a table in the shared folder; the shuffle files that made it go once it is written."""
+    spark = frame.sparkSession
+    path, before = scratch(spark, label), spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        frame.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, language, line_chunks, mixing, near_dups, quality, topk, url_filter
+from . import bpe, html_text, language, line_chunks, mixing, near_dups, quality, repeats, topk, url_filter
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages that come earlier."""
+    return repeats.remove_repeats(documents(spark, sf_dir)).drop("kept_text", "spans")
+
+
 @query("op3_exact_top_k")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every hundredth one, among all others."""
