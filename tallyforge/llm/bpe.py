@@ -231,3 +231,22 @@ def digest_documents(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken",
         yield {"doc_id": batch.column("doc_id"), "n_tokens": counts, "ids_sha256": first, "decoded_sha256": second}
 
     return batches(own_columns(docs, "doc_id", "text"), coded, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", pa.schema(_DIGESTS))
+
+
+_TOKENS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("round_trip", pa.bool_())])
+
+
+def token_documents(docs: DataFrame, name: str = "byte_bpe_multi_50k.tiktoken", package: str = "public_tokenizers") -> DataFrame:
+    """doc_id, n_tokens, token_ids and whether decoding them gives the text back."""
+
+    def coded(batch: pa.RecordBatch):
+        c = codec(package, name)
+        counts, ids, same = [], [], []
+        for text in texts(batch.column("text")):
+            found = c.encode((text or b"").decode())
+            counts.append(len(found) // 4)
+            ids.append(np.frombuffer(found, dtype="<i4"))
+            same.append(c.decode(found) == (text or b""))
+        yield {"doc_id": batch.column("doc_id"), "n_tokens": counts, "token_ids": ids, "round_trip": same}
+
+    return batches(own_columns(docs, "doc_id", "text"), coded, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean", _TOKENS)
