@@ -1,6 +1,6 @@
 """Removal of repeated chunks of lines, with DataFrame functions only.
 
-The hash of each line and the one before it decides whether a chunk ends there, so chunks of equal
+A rolling hash over the hashes of each line and the one before it decides whether a chunk ends there, so chunks of equal
 lines have equal bounds wherever they stand. Chunks with several lines that are not blank are
 counted by their hash over all documents; the first (smallest doc_id, then place) stays. Of each repeated chunk
 the first one's bytes travel to the documents that repeat it, where a chunk goes only if its bytes are
@@ -29,10 +29,9 @@ ENDS_ONE_IN, LEAST_LINES = 3, 2
 def chunked(rows: DataFrame, ends_one_in: int) -> DataFrame:
     """Add ``_chunks``, the texts of the chunks of ``_text`` in order. Steps are columns of their own, so each is worked out once."""
     last = F.size("_lines") - 1
-    hashed = (rows.withColumn("_lines", F.split("_text", "\n", -1))
-              .withColumn("_hashes", F.transform("_lines", lambda line: F.xxhash64(line))))
-    rolled = F.zip_with("_hashes", F.concat(F.array(F.lit(0).cast("long")), F.slice("_hashes", 1, F.size("_hashes") - 1)),
-                        lambda own, before: F.pmod(F.xxhash64(own, before), F.lit(ends_one_in)) == 0)
+    hashed = rows.withColumn("_lines", F.split("_text", "\n", -1)).withColumn("_hashes", F.transform("_lines", lambda line: F.md5(line)))
+    rolled = F.zip_with("_hashes", F.concat(F.array(F.lit("")), F.slice("_hashes", 1, F.size("_hashes") - 1)),
+                        lambda own, before: F.conv(F.substring(F.md5(F.concat(own, before)), 1, 8), 16, 10).cast("long") % ends_one_in == 0)
     ended = hashed.withColumn("_rolled", rolled)
     ended = ended.withColumn("_ends", F.filter(F.transform("_rolled", lambda end, i: F.when(end | (i == last), i).otherwise(-1)), lambda i: i >= 0))
     starts = F.concat(F.array(F.lit(-1)), F.slice("_ends", 1, F.size("_ends") - 1))
@@ -42,7 +41,7 @@ def chunked(rows: DataFrame, ends_one_in: int) -> DataFrame:
 
 def counts(chunk: Column, least_lines: int) -> Column:
     """Whether a chunk has so many lines with a character that is not blank."""
-    return F.size(F.split(F.trim(F.regexp_replace(chunk, r"\s*\n\s*", "\n"), F.lit(" \t\r\n")), "\n")) >= least_lines
+    return F.size(F.filter(F.split(chunk, "\n", -1), lambda line: line.rlike(r"[^ \t\r]"))) >= least_lines
 
 
 def deduplicate_lines(docs: DataFrame, ends_one_in: int = ENDS_ONE_IN, least_lines: int = LEAST_LINES) -> DataFrame:
@@ -59,7 +58,7 @@ def deduplicate_lines(docs: DataFrame, ends_one_in: int = ENDS_ONE_IN, least_lin
     again = (seen.join(first.select("_hash", c("_doc").alias("_doc0"), c("_at").alias("_at0")), "_hash").where("_doc <> _doc0 or _at <> _at0")
              .select("_hash", "_doc", "_at").join(bytes_of, "_hash"))
     again = again.groupBy("_doc").agg(F.collect_list(F.struct("_at", "_bytes")).alias("_again"))  # at most a text
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), c("doc_id").alias("_doc"), c("text").alias("_text")).join(again, "_doc", "left")
+    rows = docs.select(F.struct(*(c(f"`{n}`") for n in docs.columns)).alias("_row"), c("doc_id").alias("_doc"), c("text").alias("_text")).join(again, "_doc", "left")
     cut = chunked(rows, ends_one_in)
     stays = F.filter("_chunks", lambda chunk, i: ~F.exists("_again", lambda a: (a["_at"] == i) & (a["_bytes"] == chunk)))
     cut = cut.withColumn("_stays", F.when(c("_again").isNotNull(), stays))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, language, line_chunks, mixing, near_dups, quality, repeats, topk, url_filter
+from . import bpe, html_text, language, line_chunks, mixing, near_dups, quality, repeats, statements, topk, url_filter
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,26 +30,26 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
-@query("op2_substring_dedup")
+@query("op2_substring_dedup", statements.OP2)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the passages that come earlier."""
     return repeats.remove_repeats(documents(spark, sf_dir)).drop("kept_text", "spans")
 
 
-@query("op3_exact_top_k")
+@query("op3_exact_top_k", statements.OP3)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every hundredth one, among all others."""
     vectors = table(spark, sf_dir, "embeddings")
     return topk.nearest(vectors, vectors.where("vec_id % 100 = 0"), 10)
 
 
-@query("op4_html_extraction")
+@query("op4_html_extraction", statements.OP4)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
-@query("op5_minhash_near_dedup")
+@query("op5_minhash_near_dedup", statements.OP5)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of near duplicates of every document."""
     return near_dups.near_duplicates(documents(spark, sf_dir), k=3, percent=85)
@@ -61,7 +61,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
 
 
-@query("op7_line_dedup")
+@query("op7_line_dedup", statements.OP7)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the chunks of lines that an earlier one holds."""
     return line_chunks.line_dedup(documents(spark, sf_dir))
