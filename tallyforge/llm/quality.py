@@ -120,12 +120,13 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents whose verdict is to keep them, with all their columns, judged in one map without a join."""
-    names, kinds = docs.columns, docs.schema
 
     def good(source):
         for batch in source:
-            verdicts = [measure(t.decode("utf-8", "surrogatepass") if t is not None else None)["kept"] for t in texts(batch.column("text"))]
+            verdicts = [measure(t.decode("utf-8", "surrogatepass") if t is not None else None)["kept"] for t in texts(batch.column(at))]
             yield batch.filter(pa.array(verdicts, pa.bool_()))
 
     shipped(docs.sparkSession)
-    return docs.select(*names).mapInArrow(good, kinds)
+    at = docs.columns.index("text")
+    plain = docs.toDF(*(f"_{i}" for i in range(len(docs.columns))))  # a name with a dot can't go to Arrow
+    return plain.mapInArrow(good, plain.schema).toDF(*docs.columns)
