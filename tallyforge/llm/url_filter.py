@@ -33,7 +33,7 @@ BLOCKED_WORDS = ("adult", "bet", "bets", "betting", "bonus", "casino", "cheap",
 #: Words of host names that stand for no content, beside the top-level domain. Fixed values.
 PLAIN_WORDS = ("www", "m", "blog", "example", "html", "htm", "php", "index", "page")
 PRIOR_BLOCKED = 0.01
-SMOOTHING = 0.5
+SMOOTHING = 0.1
 LONGEST_WORD = 24
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
