@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import millis_to_iso, properties_map, ratio_or_zero, shorten, tolerant_int, unwrap_envelope
+from ..functions.scalar import millis_to_iso, nested_text, properties_map, ratio_or_zero, tolerant_int, unwrap_envelope
 from ..operators.ordered import medians
 from ..session import kept, scratch
 from . import rules
@@ -66,22 +66,36 @@ def merged_order(lines: DataFrame) -> DataFrame:
 # ---- parsing -------------------------------------------------------------------------------------
 
 
+_STORED = {}
+
+
+def stored(fn):
+    """A table that ``EventLog.organise`` parses once and keeps."""
+    name = fn.__name__
+
+    def read(log: EventLog) -> DataFrame:
+        return log.tables[name] if name in log.tables else fn(log)
+
+    read.__name__, read.__doc__ = name, fn.__doc__
+    _STORED[name] = read
+    return read
+
+
 class EventLog:
     """Lines with the name of their event. ``organise`` stores them by event once, so that a table
-    reads only its own events, and stores the parsed task ends, which most rules need."""
+    reads only its own events, and stores the parsed tables that most rules need."""
 
-    def __init__(self, lines: DataFrame, ends: DataFrame | None = None):
-        name = F.regexp_extract("value", r'"Event"\s*:\s*"([^"]+)"', 1)
+    def __init__(self, lines: DataFrame, tables: dict[str, DataFrame] | None = None):
+        name = F.regexp_extract("value", rules.EVENT_KEY, 1)
         self.lines = lines if "event" in lines.columns else lines.withColumn("event", name)
-        self.ends = ends
+        self.tables = tables or {}
 
     @classmethod
     def organise(cls, lines: DataFrame) -> EventLog:
         spark, path = lines.sparkSession, scratch(lines.sparkSession, "events")
         cls(lines).lines.write.partitionBy("event").parquet(f"{path}/lines")
-        stored = spark.read.parquet(f"{path}/lines")
-        task_ends(cls(stored)).write.parquet(f"{path}/ends")
-        return cls(stored, spark.read.parquet(f"{path}/ends"))
+        plain = cls(spark.read.parquet(f"{path}/lines"))
+        return cls(plain.lines, {name: kept(fn(plain), name) for name, fn in _STORED.items()})
 
 
 def of_type(log: EventLog, name: str, schema: str) -> DataFrame:
@@ -115,6 +129,7 @@ def spark_properties(log: EventLog, prefixes: tuple[str, ...] = rules.PROPERTY_P
     return pairs.where(wanted).groupBy("app_key", "key").agg(F.max("value").alias("value"))
 
 
+@stored
 def jobs(log: EventLog) -> DataFrame:
     start = of_type(log, "SparkListenerJobStart", "`Job ID` string, `Submission Time` string, `Stage IDs` array<int>, `Properties` string")
     props = properties_map(c("Properties"))
@@ -128,23 +143,25 @@ def jobs(log: EventLog) -> DataFrame:
     return both.withColumn("status", status).withColumn("execution_id", F.when(c("execution_id") >= 0, c("execution_id")))
 
 
+@stored
 def executors(log: EventLog) -> DataFrame:
     added = of_type(log, "SparkListenerExecutorAdded", "`Executor ID` string, `Timestamp` string, `Executor Info` struct<`Host`: string>")
     added = added.groupBy("app_key", F.coalesce("Executor ID", F.lit("unknown")).alias("executor_id")).agg(
         F.max(_number("Timestamp")).alias("added_ms"), F.max("Executor Info.Host").alias("host"))
     gone = of_type(log, "SparkListenerExecutorRemoved", "`Executor ID` string, `Timestamp` string, `Removed Reason` string")
     gone = gone.groupBy("app_key", F.coalesce("Executor ID", F.lit("unknown")).alias("executor_id")).agg(
-        F.max(_number("Timestamp")).alias("removed_ms"), F.max(shorten(c("Removed Reason"), 500)).alias("removed_reason"))
+        F.max(_number("Timestamp")).alias("removed_ms"), F.max(c("Removed Reason")).alias("removed_reason"))
     return added.join(gone, ["app_key", "executor_id"], "full_outer").withColumn("removed", c("removed_ms").isNotNull())
 
 
+@stored
 def sql_executions(log: EventLog) -> DataFrame:
     start = of_type(log, SQL_START, "`executionId` string, `description` string, `time` string")
-    start = start.select("app_key", _number("executionId", -1).alias("execution_id"), shorten(F.coalesce("description", F.lit("")), 500).alias("description"),
+    start = start.select("app_key", _number("executionId", -1).alias("execution_id"), F.coalesce("description", F.lit("")).alias("description"),
                          _number("time").alias("start_ms"))
     end = of_type(log, SQL_END, "`executionId` string, `time` string, `errorMessage` string")
     end = end.select("app_key", _number("executionId", -1).alias("execution_id"), _number("time").alias("end_ms"),
-                     shorten(F.coalesce("errorMessage", F.lit("")), 500).alias("error_message"))
+                     F.coalesce("errorMessage", F.lit("")).alias("error_message"))
     both = start.join(end, ["app_key", "execution_id"], "full_outer").where(c("execution_id") >= 0)
     return both.withColumn("state", F.when(c("end_ms").isNull(), "running").otherwise("ended"))
 
@@ -155,15 +172,16 @@ _INFO = ("`Stage Info` struct<`Stage ID`: string, `Stage Attempt ID`: string, `S
          "`Submission Time`: string, `Completion Time`: string, `Failure Reason`: string>")
 
 
+@stored
 def stage_infos(log: EventLog) -> DataFrame:
     both = of_type(log, "SparkListenerStageSubmitted", _INFO).unionByName(of_type(log, "SparkListenerStageCompleted", _INFO))
     flat = both.select("app_key", "Stage Info.*")
     return flat.groupBy("app_key", _number("Stage ID", -1).alias("stage_id"), _number("Stage Attempt ID").alias("attempt_id")).agg(
         F.max("Stage Name").alias("name"), F.max(_number("Number of Tasks")).alias("declared"), F.max(_number("Submission Time")).alias("submission_ms"),
-        F.max(_number("Completion Time")).alias("completion_ms"), F.max(shorten(c("Failure Reason"), 500)).alias("failure_reason"))
+        F.max(_number("Completion Time")).alias("completion_ms"), F.max("Failure Reason").alias("failure_reason"))
 
 
-_END = ("`Stage ID` string, `Stage Attempt ID` string, `Task End Reason` struct<`Reason`: string, `Class Name`: string, `Description`: string, `Message`: string>, "
+_END = ("`Stage ID` string, `Stage Attempt ID` string, `Task End Reason` string, "
         "`Task Metrics` struct<`Executor Run Time`: string, `JVM GC Time`: string, `Memory Bytes Spilled`: string, `Disk Bytes Spilled`: string, "
         "`Peak Execution Memory`: string, `Input Metrics`: struct<`Bytes Read`: string>, `Shuffle Read Metrics`: struct<`Total Bytes Read`: string, "
         "`Remote Bytes Read`: string, `Local Bytes Read`: string, `Remote Bytes Read To Disk`: string, `Fetch Wait Time`: string>, "
@@ -176,17 +194,17 @@ def shuffle_read(total: Column, remote: Column, local: Column, to_disk: Column)
     return F.when(total > 0, total).otherwise(remote + local + to_disk)
 
 
+@stored
 def task_ends(log: EventLog) -> DataFrame:
-    if log.ends is not None:
-        return log.ends
     tasks = of_type(log, "SparkListenerTaskEnd", _END)
     metric = lambda path: F.when(c("Task Metrics").isNotNull(), tolerant_int(c(f"Task Metrics.{path}")))
     read = lambda name: tolerant_int(c(f"Task Metrics.Shuffle Read Metrics.{name}"))
-    reason = F.coalesce("Task End Reason.Reason", "Task End Reason.Class Name", F.lit("Unknown"))
+    why = c("Task End Reason")
+    reason = F.coalesce(F.get_json_object(why, "$.Reason"), F.get_json_object(why, "$['Class Name']"), F.lit("Unknown"))
     return tasks.select(
         "app_key", _number("Stage ID", -1).alias("stage_id"), _number("Stage Attempt ID").alias("attempt_id"), reason.alias("reason"),
         (~reason.isin(*rules.SUCCESS_REASONS)).alias("failed"),
-        F.concat_ws(" ", "Task End Reason.Reason", "Task End Reason.Class Name", "Task End Reason.Description", "Task End Reason.Message").alias("text"),
+        nested_text(why).alias("text"),
         metric("Executor Run Time").alias("run_ms"), metric("JVM GC Time").alias("gc_ms"), metric("Shuffle Read Metrics.Fetch Wait Time").alias("fetch_wait_ms"),
         metric("Memory Bytes Spilled").alias("spill_memory"), metric("Disk Bytes Spilled").alias("spill_disk"), metric("Peak Execution Memory").alias("peak_memory"),
         metric("Input Metrics.Bytes Read").alias("input_bytes"),
@@ -194,6 +212,7 @@ def task_ends(log: EventLog) -> DataFrame:
         metric("Shuffle Write Metrics.Shuffle Bytes Written").alias("shuffle_write")).where(c("stage_id") >= 0)
 
 
+@stored
 def task_starts(log: EventLog) -> DataFrame:
     info = "`Task Info` struct<`Task ID`: string, `Launch Time`: string, `Executor ID`: string, `Host`: string>"
     starts = of_type(log, "SparkListenerTaskStart", f"`Stage ID` string, `Stage Attempt ID` string, {info}")
@@ -249,30 +268,37 @@ def _signature_codes(text: Column) -> Column:
 
 
 def signature_texts(log: EventLog) -> DataFrame:
-    """Every field that may hold an error text, with where it came from."""
+    """All text of what may tell of an error, whatever field it stands in, with where it came from."""
     ends = task_ends(log).select("app_key", F.lit("task_end_reason").alias("source"), "text")
     gone = of_type(log, "SparkListenerExecutorRemoved", "`Removed Reason` string").select("app_key", F.lit("executor_removed").alias("source"), c("Removed Reason").alias("text"))
-    ended = of_type(log, "SparkListenerJobEnd", "`Job Result` string").select("app_key", F.lit("job_end").alias("source"), c("Job Result").alias("text"))
-    sql = [of_type(log, name, "`description` string, `details` string, `errorMessage` string").select(
-        "app_key", F.lit(source).alias("source"), F.concat_ws(" ", "description", "details", "errorMessage").alias("text"))
-        for name, source in ((SQL_START, "sql_execution_start"), (SQL_END, "sql_execution_end"))]
-    out = ends.unionByName(gone).unionByName(ended)
-    for frame in sql:
-        out = out.unionByName(frame)
-    return out.where(c("text").isNotNull() & (c("text") != ""))
+    ended = of_type(log, "SparkListenerJobEnd", "`Job Result` string").select("app_key", F.lit("job_end").alias("source"), nested_text(c("Job Result")).alias("text"))
+    sql = log.lines.where(c("event").isin(SQL_START, SQL_END)).select(
+        "app_key", F.when(c("event") == SQL_START, "sql_execution_start").otherwise("sql_execution_end").alias("source"), nested_text(c("value")).alias("text"))
+    return ends.unionByName(gone).unionByName(ended).unionByName(sql).where(c("text").isNotNull() & (c("text") != ""))
+
+
+def raw_line_texts(log: EventLog) -> DataFrame:
+    """Every event line that holds a word of a signature, unparsed; the first pass over a very large log."""
+    lower = F.lower("value")
+    anchored = reduce(lambda a, b: a | b, [lower.contains(word) for word in rules.ANCHORS])
+    return log.lines.where((c("event") != "") & anchored).select("app_key", F.lit("raw_event_line").alias("source"), c("value").alias("text"))
 
 
-def signature_hits(log: EventLog) -> DataFrame:
+def signature_hits(log: EventLog, texts: DataFrame | None = None) -> DataFrame:
     """Hits per application, code and source. Equal texts are counted before the patterns run."""
-    texts = signature_texts(log).groupBy("app_key", "source", "text").agg(F.count("*").alias("n"))
+    texts = (signature_texts(log) if texts is None else texts).groupBy("app_key", "source", "text").agg(F.count("*").alias("n"))
     hits = texts.select("app_key", "source", "n", F.explode(_signature_codes(c("text"))).alias("code"))
     return hits.groupBy("app_key", "code", "source").agg(F.sum("n").alias("hits"))
 
 
-def signature_examples(log: EventLog, n: int = 5) -> DataFrame:
+def signature_examples(log: EventLog, n: int | None = None) -> DataFrame:
+    """The different texts of each application and code, whole; the first n in order, or all."""
     from pyspark.sql import Window
 
-    texts = signature_texts(log).select("app_key", shorten(c("text"), 300).alias("example"), F.explode(_signature_codes(c("text"))).alias("code")).distinct()
+    texts = signature_texts(log).select("app_key", c("text").alias("example")).distinct()
+    texts = texts.select("app_key", "example", F.explode(_signature_codes(c("example"))).alias("code"))
+    if n is None:
+        return texts
     line = Window.partitionBy("app_key", "code").orderBy("example")
     return texts.withColumn("place", F.row_number().over(line)).where(c("place") <= n).drop("place")
 
@@ -284,7 +310,7 @@ def _finding(frame: DataFrame, code: str, severity: str) -> DataFrame:
     return frame.select("app_key", F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.lit("").alias("stage"))
 
 
-def stage_findings(table: DataFrame) -> DataFrame:
+def stage_findings(table: DataFrame, codes: tuple[str, ...] | None = None) -> DataFrame:
     """Failure, unclosed starts, failed tasks, spill, garbage collection, skew and fetch wait, all rules in one pass."""
     open_ratio = ratio_or_zero(c("unclosed"), c("task_starts"))
     spill = c("spill_memory_total") + c("spill_disk_total")
@@ -303,28 +329,44 @@ def stage_findings(table: DataFrame) -> DataFrame:
     ]
     for code, metric, floor in (("TASK_RUNTIME_SKEW", "run_ms", rules.SKEW_MS), ("INPUT_SKEW", "input_bytes", rules.SKEW_BYTES),
                                 ("SHUFFLE_READ_SKEW", "shuffle_read", rules.SKEW_BYTES)):
+        if codes is not None and code not in codes:
+            continue  # a table without medians has no such columns
         median, high = c(f"{metric}_median"), c(f"{metric}_max")
         tests.append((code, (median > 0) & (high >= floor) & (F.try_divide(high, median) >= rules.SKEW_RATIO), medium))
+    tests = [x for x in tests if codes is None or x[0] in codes]
     found = F.array_compact(F.array(*[F.when(test, F.struct(severity.alias("severity"), F.lit(code).alias("code"))) for code, test, severity in tests]))
     key = F.concat_ws(".", c("stage_id").cast("string"), c("attempt_id").cast("string"))
     rows = table.select("app_key", key.alias("key"), F.explode(found).alias("f"))
     return rows.select("app_key", "f.severity", "f.code", F.when(c("f.code") == "FAILED_STAGES", "").otherwise(c("key")).alias("stage")).distinct()
 
 
-def findings(log: EventLog, parse_errors: DataFrame | None = None, stage_table: DataFrame | None = None) -> DataFrame:
-    """All findings: health of the log, failed jobs and stages, signatures, stage rules."""
-    table = stages(log) if stage_table is None else stage_table
-    apps = applications(log)
-    hits = signature_hits(log).select("app_key", "code").distinct()
-    severity = F.create_map(*[F.lit(x) for code, (level, _) in rules.SIGNATURES.items() for x in (code, level)])
-    out = _finding(apps.where((c("start_ms") > 0) & (F.coalesce("end_ms", F.lit(0)) == 0)), "APPLICATION_INCOMPLETE", "low")
-    out = out.unionByName(_finding(jobs(log).where(c("status") == "failed").select("app_key").distinct(), "FAILED_JOBS", "high"))
-    out = out.unionByName(hits.select("app_key", severity[c("code")].alias("severity"), "code", F.lit("").alias("stage")))
-    both = hits.where(c("code") == "FETCH_FAILED").join(hits.where(c("code") == "EXECUTOR_LOST"), "app_key", "left_semi")
-    out = out.unionByName(_finding(both, "FETCH_FAILED_AFTER_EXECUTOR_LOSS", "high")).unionByName(stage_findings(table))
-    if parse_errors is not None:
-        out = out.unionByName(_finding(parse_errors.select("app_key").distinct(), "PARSE_ERRORS", "medium"))
-    return out
+STAGE_CODES = ("FAILED_STAGES", "TASK_STARTS_WITHOUT_ENDS", "HIGH_FAILED_TASK_RATE", "HIGH_STAGE_SPILL", "HIGH_GC_TIME", "HIGH_FETCH_WAIT",
+               "TASK_RUNTIME_SKEW", "INPUT_SKEW", "SHUFFLE_READ_SKEW")
+SKEW_CODES = STAGE_CODES[-3:]
+
+
+def findings(log: EventLog, parse_errors: DataFrame | None = None, stage_table: DataFrame | None = None, codes: tuple[str, ...] | None = None) -> DataFrame:
+    """Findings of all rules, or of the rules with the given codes only: health of the log, failed jobs and stages, signatures, stage rules."""
+    wanted = lambda *some: codes is None or any(x in codes for x in some)
+    parts = []
+    if wanted("APPLICATION_INCOMPLETE"):
+        parts.append(_finding(applications(log).where((c("start_ms") > 0) & (F.coalesce("end_ms", F.lit(0)) == 0)), "APPLICATION_INCOMPLETE", "low"))
+    if wanted("FAILED_JOBS"):
+        parts.append(_finding(jobs(log).where(c("status") == "failed").select("app_key").distinct(), "FAILED_JOBS", "high"))
+    if wanted(*rules.SIGNATURES, "FETCH_FAILED_AFTER_EXECUTOR_LOSS"):
+        hits = signature_hits(log).select("app_key", "code").distinct()
+        severity = F.create_map(*[F.lit(x) for code, (level, _) in rules.SIGNATURES.items() for x in (code, level)])
+        own = hits if codes is None else hits.where(c("code").isin(*codes))
+        parts.append(own.select("app_key", severity[c("code")].alias("severity"), "code", F.lit("").alias("stage")))
+        both = hits.where(c("code") == "FETCH_FAILED").join(hits.where(c("code") == "EXECUTOR_LOST"), "app_key", "left_semi")
+        if wanted("FETCH_FAILED_AFTER_EXECUTOR_LOSS"):
+            parts.append(_finding(both, "FETCH_FAILED_AFTER_EXECUTOR_LOSS", "high"))
+    if wanted(*STAGE_CODES):
+        table = stages(log, with_medians=wanted(*SKEW_CODES)) if stage_table is None else stage_table
+        parts.append(stage_findings(table, codes))
+    if parse_errors is not None and wanted("PARSE_ERRORS"):
+        parts.append(_finding(parse_errors.select("app_key").distinct(), "PARSE_ERRORS", "medium"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def empty_logs(all_keys: DataFrame, log: EventLog) -> DataFrame:
@@ -382,28 +424,24 @@ def query_breakdown(log: EventLog, stage_table: DataFrame | None = None) -> Data
                       ((c("retried_stages") > 0) | (c("task_retries") > 0)).alias("retried"))
 
 
-def deep_stages(log: EventLog, limit: int = 50) -> DataFrame:
-    """Stages worth a full parse: failed ones first, then those with a signature in a task end, in key order."""
-    failed = stage_infos(log).where(c("failure_reason") != "").select(*STAGE, F.lit(0).alias("kind"))
-    marked = "(?i)" + "|".join(f"(?:{p})" for _, patterns in rules.SIGNATURES.values() for p in patterns)
-    lower = F.lower("value")
-    anchored = reduce(lambda a, b: a | b, [lower.contains(word) for word in rules.ANCHORS])
-    raw = log.lines.where((c("event") == "SparkListenerTaskEnd") & anchored).where(c("value").rlike(marked))
-    hit = raw.select("app_key", F.regexp_extract("value", r'"Stage ID"\s*:\s*(-?\d+)', 1).try_cast("long").alias("stage_id"),
-                     F.coalesce(F.regexp_extract("value", r'"Stage Attempt ID"\s*:\s*(-?\d+)', 1).try_cast("long"), F.lit(0)).alias("attempt_id"), F.lit(1).alias("kind"))
-    from pyspark.sql import Window
+def _task_end_keys(lines: DataFrame) -> DataFrame:
+    """Task ends with the keys of their stage, cut out of the unparsed line."""
+    cut = lambda key: F.regexp_extract("value", key, 1).try_cast("long")
+    ends = lines.where(c("event") == "SparkListenerTaskEnd")
+    return ends.withColumn("stage_id", cut(rules.STAGE_KEY)).withColumn("attempt_id", F.coalesce(cut(rules.ATTEMPT_KEY), F.lit(0)))
 
-    chosen = failed.unionByName(hit).groupBy(*STAGE).agg(F.min("kind").alias("kind"))
-    line = Window.partitionBy("app_key").orderBy("kind", "stage_id", "attempt_id")
-    return chosen.withColumn("place", F.row_number().over(line)).where(c("place") <= limit).select(*STAGE)
+
+def deep_stages(log: EventLog) -> DataFrame:
+    """Stages worth a full parse: failed ones and those with a signature in a task end."""
+    failed = stage_infos(log).where(c("failure_reason") != "").select(*STAGE)
+    marked = "(?i)" + "|".join(f"(?:{p})" for _, patterns in rules.SIGNATURES.values() for p in patterns)
+    raw = raw_line_texts(EventLog(log.lines.where(c("event") == "SparkListenerTaskEnd"))).select("app_key", c("text").alias("value"), F.lit("SparkListenerTaskEnd").alias("event"))
+    return failed.unionByName(_task_end_keys(raw.where(c("value").rlike(marked))).select(*STAGE)).distinct()
 
 
-def two_pass_tasks(log: EventLog, limit: int = 50) -> DataFrame:
+def two_pass_tasks(log: EventLog) -> DataFrame:
     """Task metrics of the chosen stages only: keys are cut out of the text and semi-joined before any JSON is parsed."""
-    keyed = log.lines.where(c("event") == "SparkListenerTaskEnd").withColumn(
-        "stage_id", F.regexp_extract("value", r'"Stage ID"\s*:\s*(-?\d+)', 1).try_cast("long")).withColumn(
-        "attempt_id", F.coalesce(F.regexp_extract("value", r'"Stage Attempt ID"\s*:\s*(-?\d+)', 1).try_cast("long"), F.lit(0)))
-    return task_ends(EventLog(keyed.join(deep_stages(log, limit), STAGE, "left_semi").drop("stage_id", "attempt_id")))
+    return task_ends(EventLog(_task_end_keys(log.lines).join(deep_stages(log), STAGE, "left_semi").drop("stage_id", "attempt_id")))
 
 
 def application_summary(log: EventLog, found: DataFrame | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
 """Event lines derived from the given tables, so that diagnosis runs on data that grows with them.
 
-Each line item is a task of stage ``part % 20`` of application ``supplier % 4``.
+Each line item is a task of stage ``part % 80`` of application ``supplier % 4``; one more file of app-1 is cut off in its first line.
 """
 
 from __future__ import annotations
@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.mart import _fingerprint
-from ..session import scratch, shared_dir
+from ..session import kept, scratch, shared_dir
 from ..sources.files import read_lines
 from ..sources.tables import spread_scan
-from .events import SQL_END, SQL_START, EventLog
+from .events import SQL_END, SQL_START, EventLog, clean, cleaning_report
 
 c = F.col
 T0 = 1_700_000_000_000
@@ -26,7 +26,7 @@ def _event(name: str, **fields):
 
 
 def tasks(lineitem: DataFrame) -> DataFrame:
-    stage, qty, hot = c("l_partkey") % 20, c("l_quantity").cast("long"), F.when(c("l_partkey") % 100 == 0, 50).otherwise(1)
+    stage, qty, hot = c("l_partkey") % 80, c("l_quantity").cast("long"), F.when(c("l_partkey") % 100 == 0, 50).otherwise(1)
     rows = lineitem.select(
         F.concat(F.lit("app-"), (c("l_suppkey") % 4).cast("string")).alias("app"), stage.alias("stage"), "l_linenumber", "l_returnflag", "l_linestatus", qty.alias("qty"),
         F.when((stage == 7) & (c("l_linenumber") >= 6), 1).otherwise(0).alias("attempt"), (c("l_orderkey") * 8 + c("l_linenumber")).alias("task"),
@@ -39,9 +39,11 @@ def _task_lines(t) -> DataFrame:
     s, run, qty, n = c("stage"), c("run"), c("qty"), c("l_linenumber")
     start = _event("SparkListenerTaskStart", Stage_ID=s, Stage_Attempt_ID=c("attempt"), Task_Info=F.struct(
         c("task").alias("Task ID"), c("launch").alias("Launch Time"), (c("task") % 10).cast("string").alias("Executor ID"), F.lit("host").alias("Host")))
-    reason = lambda kind, **more: F.struct(F.lit(kind).alias("Reason"), *[F.lit(more.get(k)).alias(k.replace("_", " ")) for k in ("Class_Name", "Description", "Message")])
+    reason = lambda kind, **more: F.struct(F.lit(kind).alias("Reason"), *[F.lit(more.get(k)).alias(k.replace("_", " ")) for k in ("Class_Name", "Description", "Message", "Full_Stack_Trace", "Loss_Reason")])
     ended = (F.when((s == 5) & (n == 1) & (c("l_returnflag") == "R"), reason("FetchFailed", Message="FetchFailedException: missing an output location for shuffle 3"))
-             .when((s == 11) & (n == 2) & (c("l_returnflag") == "A"), reason("ExceptionFailure", Class_Name="java.lang.OutOfMemoryError", Description="Java heap space"))
+             .when(((s == 11) | (s >= 20)) & (n == 2) & (c("l_returnflag") == "A"),
+                   reason("ExceptionFailure", Class_Name="org.apache.spark.SparkException", Description="task failed", Full_Stack_Trace="Caused by: java.lang.OutOfMemoryError: Java heap space"))
+             .when((s == 12) & (n == 5) & (c("l_returnflag") == "R"), reason("ExecutorLostFailure", Loss_Reason="Container killed by YARN for exceeding memory limits"))
              .when((s == 9) & (n == 3), reason("TaskCommitDenied")).otherwise(reason("Success")))
     total = F.when(c("l_linestatus") == "O", qty * 2_000_000)
     part = lambda factor: F.when(c("l_linestatus") != "O", qty * factor)
@@ -88,7 +90,7 @@ def _other_lines(t) -> DataFrame:
     q = c("q")
     with_sql = apps.select("app", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("q"))
     sql_lines = with_sql.select("app", F.explode(F.array_compact(F.array(
-        F.when(~((q == 1) & (c("app") == "app-2")), _event(SQL_START, executionId=q, description=F.concat(F.lit("query "), q.cast("string")), details=F.lit("at job"), time=F.lit(T0 - 500) + q * 2000)),
+        F.when(~((q == 1) & (c("app") == "app-2")), _event(SQL_START, executionId=q, description=F.concat(F.lit("query "), q.cast("string")), details=F.lit("at job"), physicalPlanDescription=F.when(q == 1, F.lit("Scan after OutOfMemoryError")), time=F.lit(T0 - 500) + q * 2000)),
         F.when(q != 2, _event(SQL_END, executionId=q, time=F.lit(T0 + 600_000) + q, errorMessage=F.when(q == 0, F.lit("Executor 7 lost")))))))
         .alias("value"))
 
@@ -98,18 +100,20 @@ def _other_lines(t) -> DataFrame:
         _event("SparkListenerExecutorAdded", Timestamp=F.lit(T0) + c("s_suppkey"), Executor_ID=c("s_suppkey").cast("string"), Executor_Info=F.struct(c("s_name").alias("Host"))),
         F.when(c("s_suppkey") % 10 == 0, _event("SparkListenerExecutorRemoved", Timestamp=F.lit(T0 + 1000) + c("s_suppkey"), Executor_ID=c("s_suppkey").cast("string"), Removed_Reason=gone)))))
         .alias("value"))
+    cut_off = t.region.where(c("r_regionkey") == 1).select(F.lit("app-1").alias("app"), F.lit('{"Event":"SparkListenerTaskEnd","Sta').alias("value"))
     out = stage_lines
-    for frame in (app_lines, job_lines, sql_lines, executor_lines):
+    for frame in (cut_off, app_lines, job_lines, sql_lines, executor_lines):
         out = out.unionByName(frame)
     return out
 
 
 def event_log(t) -> EventLog:
-    """The log of the four applications: written once as text folders, read back as lines and organised."""
+    """The log of the four applications: written once as text folders, read back as lines, cleaned and organised."""
     key = (id(t.spark), f"{shared_dir(t.spark)}|{_fingerprint(t.spark, t.sf_dir)}")
     if key not in _LOGS or _LOGS[key].lines.sparkSession is not t.spark:
         path = scratch(t.spark, "eventlog")
         _task_lines(t).unionByName(_other_lines(t)).write.partitionBy("app").text(path)
         lines = read_lines(t.spark, path).withColumn("app_key", F.regexp_replace("app_key", "^app=", ""))
-        _LOGS[key] = EventLog.organise(lines)
+        _LOGS[key] = EventLog.organise(clean(lines))
+        _LOGS[key].tables["corrupt"] = kept(cleaning_report(lines).where(c("corrupt")), "corrupt")
     return _LOGS[key]

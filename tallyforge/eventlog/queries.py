@@ -16,17 +16,18 @@ from .from_tables import T0, event_log, tasks
 
 c = F.col
 
-_TASKS = f"""WITH tk AS (SELECT 'app-' || l_suppkey % 4 app_key, l_partkey % 20 stage_id, CASE WHEN l_partkey % 20 = 7 AND l_linenumber >= 6 THEN 1 ELSE 0 END::BIGINT attempt_id,
+_TASKS = f"""WITH tk AS (SELECT 'app-' || l_suppkey % 4 app_key, l_partkey % 80 stage_id, CASE WHEN l_partkey % 80 = 7 AND l_linenumber >= 6 THEN 1 ELSE 0 END::BIGINT attempt_id,
     l_orderkey * 8 + l_linenumber task, {T0} + l_orderkey * 10 launch, l_quantity::BIGINT q, l_quantity::BIGINT * 1000 * CASE WHEN l_partkey % 100 = 0 THEN 50 ELSE 1 END run,
     l_linenumber n, l_returnflag fl, l_linestatus ls, l_partkey pk FROM lineitem),
 ends AS (SELECT *, run AS run_ms, CASE WHEN stage_id = 13 THEN run * 3 // 10 ELSE run // 50 END gc_ms, CASE WHEN stage_id = 17 THEN run // 3 ELSE 0 END fetch_wait_ms,
     CASE WHEN stage_id = 15 THEN q * 10000000 ELSE 0 END spill_memory, CASE WHEN stage_id = 15 THEN q * 5000000 ELSE 0 END spill_disk, q * 1000000 peak_memory,
     run * 1000 input_bytes, CASE WHEN ls = 'O' THEN q * 2000000 ELSE q * 1600000 END shuffle_read, q * 300000 shuffle_write,
-    CASE WHEN stage_id = 5 AND n = 1 AND fl = 'R' THEN 'FetchFailed' WHEN stage_id = 11 AND n = 2 AND fl = 'A' THEN 'ExceptionFailure'
+    CASE WHEN stage_id = 5 AND n = 1 AND fl = 'R' THEN 'FetchFailed' WHEN (stage_id = 11 OR stage_id >= 20) AND n = 2 AND fl = 'A' THEN 'ExceptionFailure'
+      WHEN stage_id = 12 AND n = 5 AND fl = 'R' THEN 'ExecutorLostFailure'
       WHEN stage_id = 9 AND n = 3 THEN 'TaskCommitDenied' ELSE 'Success' END reason
   FROM tk WHERE NOT (stage_id = 3 AND n = 4)),
 st AS (SELECT app_key, stage_id, attempt_id, count(*) task_starts, min(launch) first_launch, max(launch) last_launch FROM tk GROUP BY ALL),
-en AS (SELECT app_key, stage_id, attempt_id, count(*) tasks, count(*) FILTER (WHERE reason IN ('FetchFailed', 'ExceptionFailure')) failed_tasks,
+en AS (SELECT app_key, stage_id, attempt_id, count(*) tasks, count(*) FILTER (WHERE reason IN ('FetchFailed', 'ExceptionFailure', 'ExecutorLostFailure')) failed_tasks,
     sum(run_ms)::BIGINT run_total, sum(gc_ms)::BIGINT gc_total, sum(fetch_wait_ms)::BIGINT wait_total, sum(spill_memory + spill_disk)::BIGINT spill,
     max(run_ms) run_max, median(run_ms) run_median, max(input_bytes) input_max, median(input_bytes) input_median, max(shuffle_read) read_max, median(shuffle_read) read_median FROM ends GROUP BY ALL),
 sg AS (SELECT *, task_starts - coalesce(tasks, 0) unclosed, CASE WHEN stage_id = 3 THEN 0 ELSE last_launch + 60000 END done FROM st LEFT JOIN en USING (app_key, stage_id, attempt_id)),
@@ -35,6 +36,8 @@ job AS (SELECT app_key, j, j // 2 q, {T0} + j * 1000 submitted, CASE WHEN NOT (j
     CASE WHEN j = 4 AND app_key = 'app-3' THEN 'running' WHEN j = 1 THEN 'failed' ELSE 'succeeded' END status FROM apps, range(5) g(j)),
 hits AS (SELECT app_key, 'FETCH_FAILED' code, 'task_end_reason' source, count(*) hits FROM ends WHERE reason = 'FetchFailed' GROUP BY ALL
   UNION ALL SELECT app_key, 'JVM_HEAP_OOM', 'task_end_reason', count(*) FROM ends WHERE reason = 'ExceptionFailure' GROUP BY ALL
+  UNION ALL SELECT app_key, code, 'task_end_reason', count(*) FROM ends, (VALUES ('EXECUTOR_LOST'), ('CONTAINER_OOM_OR_137')) v(code) WHERE reason = 'ExecutorLostFailure' GROUP BY ALL
+  UNION ALL SELECT app_key, 'JVM_HEAP_OOM', 'sql_execution_start', 1 FROM apps WHERE app_key <> 'app-2'
   UNION ALL SELECT 'app-' || s_suppkey % 4, 'CONTAINER_OOM_OR_137', 'executor_removed', count(*) FROM supplier WHERE s_suppkey % 20 = 0 GROUP BY ALL
   UNION ALL SELECT app_key, 'EXECUTOR_LOST', 'sql_execution_end', 1 FROM apps),
 found AS (SELECT 'app-3' app_key, 'low' severity, 'APPLICATION_INCOMPLETE' code, '' stage WHERE 'app-3' IN (FROM apps)
@@ -174,6 +177,26 @@ def signature_hits(t):
     return E.signature_hits(event_log(t))
 
 
+@evt("evt_14b_signature_examples", f"""SELECT DISTINCT app_key, code, CASE WHEN reason = 'FetchFailed' THEN 'FetchFailed FetchFailedException: missing an output location for shuffle 3'
+    WHEN reason = 'ExceptionFailure' THEN 'ExceptionFailure org.apache.spark.SparkException task failed Caused by: java.lang.OutOfMemoryError: Java heap space'
+    ELSE 'ExecutorLostFailure Container killed by YARN for exceeding memory limits' END AS example
+  FROM ends JOIN (VALUES ('FetchFailed', 'FETCH_FAILED'), ('ExceptionFailure', 'JVM_HEAP_OOM'), ('ExecutorLostFailure', 'EXECUTOR_LOST'), ('ExecutorLostFailure', 'CONTAINER_OOM_OR_137')) v(reason, code) USING (reason)
+  UNION ALL SELECT DISTINCT 'app-' || s_suppkey % 4, 'CONTAINER_OOM_OR_137', 'Container killed by YARN for exceeding memory limits' FROM supplier WHERE s_suppkey % 20 = 0
+  UNION ALL SELECT app_key, 'EXECUTOR_LOST', '{E.SQL_END} 0 {T0 + 600_000} Executor 7 lost' FROM apps
+  UNION ALL SELECT app_key, 'JVM_HEAP_OOM', '{E.SQL_START} 1 query 1 at job Scan after OutOfMemoryError {T0 + 1500}' FROM apps WHERE app_key <> 'app-2'""")
+def signature_examples(t):
+    return E.signature_examples(event_log(t))
+
+
+@evt("evt_14c_raw_line_hits", """SELECT app_key, code, 'raw_event_line' AS source, sum(n)::BIGINT AS hits FROM (
+    SELECT app_key, code, sum(hits) n FROM hits WHERE source <> 'job_end' GROUP BY ALL
+    UNION ALL SELECT app_key, 'FETCH_FAILED', count(*) FROM sg WHERE stage_id = 5 GROUP BY ALL) GROUP BY ALL""")
+def raw_line_hits(t):
+    """Signatures in the unparsed lines: what the fields hold, and the failure reason of completed stages."""
+    log = event_log(t)
+    return E.signature_hits(log, E.raw_line_texts(log))
+
+
 _PLAN_DOC = """'== Physical Plan ==' || chr(10) || 'BroadcastQueryStage 3, Statistics(sizeInBytes=' || (o_orderkey % 9) || '.5 ' || CASE o_orderkey % 3 WHEN 0 THEN 'GiB' WHEN 1 THEN 'MiB' ELSE 'KiB' END || ', rowCount=9)'"""
 
 
@@ -201,7 +224,7 @@ def health_findings(t):
     bad = E.cleaning_report(_raw_lines(t)).where(c("corrupt"))
     codes = ("APPLICATION_INCOMPLETE", "FAILED_JOBS", "FAILED_STAGES", "PARSE_ERRORS")
     known = log.lines.select("app_key").unionByName(t.region.select(F.concat(F.lit("empty"), F.substring("r_name", 1, 0)).alias("app_key")))
-    return E.findings(log, parse_errors=bad).where(c("code").isin(*codes)).unionByName(E.empty_logs(known, log))
+    return E.findings(log, parse_errors=bad, codes=codes).unionByName(E.empty_logs(known, log))
 
 
 def _code(name: str, *codes: str):
@@ -209,7 +232,7 @@ def _code(name: str, *codes: str):
 
     @evt(name, f"SELECT * FROM found WHERE code IN ({listed})")
     def run(t):
-        return E.findings(event_log(t)).where(c("code").isin(*codes))
+        return E.findings(event_log(t), codes=codes)
 
 
 _code("evt_17_fetch_failed_after_loss", "FETCH_FAILED_AFTER_EXECUTOR_LOSS")
@@ -239,7 +262,7 @@ _BREAKDOWN_SQL = f"""
 , qs AS (SELECT app_key, x q, CASE WHEN NOT (x = 1 AND app_key = 'app-2') THEN {T0 - 500} + x * 2000 END s, CASE WHEN x <> 2 THEN {T0 + 600000} + x END e, x = 0 AS lost FROM apps, range(3) g(x)),
 qj AS (SELECT app_key, q, count(*) jobs, count(*) FILTER (WHERE status = 'failed') failed_jobs, count(*) FILTER (WHERE status = 'succeeded') succeeded_jobs, min(submitted) js, max(completed) je FROM job GROUP BY ALL),
 qg AS (SELECT app_key, (stage_id // 4) // 2 q, count(DISTINCT stage_id) stages, count(*) stage_attempts, count(*) FILTER (WHERE stage_id = 5) failed_attempts, sum(tasks)::BIGINT tasks, sum(task_starts)::BIGINT started,
-    sum(unclosed)::BIGINT unclosed, sum(failed_tasks)::BIGINT failed_tasks, sum(task_starts)::BIGINT declared, sum(run_total)::BIGINT run_ms, count(DISTINCT CASE WHEN attempt_id > 0 THEN stage_id END) retried_stages FROM sg GROUP BY ALL)
+    sum(unclosed)::BIGINT unclosed, sum(failed_tasks)::BIGINT failed_tasks, sum(task_starts)::BIGINT declared, sum(run_total)::BIGINT run_ms, count(DISTINCT CASE WHEN attempt_id > 0 THEN stage_id END) retried_stages FROM sg WHERE stage_id < 20 GROUP BY ALL)
 SELECT app_key, q AS execution_id, CASE WHEN s IS NULL THEN '' ELSE 'query ' || q END AS description, CASE WHEN failed_jobs > 0 OR lost THEN 'failed' WHEN e IS NOT NULL THEN 'succeeded' ELSE 'running' END AS status,
   CASE WHEN e IS NULL AND je IS NOT NULL THEN CASE WHEN s IS NOT NULL THEN 'sql_execution_start_and_jobs' ELSE 'jobs' END WHEN s IS NOT NULL THEN 'sql_execution' ELSE 'jobs' END AS duration_source,
   CASE WHEN coalesce(e, je) IS NULL THEN 0 ELSE greatest(coalesce(e, je) - coalesce(s, js), 0) END AS duration_ms, jobs, failed_jobs, succeeded_jobs, stages, stage_attempts, failed_attempts, tasks, started, unclosed, failed_tasks, declared,
@@ -270,13 +293,13 @@ def application_summary(t):
         "findings", "severity_rank", "critical", "high", "medium", "low")
 
 
-@evt("evt_28_two_pass_tasks", "SELECT app_key, stage_id, attempt_id, count(*) AS tasks, sum(run_ms)::BIGINT AS run_ms FROM ends WHERE stage_id = 5 OR (app_key, stage_id, attempt_id) IN (SELECT app_key, stage_id, attempt_id FROM ends WHERE reason IN ('FetchFailed', 'ExceptionFailure')) GROUP BY ALL")
+@evt("evt_28_two_pass_tasks", "SELECT app_key, stage_id, attempt_id, count(*) AS tasks, sum(run_ms)::BIGINT AS run_ms FROM ends WHERE stage_id = 5 OR (app_key, stage_id, attempt_id) IN (SELECT app_key, stage_id, attempt_id FROM ends WHERE reason IN ('FetchFailed', 'ExceptionFailure', 'ExecutorLostFailure')) GROUP BY ALL")
 def two_pass_tasks(t):
     return E.two_pass_tasks(event_log(t)).groupBy(*E.STAGE).agg(F.count("*").alias("tasks"), F.sum("run_ms").alias("run_ms"))
 
 
 @evt("evt_29_qualification_rows", """SELECT app_key AS app, stage_id::BIGINT AS stage, run_total AS duration, rank() OVER (PARTITION BY app_key ORDER BY run_total DESC, stage_id) AS place, unsupported FROM
-    (SELECT app_key, stage_id, sum(run)::BIGINT run_total, count(*) FILTER (WHERE n = 1 OR n = 2) unsupported FROM tk GROUP BY ALL) QUALIFY place <= 20""")
+    (SELECT app_key, stage_id, sum(run)::BIGINT run_total, count(*) FILTER (WHERE n = 1 OR n = 2) unsupported FROM tk GROUP BY ALL)""")
 def qualification_rows(t):
     """Stage and operator CSV files of a qualification run: longest stages and unsupported rows per application."""
     path = scratch(t.spark, "qualification")
@@ -289,7 +312,7 @@ def qualification_rows(t):
     bad = execs.groupBy(c("App ID").alias("app"), c("Exec Stages").alias("stage")).agg(F.sum(F.when(refused, 1).otherwise(0)).alias("unsupported"))
     stages = read_csv(t.spark, f"{path}/stages").select(c("App ID").alias("app"), c("Stage ID").alias("stage"), c("Stage Task Duration").try_cast("long").alias("duration"))
     line = Window.partitionBy("app").orderBy(c("duration").desc(), c("stage").cast("long"))
-    out = stages.withColumn("place", F.rank().over(line).cast("long")).where(c("place") <= 20).join(bad, ["app", "stage"])
+    out = stages.withColumn("place", F.rank().over(line).cast("long")).join(bad, ["app", "stage"])
     return out.withColumn("stage", c("stage").cast("long"))
 
 
@@ -312,10 +335,12 @@ def marker_seconds(t):
     return read.where(c("kind") == "queryend").join(starts, "position").select("event_id", elapsed_seconds(c("begin"), c("at")).alias("seconds"))
 
 
-@evt("job_16_event_log_report", f"""SELECT app_key, severity, code, count(*) AS findings, coalesce(max(scope), 'none') AS scope FROM found
+@evt("job_16_event_log_report", f"""SELECT app_key, severity, code, count(*) AS findings, coalesce(max(scope), 'none') AS scope
+    FROM (FROM found UNION ALL SELECT 'app-1', 'medium', 'PARSE_ERRORS', '') all_found
     LEFT JOIN (VALUES {_RULES_SQL}) r(priority, scope, code) USING (code) GROUP BY ALL""")
 def event_log_report(t):
-    """Findings per application, severity and code with the scope that takes them up."""
+    """Read, clean, organise, find and remedy: findings per application, severity and code with the scope that takes them up."""
     scopes = t.spark.createDataFrame([(s, x) for _, s, x in rules.REMEDIATION], "scope string, code string")
-    found = E.findings(event_log(t)).groupBy("app_key", "severity", "code").agg(F.count("*").alias("findings"))
+    log = event_log(t)
+    found = E.findings(log, parse_errors=log.tables["corrupt"]).groupBy("app_key", "severity", "code").agg(F.count("*").alias("findings"))
     return found.join(F.broadcast(scopes), "code", "left").withColumn("scope", F.coalesce("scope", F.lit("none")))

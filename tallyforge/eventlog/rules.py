@@ -18,6 +18,11 @@ ANCHORS = ("oomkilled", "exit code 137", "container", "killed by yarn", "exceed"
            "array size", "direct buffer", "native memory", "netty", "fetchfailed", "failed to connect", "missing an output", "shuffle block",
            "executordead", "lost", "disassociated")
 
+# Where an event line names its event, its stage and the stage's attempt. Fixed by the format of the log.
+EVENT_KEY = r'"Event"\s*:\s*"([^"]+)"'
+STAGE_KEY = r'"Stage ID"\s*:\s*(-?\d+)'
+ATTEMPT_KEY = r'"Stage Attempt ID"\s*:\s*(-?\d+)'
+
 PROPERTY_PREFIXES = ("spark.app.", "spark.executor.", "spark.driver.", "spark.sql.", "spark.memory.", "spark.dynamicAllocation.",
                      "spark.kubernetes.", "spark.shuffle.")
 

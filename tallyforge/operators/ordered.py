@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import scratch
+from ..session import kept, scratch
 
 c = F.col
 _ROW_BITS = 1 << 33  # monotonically_increasing_id counts rows below, partitions above this bit
@@ -59,11 +59,17 @@ def running(frame: DataFrame, group: list[str], order: list[str], value: str, al
 
 
 def medians(frame: DataFrame, group: list[str], value: str, alias: str = "median") -> DataFrame:
-    """Exact median per group (mean of the middle two for even counts), nulls left out."""
-    rows = with_position(frame.select(*group, value).where(c(value).isNotNull()), group + [value], "_place")
-    spans = rows.groupBy(*group).agg(F.min("_place").alias("_first"), F.max("_place").alias("_last"))
-    low, high = F.floor((c("_first") + c("_last")) / 2), F.ceil((c("_first") + c("_last")) / 2)
-    middle = rows.join(spans, group).where((c("_place") == low) | (c("_place") == high))
+    """Exact median per group (mean of the middle two for even counts), nulls left out.
+
+    Equal values of a group are counted before anything is sorted, so a value that most rows
+    share is one row; places are running sums of the counts over the distinct values.
+    """
+    counts = kept(frame.where(c(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n")), "counts")
+    placed = running(counts, group, [value], "_n", "_upto")
+    totals = counts.groupBy(*group).agg(F.sum("_n").alias("_total"))
+    low, high = F.floor((c("_total") + 1) / 2), F.floor(c("_total") / 2) + 1
+    before = c("_upto") - c("_n")
+    middle = placed.join(totals, group).where((c("_upto") >= low) & (before < high))
     return middle.groupBy(*group).agg(((F.min(value) + F.max(value)).cast("double") / 2).alias(alias))
 
 

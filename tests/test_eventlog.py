@@ -73,7 +73,6 @@ def test_large_logs_parse_only_suspect_stages(spark):
     log = E.EventLog(_log(spark, events))
     assert [(r.stage_id, r.attempt_id) for r in E.deep_stages(log).collect()] == [(2, 0)]
     assert {r.stage_id for r in E.two_pass_tasks(log).collect()} == {2} and E.two_pass_tasks(log).count() == 2
-    assert E.deep_stages(log, 0).count() == 0
 
 
 def test_everything_after_a_corrupt_line_is_left_out(spark):
