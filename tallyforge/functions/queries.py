@@ -285,9 +285,9 @@ def rating_native(t):
     return t.conversations.select("conv_id", "turn", F.when(c("turn") % 5 + 1 >= 4, 1).otherwise(0).alias("label"))
 
 
-@on_tables("udf_03_rows_to_rows", "SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents WHERE lang = 'de'")
+@on_tables("udf_03_rows_to_rows", "SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents")
 def rows_to_rows(t):
-    return t.documents.where(c("lang") == "de").select("doc_id", F.explode(F.split("text", " ")).alias("word"))
+    return t.documents.select("doc_id", F.explode(F.split("text", " ")).alias("word"))
 
 
 @on_tables("udf_04_row_to_record", "SELECT p_partkey, p_name AS name, p_size::BIGINT AS size, p_size > 25 AS large FROM part")

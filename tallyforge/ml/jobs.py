@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
-from pyspark.ml.feature import IDF, CountVectorizer, MinMaxScaler, MinMaxScalerModel, StopWordsRemover, Tokenizer, VectorAssembler
+from pyspark.ml.feature import HashingTF, IDF, MinMaxScaler, MinMaxScalerModel, StopWordsRemover, Tokenizer, VectorAssembler
 from pyspark.ml.regression import AFTSurvivalRegression, AFTSurvivalRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -124,11 +124,11 @@ class RemainingLife:
 # ---- text quality -----------------------------------------------------------------------------------
 
 
-def text_features(texts: DataFrame, vocabulary: int = 1 << 18) -> PipelineModel:
-    """Tokens without stop words, counted and weighted by inverse document frequency."""
-    return Pipeline(stages=[
-        Tokenizer(inputCol="clean", outputCol="words"), StopWordsRemover(inputCol="words", outputCol="words_nsw"),
-        CountVectorizer(inputCol="words_nsw", outputCol="tf", vocabSize=vocabulary), IDF(inputCol="tf", outputCol="tfidf")]).fit(texts)
+def hashed_counts(texts: DataFrame, size: int = 1 << 18) -> DataFrame:
+    """``tf``: counts of the words without stop words by their hash. No vocabulary is held, and no word is left out."""
+    steps = [Tokenizer(inputCol="clean", outputCol="words"), StopWordsRemover(inputCol="words", outputCol="words_nsw"),
+             HashingTF(inputCol="words_nsw", outputCol="tf", numFeatures=size)]
+    return Pipeline(stages=steps).fit(texts).transform(texts)
 
 
 def document_frequencies(texts: DataFrame) -> DataFrame:
@@ -144,15 +144,9 @@ def clean_texts(texts: DataFrame) -> DataFrame:
     return texts.withColumn("clean", remove_punctuation(c("text")))
 
 
-def train_text_quality(train: DataFrame) -> tuple[PipelineModel, object]:
-    """Linear support vector classifier on (clean, label)."""
-    features = text_features(train)
-    rows = features.transform(train).select("tfidf", "label").persist()
-    try:
-        model = LinearSVC(featuresCol="tfidf", labelCol="label", maxIter=50, regParam=0.3).fit(rows)
-    finally:
-        rows.unpersist()
-    return features, model
+def train_text_quality(train: DataFrame) -> PipelineModel:
+    """Counts weighted by inverse document frequency and a linear support vector classifier, on (tf, label)."""
+    return Pipeline(stages=[IDF(inputCol="tf", outputCol="tfidf"), LinearSVC(featuresCol="tfidf", labelCol="label", maxIter=50, regParam=0.3)]).fit(train)
 
 
 def f1(predicted: DataFrame) -> float:

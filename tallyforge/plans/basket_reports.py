@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import c, mean, top, total, tpcds
+from .common import TOP, c, mean, top, total, tpcds
 
 any_of = lambda conditions: reduce(lambda a, b: a | b, conditions)
 all_of = lambda conditions: reduce(lambda a, b: a & b, conditions)
@@ -818,8 +818,8 @@ WHERE city = 'City_3' AND lower_bound >= 30000 AND upper_bound <= 90000 AND r.ch
 def customers_by_city(m):
     """A customer repeats once per store return of the same demographic group.
 
-    The group sizes are counted first; a customer's copies are then made up to the 100
-    rows the report can show, so the customer x return product is never built.
+    The group sizes are counted first; a customer's copies are then made up to the
+    rows that the report shows, so the customer x return product is never built.
     """
     bands = m.income_band.where((c("lower_bound") >= 30000) & (c("upper_bound") <= 90000)).select("income_band_sk")
     homes = m.household_demographics.join(bands, "income_band_sk").select(c("hdemo_sk").alias("current_hdemo_sk"))
@@ -827,7 +827,7 @@ def customers_by_city(m):
     copies = m.returned("store").groupBy(c("cdemo_sk").alias("current_cdemo_sk")).agg(F.count("*").alias("n"))
     people = (m.customer.join(places, "current_addr_sk").join(homes, "current_hdemo_sk").join(copies, "current_cdemo_sk")
               .select("customer_id", F.concat(F.coalesce("last_name", F.lit("")), F.lit(", "), F.coalesce("first_name", F.lit(""))).alias("customer_name"),
-                      F.explode(F.sequence(F.lit(1), F.least(c("n"), F.lit(100)))).alias("copy")))
+                      F.explode(F.sequence(F.lit(1), F.least(c("n"), F.lit(TOP)))).alias("copy")))
     return top(people.drop("copy"), "customer_id")
 
 

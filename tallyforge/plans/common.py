@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,11 @@ def mean(x, alias: str | None = None) -> Column:
     return (F.sum(_col(x)).cast("double") / F.count(_col(x))).alias(alias or x)
 
 
-def top(frame: DataFrame, *order: str, n: int = 100) -> DataFrame:
+#: Rows that a report shows.
+TOP = 100
+
+
+def top(frame: DataFrame, *order: str, n: int = TOP) -> DataFrame:
     """First n rows; ``-name`` sorts downwards."""
     keys = [c(o[1:]).desc() if o.startswith("-") else c(o).asc() for o in order]
     return frame.orderBy(*keys).limit(n)
@@ -48,4 +54,8 @@ def with_group(frame: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
     Unlike a window, the rows of a hot group are never sorted in one task: the totals
     are combined map-side and joined back by hash or broadcast.
     """
-    return frame.join(frame.groupBy(*keys).agg(*aggs), keys)
+    totals = frame.groupBy(*keys).agg(*aggs)
+    names = [n for n in totals.columns if n not in keys]
+    totals = totals.select(*[c(k).alias(f"_{k}") for k in keys], *names)
+    same = reduce(lambda a, b: a & b, [c(k).eqNullSafe(c(f"_{k}")) for k in keys])  # as a window does with null keys
+    return frame.join(totals, same).select(*frame.columns, *names)

@@ -30,8 +30,7 @@ def local_session(name: str = "tallyforge", cores: str = "8", **conf: str) -> Sp
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Where it is unset, a local master gets a new temporary folder and a cluster
-    gets a folder beside its warehouse, which is shared by definition.
+    Only a local master, where all tasks share the driver's disk, may leave it unset (tests do).
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
@@ -39,10 +38,9 @@ def shared_dir(spark: SparkSession) -> str:
     checkpoint = spark.sparkContext.getCheckpointDir()
     if checkpoint:
         return checkpoint.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="tallyforge-")
-    else:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="tallyforge-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 

@@ -20,10 +20,13 @@ def read_csv(spark: SparkSession, path: str, header: bool = True, sep: str = ","
     return reader.csv(path)
 
 
-def read_whole_texts(spark: SparkSession, path: str, partitions: int = 100) -> DataFrame:
-    """One row (path, text) per file, for many small documents."""
-    files = spark.read.text(path, wholetext=True).select(c("_metadata.file_path").alias("path"), c("value").alias("text"))
-    return files.repartition(partitions)
+def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
+    """One row (path, text) per file, for many small documents.
+
+    The reader packs files into splits; the least number of splits is the session's
+    ``spark.sql.files.minPartitionNum``, so no text is shuffled for it.
+    """
+    return spark.read.text(path, wholetext=True).select(c("_metadata.file_path").alias("path"), c("value").alias("text"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

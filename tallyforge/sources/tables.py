@@ -31,12 +31,3 @@ class Tables:
             raise AttributeError(name)
         return table(self.spark, self.sf_dir, name)
 
-
-def spread_scan(frame: DataFrame) -> DataFrame:
-    """Give every core a share of a scan that has too few splits for costly work on each row.
-
-    Only for frames that read files without a shuffle; large inputs already have more splits
-    than cores and stay as they are.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,18 +53,38 @@ def to_batches(frame: DataFrame, handle: Callable[[DataFrame, int], None], check
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+#: State stores by name. Fixed values.
+STATE_STORES = {"hdfs": "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider",
+                "rocksdb": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+@contextmanager
+def state_settings(spark: SparkSession, provider: str | None = None, versions: int | None = None, partitions: int | None = None) -> Iterator[None]:
+    """Settings that stateful queries started inside take over: state store, kept versions, state partitions."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": STATE_STORES.get(provider), "spark.sql.streaming.minBatchesToRetain": versions,
+              "spark.sql.shuffle.partitions": partitions}
+    before = {k: spark.conf.get(k, None) for k, v in wanted.items() if v is not None}
+    try:
+        for k in before:
+            spark.conf.set(k, str(wanted[k]))
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def replace_with_latest(path: str) -> Callable[[DataFrame, int], None]:
-    """Complete mode: every batch writes the whole result under its own number."""
+    """Complete mode: batches write the whole result into two folders in turn, so one of them is whole at any time."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/turn={batch_id % 2}")
 
     return handle
 
 
 def latest_result(spark: SparkSession, path: str) -> DataFrame:
     results = spark.read.parquet(path)
-    return results.where(c("batch") == results.agg(F.max("batch")).scalar()).drop("batch")
+    return results.where(c("_batch") == results.agg(F.max("_batch")).scalar()).drop("_batch", "turn")
 
 
 def stamped_copy(source: DataFrame) -> DataFrame:

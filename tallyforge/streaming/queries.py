@@ -201,13 +201,39 @@ def complete_mode(t):
     return jobs.latest_result(t.spark, path)
 
 
-@on_tables("snk_13_streaming_partitions", "SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag FROM lineitem WHERE l_returnflag = 'A'")
+@on_tables("snk_13_streaming_partitions", "SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag FROM lineitem")
 def streaming_partitions(t):
     source, path = _new(t, "lines"), _new(t, "lines")
     rows = t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
     rows.write.parquet(source)
     jobs.to_files(t.spark.readStream.schema(rows.schema).parquet(source), path, _new(t, "state"), partition_by=("l_returnflag",)).awaitTermination()
-    return t.spark.read.parquet(path).where(c("l_returnflag") == "A")
+    return t.spark.read.parquet(path)
+
+
+@on_tables("stm_07_timed_trigger", "SELECT event_id, event_type FROM events")
+def timed_trigger(t):
+    """A query that looks for new input every second; stopped once all present input is processed."""
+    source, path = _new(t, "events"), _new(t, "copies")
+    rows = t.events.select("event_id", "event_type")
+    rows.write.parquet(source)
+    running = jobs.to_files(t.spark.readStream.schema(rows.schema).parquet(source), path, _new(t, "state"), every="1 second")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return t.spark.read.parquet(path)
+
+
+@on_tables("stm_09_state_settings", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def state_settings(t):
+    """Running counts with the state kept in RocksDB and few old versions of it; settings hold for this query only."""
+    source, path = _new(t, "events"), _new(t, "counts")
+    rows = t.events.select("event_id", "event_type")
+    rows.write.parquet(source)
+    with jobs.state_settings(t.spark, provider="rocksdb", versions=5):
+        counts = t.spark.readStream.schema(rows.schema).parquet(source).groupBy("event_type").agg(F.count("*").alias("n"))
+        jobs.to_batches(counts, jobs.replace_with_latest(path), _new(t, "state"), mode="complete").awaitTermination()
+    return jobs.latest_result(t.spark, path)
 
 
 @on_tables("udf_05_batch_function", "SELECT event_type, sum((value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY 1")
