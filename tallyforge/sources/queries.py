@@ -6,6 +6,7 @@ Every query writes to a new path below the shared folder and reads it back.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
@@ -17,7 +18,7 @@ from ..plans.mart import _fingerprint
 from ..registry import on_tables
 from ..session import scratch, shared_dir
 from . import files
-from .versioned import VersionedDataset
+from . import versioned as V
 
 c = F.col
 
@@ -324,128 +325,133 @@ def review_view(t):
     return t.spark.table(f"{database}.stars_{tag}").withColumn("year", c("year").cast("long")).orderBy(c("average_star").desc())
 
 
-# ---- versioned datasets ---------------------------------------------------------------------------
+# ---- rows with versions ---------------------------------------------------------------------------
 
 _DATASETS: dict[str, str] = {}
+_DAY = lambda n: datetime(2024, 1, n)
+_VERSIONED = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
 
 
-def _orders_by_year(t) -> VersionedDataset:
-    """Versions 0..5: create 1995, append 1996 and 1997, overwrite with 1998, append 1999 and 2000."""
+def _of_year(t, year: int) -> DataFrame:
+    """Orders of a year; those before 1995 count with 1995, those after 2001 with 2001."""
+    own = F.greatest(F.least(F.year("o_orderdate"), F.lit(2001)), F.lit(1995))
+    return t.orders.where(own == year).select(*_VERSIONED, F.lit(year).alias("year"))
+
+
+def _orders_by_year(t) -> str:
+    """Versions 0..6: create 1995, append 1996 and 1997, overwrite with 1998, append 1999, 2000 and 2001."""
     key = f"{shared_dir(t.spark)}|{_fingerprint(t.spark, t.sf_dir)}"
     if key not in _DATASETS:
-        data = VersionedDataset(t.spark, _new(t, "versions"))
-        for version in range(6):
-            rows = t.orders.where(F.year("o_orderdate") == 1995 + version).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.year("o_orderdate").alias("year"))
-            write = data.overwrite if version in (0, 3) else data.append
-            write(rows, datetime(2024, 1, 1 + version))
-        _DATASETS[key] = data.path
-    return VersionedDataset(t.spark, _DATASETS[key])
+        path = _new(t, "versions")
+        for version in range(7):
+            V.write_version(_of_year(t, 1995 + version), path, _DAY(1 + version), "overwrite" if version in (0, 3) else "append")
+        _DATASETS[key] = path
+    return _DATASETS[key]
 
 
-_VER_SQL = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, year(o_orderdate)::INTEGER AS year FROM orders WHERE year(o_orderdate) IN ({})"
+_YEAR = "least(greatest(year(o_orderdate), 1995), 2001)"
+_VER_SQL = f"SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, {_YEAR}::INTEGER AS year FROM orders WHERE {_YEAR} IN ({{}})"
 
 
-@on_tables("ver_01_latest", _VER_SQL.format("1998, 1999, 2000"))
+@on_tables("ver_01_latest", _VER_SQL.format("1998, 1999, 2000, 2001"))
 def latest(t):
-    return _orders_by_year(t).read()
+    return V.read(t.spark, _orders_by_year(t))
 
 
 @on_tables("ver_02_as_of_version", _VER_SQL.format("1995, 1996"))
 def as_of_version(t):
-    return _orders_by_year(t).as_of_version(1)
+    return V.read(t.spark, _orders_by_year(t), 1)
 
 
 @on_tables("ver_03_as_of_time", _VER_SQL.format("1995, 1996, 1997"))
 def as_of_time(t):
-    return _orders_by_year(t).as_of_time(datetime(2024, 1, 3, 12))
+    path = _orders_by_year(t)
+    return V.read(t.spark, path, V.version_at(t.spark, path, datetime(2024, 1, 3, 12)))
 
 
-@on_tables("ver_04_incremental", _VER_SQL.format("1999, 2000"))
+@on_tables("ver_04_incremental", _VER_SQL.format("1999, 2000, 2001"))
 def incremental(t):
-    return _orders_by_year(t).between(3, 5)
+    return V.between(t.spark, _orders_by_year(t), 3, 6)
 
 
 @on_tables("ver_05_as_of_snapshot", _VER_SQL.format("1998, 1999"))
 def as_of_snapshot(t):
-    data = _orders_by_year(t)
-    snapshot = next(s.snapshot_id for s in data.history().collect() if s.version == 4)
-    return data.as_of_snapshot(snapshot)
+    path = _orders_by_year(t)
+    snapshot = V.history(t.spark, path).where(c("version") == 4).first()["snapshot_id"]
+    return V.read(t.spark, path, V.version_of_snapshot(t.spark, path, snapshot))
 
 
-@on_tables("ver_06_history", """SELECT year(o_orderdate) - 1995 AS version, CASE WHEN year(o_orderdate) IN (1995, 1998) THEN 'overwrite' ELSE 'append' END AS operation,
-    '2024-01-0' || (year(o_orderdate) - 1994) AS committed, count(*) AS records FROM orders WHERE year(o_orderdate) < 2001 GROUP BY ALL""")
+@on_tables("ver_06_history", f"""SELECT ({_YEAR} - 1995)::INTEGER AS version, CASE WHEN {_YEAR} IN (1995, 1998) THEN 'overwrite' ELSE 'append' END AS operation,
+    '2024-01-0' || ({_YEAR} - 1994) AS committed, count(*) AS records FROM orders GROUP BY ALL""")
 def history(t):
-    return _orders_by_year(t).history().select("version", "operation", F.date_format("commit_ts", "yyyy-MM-dd").alias("committed"), "records")
+    return V.history(t.spark, _orders_by_year(t)).select("version", "operation", F.date_format("committed", "yyyy-MM-dd").alias("committed"), "records")
 
 
-@on_tables("ver_07_files", "SELECT count(*) AS records, true AS all_have_bytes FROM orders WHERE year(o_orderdate) IN (1998, 1999, 2000)")
+@on_tables("ver_07_files", f"SELECT count(*) AS records, true AS all_have_bytes FROM orders WHERE {_YEAR} >= 1998")
 def listed_files(t):
-    return _orders_by_year(t).files().agg(F.sum("records").alias("records"), (F.min("bytes") > 0).alias("all_have_bytes"))
+    return V.files(t.spark, _orders_by_year(t)).agg(F.sum("records").alias("records"), (F.min("bytes") > 0).alias("all_have_bytes"))
 
 
-@on_tables("ver_08_compaction", _VER_SQL.format("1998, 1999, 2000"))
+@on_tables("ver_08_compaction", f"""{_VER_SQL.format("1995, 1996, 1997, 1998, 1999, 2000")} UNION ALL {_VER_SQL.format("2001")}""")
 def compaction(t):
-    """Rewrites the versions that hold orders of 1999, here with 1998 and 2000 untouched."""
-    data = VersionedDataset(t.spark, _new(t, "versions"))
-    for year in (1998, 1999, 2000):
-        data.append(t.orders.where(F.year("o_orderdate") == year).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.year("o_orderdate").alias("year")))
-    data.compact(c("year") == 1999)
-    return data.read()
+    """Rewrites the versions that hold orders of 1999, in their partitions; the others stay, and one is appended afterwards."""
+    path = _new(t, "versions")
+    for year in range(1995, 2001):
+        V.write_version(_of_year(t, year), path, _DAY(year - 1994), partition_by=("o_orderstatus",))
+    V.compact(t.spark, path, _DAY(8), c("year") == 1999, ("o_orderstatus",))
+    V.write_version(_of_year(t, 2001), path, _DAY(9), partition_by=("o_orderstatus",))
+    return V.read(t.spark, path).select(*_VERSIONED, "year")
 
 
-@on_tables("ver_09_unreferenced", """SELECT year(o_orderdate) - 1995 AS version, CASE WHEN year(o_orderdate) = 1995 THEN 'overwrite' ELSE 'append' END AS operation, count(*) AS records
-    FROM orders WHERE year(o_orderdate) < 1998 GROUP BY ALL""")
+@on_tables("ver_09_unreferenced", f"""SELECT ({_YEAR} - 1995)::INTEGER AS version, CASE WHEN {_YEAR} = 1995 THEN 'overwrite' ELSE 'append' END AS operation, count(*) AS records
+    FROM orders WHERE {_YEAR} < 1998 GROUP BY ALL""")
 def unreferenced(t):
-    return _orders_by_year(t).unreferenced(datetime(2024, 2, 1))
+    return V.unreferenced(t.spark, _orders_by_year(t), datetime(2024, 2, 1))
 
 
-@on_tables("ver_10_convert", "SELECT p_partkey, p_name FROM part UNION ALL SELECT p_partkey, p_name FROM part WHERE p_size = 1")
+@on_tables("ver_10_convert", "SELECT p_partkey, p_name, NULL::INTEGER AS p_size FROM part UNION ALL SELECT p_partkey, p_name, p_size FROM part WHERE p_size = 1")
 def convert(t):
-    path = _new(t, "parquet")
+    """A folder taken in place, and a version appended to it that has one column more."""
+    path, taken = _new(t, "versions"), _new(t, "parquet")
     parts = t.part.select("p_partkey", "p_name", "p_size")
-    parts.select("p_partkey", "p_name").write.parquet(path)
-    data = VersionedDataset(t.spark, _new(t, "versions"))
-    data.convert(path)
-    data.append(parts.where(c("p_size") == 1).select("p_partkey", "p_name"))
-    return data.read()
+    parts.drop("p_size").write.parquet(taken)
+    V.convert(t.spark, taken, path, _DAY(1))
+    V.write_version(parts.where(c("p_size") == 1), path, _DAY(2))
+    return V.read(t.spark, path, converted=taken)
 
 
-@on_tables("ver_11_statistics", """SELECT count(*) AS records, min(o_totalprice) AS least, max(o_totalprice) AS greatest FROM orders WHERE year(o_orderdate) IN (1998, 1999, 2000)""")
+@on_tables("ver_11_statistics", f"""SELECT count(*) AS records, min(o_totalprice) AS least, max(o_totalprice) AS greatest FROM orders WHERE {_YEAR} >= 1998""")
 def statistics(t):
-    return _orders_by_year(t).statistics("o_totalprice").agg(
+    return V.statistics(t.spark, _orders_by_year(t), "o_totalprice").agg(
         F.sum("records").alias("records"), F.min("min_o_totalprice").alias("least"), F.max("max_o_totalprice").alias("greatest"))
 
 
-@on_tables("ver_12_partitioned", "SELECT o_orderkey, o_orderstatus, year(o_orderdate)::INTEGER AS year FROM orders WHERE o_orderstatus = 'P' AND year(o_orderdate) < 1997")
+@on_tables("ver_12_partitioned", f"SELECT o_orderkey, o_orderstatus, {_YEAR}::INTEGER AS year FROM orders")
 def partitioned(t):
-    data = VersionedDataset(t.spark, _new(t, "versions"))
-    for year in (1995, 1996):
-        data.append(t.orders.where(F.year("o_orderdate") == year).select("o_orderkey", "o_orderstatus", F.year("o_orderdate").alias("year")), partition_by=("o_orderstatus",))
-    return data.read().where(c("o_orderstatus") == "P").select("o_orderkey", "o_orderstatus", "year")
+    path = _new(t, "versions")
+    for year in range(1995, 2002):
+        V.write_version(_of_year(t, year), path, _DAY(year - 1994), partition_by=("o_orderstatus",))
+    return V.read(t.spark, path).select("o_orderkey", "o_orderstatus", "year")
 
 
-@on_tables("job_12_version_walk", """WITH n AS (SELECT year(o_orderdate) y, count(*) k FROM orders GROUP BY 1), s(step, first, last) AS (VALUES ('created', 1995, 1995), ('appended', 1995, 1996), ('overwritten', 1997, 1997),
-      ('as of version 1', 1995, 1996), ('as of the first day', 1995, 1995), ('added since version 2', 1998, 1998), ('after compaction', 1997, 1998))
+@on_tables("job_12_version_walk", f"""WITH n AS (SELECT {_YEAR} y, count(*) k FROM orders GROUP BY 1), s(step, first, last) AS (VALUES ('created', 1995, 1995), ('appended', 1995, 1996), ('overwritten', 1997, 1998),
+      ('as of version 1', 1995, 1996), ('as of the first day', 1995, 1995), ('added since version 2', 1999, 2001), ('after compaction', 1997, 2001))
     SELECT step, sum(k)::BIGINT AS rows FROM s JOIN n ON y BETWEEN first AND last GROUP BY 1""")
 def version_walk(t):
     """The walk through one dataset: create, append, overwrite, read back earlier states, compact."""
-    data = VersionedDataset(t.spark, _new(t, "versions"))
-    of = lambda year: t.orders.where(F.year("o_orderdate") == year).select("o_orderkey", "o_orderstatus")
-    seen = []
-    note = lambda step, frame: seen.append((step, frame.count()))
-    data.overwrite(of(1995), datetime(2024, 1, 1))
-    note("created", data.read())
-    data.append(of(1996), datetime(2024, 1, 2))
-    note("appended", data.read())
-    data.overwrite(of(1997), datetime(2024, 1, 3))
-    note("overwritten", data.read())
-    note("as of version 1", data.as_of_version(1))
-    note("as of the first day", data.as_of_time(datetime(2024, 1, 1, 12)))
-    data.append(of(1998), datetime(2024, 1, 4))
-    note("added since version 2", data.between(2, 3))
-    data.compact()
-    note("after compaction", data.read())
-    return t.spark.createDataFrame(seen, "step string, rows long")
+    path = _new(t, "versions")
+    of = lambda *years: reduce(lambda a, b: a.unionByName(b), [_of_year(t, y) for y in years])
+    now = lambda step, frame: frame.agg(F.count("*").alias("rows")).select(F.lit(step).alias("step"), "rows")
+    V.write_version(of(1995), path, _DAY(1), "overwrite")
+    V.write_version(of(1996), path, _DAY(2))
+    V.write_version(of(1997, 1998), path, _DAY(3), "overwrite")
+    V.write_version(of(1999, 2000, 2001), path, _DAY(4))
+    V.compact(t.spark, path, _DAY(5))
+    first_day = V.version_at(t.spark, path, datetime(2024, 1, 1, 12))
+    seen = [now("created", V.read(t.spark, path, 0)), now("appended", V.read(t.spark, path, 1)), now("overwritten", V.read(t.spark, path, 2)),
+            now("as of version 1", V.read(t.spark, path, 1)), now("as of the first day", V.read(t.spark, path, first_day)),
+            now("added since version 2", V.between(t.spark, path, 2, 3)), now("after compaction", V.read(t.spark, path))]
+    return reduce(lambda a, b: a.unionByName(b), seen)
 
 
 # ---- jobs from file to file ---------------------------------------------------------------------

@@ -1,133 +1,123 @@
-"""Parquet datasets with versions: each commit is a folder and one row of a commits table.
+"""Plain jobs over Parquet rows that carry the version that added them.
 
-A version is never changed once written, so any earlier state can be read back by replaying
-the commits up to it. Writers that race for one version number fail instead of mixing.
+A dataset is a folder with ``rows``, partitioned by ``version`` (and further columns, the same ones
+for all versions), and ``versions``, a small table with one row per version. Which versions make up a
+state is a DataFrame over that table, semi-joined to the rows, so only their partitions are read.
+One writer at a time is taken for granted; there is no commit protocol.
 """
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
-from functools import reduce
+from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 c = F.col
-_COMMIT = "version long, operation string, commit_ts timestamp, snapshot_id long, location string, replaces array<long>, records long"
-
-
-class VersionedDataset:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    # -- reading the log: one small row per commit ------------------------------------------
-
-    def history(self) -> DataFrame:
-        return self.spark.read.schema(_COMMIT).parquet(f"{self.path}/commits/*")
-
-    def _commits(self) -> list:
-        from py4j.protocol import Py4JJavaError
-
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/commits")
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        try:
-            if not fs.exists(folder):
-                return []
-        except Py4JJavaError:
-            return []
-        return self.history().orderBy("version").collect()
-
-    def live(self, version: int | None = None) -> list:
-        """Commits whose folders make up the state at ``version`` (default: the latest)."""
-        state: list = []
-        for commit in self._commits():
-            if version is not None and commit.version > version:
-                break
-            if commit.operation == "overwrite":
-                state = [commit]
-            else:
-                state = [s for s in state if s.version not in (commit.replaces or [])] + [commit]
-        return state
-
-    # -- writing ------------------------------------------------------------------------------
-
-    def _commit(self, operation: str, location: str, replaces: list[int], commit_ts: datetime | None) -> int:
-        done = self._commits()
-        version = done[-1].version + 1 if done else 0
-        records = self.spark.read.parquet(location).count()
-        stamp = commit_ts or datetime.now(timezone.utc).replace(tzinfo=None)
-        row = [(version, operation, stamp, hash((self.path, version)) & 0x7FFFFFFFFFFF, location, replaces, records)]
-        (self.spark.createDataFrame(row, _COMMIT).coalesce(1).write.mode("errorifexists")
-         .parquet(f"{self.path}/commits/{version:09d}"))
-        return version
-
-    def _write(self, frame: DataFrame, partition_by: tuple[str, ...]) -> str:
-        import uuid
-
-        location = f"{self.path}/data/commit={uuid.uuid4().hex}"
-        (frame.write.partitionBy(*partition_by) if partition_by else frame.write).parquet(location)
-        return location
-
-    def append(self, frame: DataFrame, commit_ts: datetime | None = None, partition_by: tuple[str, ...] = ()) -> int:
-        return self._commit("append", self._write(frame, partition_by), [], commit_ts)
-
-    def overwrite(self, frame: DataFrame, commit_ts: datetime | None = None, partition_by: tuple[str, ...] = ()) -> int:
-        return self._commit("overwrite", self._write(frame, partition_by), [], commit_ts)
-
-    def convert(self, parquet_path: str, commit_ts: datetime | None = None) -> int:
-        """Take an existing Parquet folder as the first version, without copying it."""
-        return self._commit("overwrite", parquet_path, [], commit_ts)
-
-    def compact(self, condition=None, target_rows: int = 1_000_000, commit_ts: datetime | None = None) -> int:
-        """Rewrite the versions that hold matching rows as one version of few, full files."""
-        state = self.live()
-        if condition is not None:
-            state = [s for s in state if not self.spark.read.parquet(s.location).where(condition).isEmpty()]
-        files = max(1, sum(s.records for s in state) // target_rows)
-        frame = self._read(state).repartition(int(files))
-        return self._commit("compact", self._write(frame, ()), [s.version for s in state], commit_ts)
-
-    # -- reading the data -----------------------------------------------------------------------
-
-    def _read(self, state: list) -> DataFrame:
-        if not state:
-            raise ValueError("no version to read")
-        own = [s.location for s in state if s.location.startswith(f"{self.path}/data/")]
-        taken = [s.location for s in state if s.location not in own]  # folders converted in place
-        frames = [self.spark.read.option("basePath", f"{self.path}/data").parquet(*own).drop("commit")] if own else []
-        return reduce(lambda a, b: a.unionByName(b), frames + [self.spark.read.parquet(x) for x in taken])
-
-    def read(self) -> DataFrame:
-        return self._read(self.live())
-
-    def as_of_version(self, version: int) -> DataFrame:
-        return self._read(self.live(version))
-
-    def as_of_time(self, moment: datetime) -> DataFrame:
-        before = [s.version for s in self._commits() if s.commit_ts <= moment]
-        if not before:
-            raise ValueError(f"no version at {moment}")
-        return self.as_of_version(max(before))
-
-    def as_of_snapshot(self, snapshot_id: int) -> DataFrame:
-        return self.as_of_version(next(s.version for s in self._commits() if s.snapshot_id == snapshot_id))
-
-    def between(self, start: int, end: int) -> DataFrame:
-        """Rows appended after ``start`` up to ``end``."""
-        added = [s for s in self._commits() if start < s.version <= end and s.operation == "append"]
-        return self._read(added)
-
-    def files(self) -> DataFrame:
-        """Live files with their size and number of rows."""
-        return self.read().groupBy(c("_metadata.file_path").alias("file"), c("_metadata.file_size").alias("bytes")).agg(
-            F.count("*").alias("records"))
-
-    def statistics(self, *columns: str) -> DataFrame:
-        """Per file the number of rows and the least and greatest value of each column."""
-        spread = [e for n in columns for e in (F.min(n).alias(f"min_{n}"), F.max(n).alias(f"max_{n}"))]
-        return self.read().groupBy(c("_metadata.file_path").alias("file")).agg(F.count("*").alias("records"), *spread)
-
-    def unreferenced(self, older_than: datetime) -> DataFrame:
-        """Versions no longer part of the state and committed before ``older_than``; deleting is the caller's choice."""
-        alive = [s.version for s in self.live()]
-        return self.history().where(~c("version").isin(alive) & (c("commit_ts") < F.lit(older_than))).select("version", "operation", "records")
+_VERSION = "version int, operation string, committed timestamp, snapshot_id long, replaces array<int>, records long"
+
+
+def history(spark: SparkSession, path: str) -> DataFrame:
+    """One row per version; none where nothing was written yet."""
+    try:
+        return spark.read.schema(_VERSION).parquet(f"{path}/versions")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], _VERSION)
+
+
+def _next(spark: SparkSession, path: str) -> int:
+    return history(spark, path).agg(F.coalesce(F.max("version") + 1, F.lit(0))).first()[0]
+
+
+def _note(spark: SparkSession, path: str, version: int, operation: str, committed: datetime, replaces: DataFrame | None, records: DataFrame) -> int:
+    replaced = F.array().cast("array<int>") if replaces is None else F.coalesce(replaces.agg(F.collect_list("version")).scalar(), F.array().cast("array<int>"))
+    row = records.agg(F.count("*").alias("records")).select(
+        F.lit(version).alias("version"), F.lit(operation).alias("operation"), F.lit(committed).cast("timestamp").alias("committed"),
+        F.xxhash64(F.lit(path), F.lit(version)).alias("snapshot_id"), replaced.alias("replaces"), "records")
+    row.coalesce(1).write.mode("append").parquet(f"{path}/versions")
+    return version
+
+
+def write_version(frame: DataFrame, path: str, committed: datetime, operation: str = "append", partition_by: tuple[str, ...] = (), replaces: DataFrame | None = None) -> int:
+    """Add the rows as the next version: ``append``, ``overwrite`` (earlier rows no longer count) or ``compact``."""
+    spark = frame.sparkSession
+    version = _next(spark, path)
+    frame.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version", *partition_by).parquet(f"{path}/rows")
+    added = spark.read.parquet(f"{path}/rows").where(c("version") == version)  # counted from the files' footers
+    return _note(spark, path, version, operation, committed, replaces, added)
+
+
+def convert(spark: SparkSession, parquet_path: str, path: str, committed: datetime) -> int:
+    """Register an existing Parquet folder as the first version, without copying it."""
+    return _note(spark, path, 0, "overwrite", committed, None, spark.read.parquet(parquet_path))
+
+
+def state(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The versions whose rows make up the dataset at ``version`` (default: the latest)."""
+    known = history(spark, path)
+    if version is not None:
+        known = known.where(c("version") <= version)
+    begin = known.where(c("operation") == "overwrite").agg(F.coalesce(F.max("version"), F.lit(0)))
+    replaced = known.select(F.explode("replaces").alias("version"))
+    return known.where(c("version") >= begin.scalar()).join(replaced, "version", "left_anti").select("version")
+
+
+def rows(spark: SparkSession, path: str, converted: str | None = None) -> DataFrame:
+    """All rows ever added with their ``version``; columns added later are null before. ``converted`` is version 0."""
+    own = spark.read.option("mergeSchema", True).parquet(f"{path}/rows")
+    return own if converted is None else spark.read.parquet(converted).withColumn("version", F.lit(0)).unionByName(own, allowMissingColumns=True)
+
+
+def read(spark: SparkSession, path: str, version: int | None = None, converted: str | None = None) -> DataFrame:
+    """The rows of the dataset as it was at ``version``."""
+    return rows(spark, path, converted).join(F.broadcast(state(spark, path, version)), "version", "left_semi").drop("version")
+
+
+def version_at(spark: SparkSession, path: str, moment: datetime) -> int:
+    """The last version committed up to a moment."""
+    found = history(spark, path).where(c("committed") <= F.lit(moment)).agg(F.max("version")).first()[0]
+    if found is None:
+        raise ValueError(f"no version at {moment}")
+    return found
+
+
+def version_of_snapshot(spark: SparkSession, path: str, snapshot_id: int) -> int:
+    return history(spark, path).where(c("snapshot_id") == snapshot_id).first()["version"]
+
+
+def between(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
+    """Rows appended after version ``start`` up to ``end``."""
+    added = history(spark, path).where((c("version") > start) & (c("version") <= end) & (c("operation") == "append")).select("version")
+    return rows(spark, path).join(F.broadcast(added), "version", "left_semi").drop("version")
+
+
+def compact(spark: SparkSession, path: str, committed: datetime, condition=None, partition_by: tuple[str, ...] = ()) -> int:
+    """Rewrite the versions that hold matching rows as one version of few files, in the same layout."""
+    from ..session import kept
+
+    live = rows(spark, path).join(F.broadcast(state(spark, path)), "version", "left_semi")
+    touched = kept((live if condition is None else live.where(condition)).select("version").distinct(), "touched")
+    together = live.join(F.broadcast(touched), "version", "left_semi").drop("version").hint("rebalance", *partition_by)
+    return write_version(together, path, committed, "compact", partition_by, touched)
+
+
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """Live files with their size and number of rows."""
+    live = rows(spark, path).select("version", c("_metadata.file_path").alias("file"), c("_metadata.file_size").alias("bytes"))
+    return live.join(F.broadcast(state(spark, path)), "version", "left_semi").groupBy("file", "bytes").agg(F.count("*").alias("records"))
+
+
+def statistics(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """Per live file the number of rows and the least and greatest value of each column."""
+    spread = [e for n in columns for e in (F.min(n).alias(f"min_{n}"), F.max(n).alias(f"max_{n}"))]
+    live = rows(spark, path).select("version", c("_metadata.file_path").alias("file"), *columns)
+    return live.join(F.broadcast(state(spark, path)), "version", "left_semi").groupBy("file").agg(F.count("*").alias("records"), *spread)
+
+
+def unreferenced(spark: SparkSession, path: str, older_than: datetime) -> DataFrame:
+    """Versions no longer part of the state and committed before ``older_than``; deleting is the caller's choice."""
+    old = history(spark, path).where(c("committed") < F.lit(older_than))
+    return old.join(state(spark, path), "version", "left_anti").select("version", "operation", "records")

@@ -17,7 +17,7 @@ from tallyforge.operators.projection import level_of
 from tallyforge.plans.mart import load_star_schema, open_mart
 from tallyforge.session import scratch, shared_dir
 from tallyforge.sources import files
-from tallyforge.sources.versioned import VersionedDataset
+from tallyforge.sources import versioned as V
 
 c = F.col
 SF = "/root/testdata/sf0.001"
@@ -78,20 +78,30 @@ def test_database_options_leave_out_what_is_not_given():
 
 
 def test_versions(spark):
-    data = VersionedDataset(spark, scratch(spark, "versions"))
-    with pytest.raises(ValueError):
-        data.read()
+    path, day = scratch(spark, "versions"), lambda n: datetime(2024, 1, n)
+    assert V.history(spark, path).count() == 0
     part = lambda lo, hi: spark.range(lo, hi)
-    assert [data.append(part(0, 5), datetime(2024, 1, 1)), data.append(part(5, 8), datetime(2024, 1, 2)), data.overwrite(part(8, 10), datetime(2024, 1, 3))] == [0, 1, 2]
-    assert data.read().count() == 2 and data.as_of_version(1).count() == 8 and data.as_of_time(datetime(2024, 1, 1, 12)).count() == 5
+    done = [V.write_version(part(0, 5), path, day(1)), V.write_version(part(5, 8), path, day(2)), V.write_version(part(8, 10), path, day(3), "overwrite")]
+    assert done == [0, 1, 2]
+    assert V.read(spark, path).count() == 2 and V.read(spark, path, 1).count() == 8 and V.version_at(spark, path, datetime(2024, 1, 1, 12)) == 0
     with pytest.raises(ValueError):
-        data.as_of_time(datetime(2023, 1, 1))
-    data.append(part(10, 20), datetime(2024, 1, 4))
-    data.compact(c("id") >= 8)
-    assert data.read().count() == 12 and len(data.live()) == 1 and data.files().count() == 1
-    assert {r.version for r in data.unreferenced(datetime(2030, 1, 1)).collect()} == {0, 1, 2, 3}
-    with pytest.raises(AnalysisException):  # a second writer of the same version
-        data.history().where("version = 0").write.mode("errorifexists").parquet(f"{data.path}/commits/000000000")
+        V.version_at(spark, path, datetime(2023, 1, 1))
+    V.write_version(part(10, 20).withColumn("more", c("id") * 2), path, day(4))
+    V.compact(spark, path, day(5), c("id") >= 10)
+    assert sorted(r.id for r in V.read(spark, path).collect()) == list(range(8, 20))
+    assert V.read(spark, path).where("more is not null").count() == 10 and V.read(spark, path, 3).count() == 12
+    assert V.between(spark, path, 2, 4).count() == 10
+    assert sorted(r.version for r in V.unreferenced(spark, path, datetime(2025, 1, 1)).collect()) == [0, 1, 3]
+
+
+def test_compacted_partitions_take_appends(spark):
+    path, day = scratch(spark, "versions"), lambda n: datetime(2024, 1, n)
+    rows = spark.range(20).withColumn("k", c("id") % 3)
+    for n in (1, 2):
+        V.write_version(rows, path, day(n), partition_by=("k",))
+    V.compact(spark, path, day(3), partition_by=("k",))
+    V.write_version(rows, path, day(4), partition_by=("k",))
+    assert V.read(spark, path).count() == 60 and V.files(spark, path).agg({"records": "sum"}).first()[0] == 60
 
 
 def test_half_a_load_is_never_read(spark):
