@@ -45,9 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def work_dir(spark: SparkSession) -> str:
+    """The folder of all intermediate tables of this application, below the shared folder."""
+    return os.path.join(shared_dir(spark), f"work-{spark.sparkContext.applicationId}")
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder; nothing is ever written to it twice."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A new path below the application's folder; nothing is ever written to it twice."""
+    return os.path.join(work_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def remove_work(spark: SparkSession) -> bool:
+    """Delete all intermediate tables of this application, once no result that reads them is needed any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def kept(frame, label: str = "kept"):

@@ -73,6 +73,19 @@ def test_read_lines_gives_folder_file_and_order(spark):
     assert [r.value for r in rows] == [str(i) for i in range(50)] and {r.app_key for r in rows} == {"app=a1"}
 
 
+def test_a_cluster_needs_a_shared_folder_and_work_can_be_removed(spark):
+    class Far:
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+        class sparkContext:
+            master, getCheckpointDir = "spark://far:7077", staticmethod(lambda: None)
+
+    with pytest.raises(ValueError):
+        shared_dir(Far)
+    assert work_dir(spark).startswith(shared_dir(spark)) and scratch(spark, "x").startswith(work_dir(spark))
+
+
 def test_database_options_leave_out_what_is_not_given():
     assert files.jdbc_options("jdbc:x", user="u", fetchsize="10") == {"url": "jdbc:x", "user": "u", "fetchsize": "10"}
 

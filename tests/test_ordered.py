@@ -59,3 +59,16 @@ def test_rank_by_value_equals_rank(frame, rows):
     got = {r.t: r.rk for r in rank_by_value(kept, ["g"], "v", "rk").collect()}
     want = {t: 1 + sum(1 for g2, _, v2 in rows if g2 == g and v2 is not None and v2 < v) for g, t, v in rows if v is not None}
     assert got == want
+
+
+def test_median_of_nearly_equal_values_sorts_few_rows(spark, monkeypatch):
+    """99 of 100 rows share a value; what is sorted is one row for each value of a group."""
+    from tallyforge.operators import ordered
+
+    rows = spark.range(20_000).selectExpr("id % 3 AS g", "CASE WHEN id % 100 = 0 THEN id ELSE 7 END AS v")
+    sorted_rows = []
+    whole = ordered.ranged
+    monkeypatch.setattr(ordered, "ranged", lambda frame, order: sorted_rows.append(frame.count()) or whole(frame, order))
+    got = {r.g: r.median for r in medians(rows, ["g"], "v").collect()}
+    assert got == {0: 7.0, 1: 7.0, 2: 7.0}
+    assert sorted_rows[0] <= 3 + 200
