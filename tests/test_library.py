@@ -15,7 +15,7 @@ from tallyforge.ml import jobs as ml
 from tallyforge.operators.aggregates import sum_numeric
 from tallyforge.operators.projection import level_of
 from tallyforge.plans.mart import load_star_schema, open_mart
-from tallyforge.session import scratch, shared_dir
+from tallyforge.session import scratch, shared_dir, work_dir
 from tallyforge.sources import files
 from tallyforge.sources import versioned as V
 
