@@ -55,7 +55,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(documents(spark, sf_dir), k=3, percent=85)
 
 
-@query("op6_quality_rules")
+@query("op6_quality_rules", statements.op6(quality.MAX_COVERED, quality.MAX_DUP_LINE_SHARE, quality.MAX_DUP_LINE_CHARS, quality.MAX_SYMBOLS_PER_WORD,
+                                              quality.MAX_UPPER_SHARE, quality.MIN_WORDS))
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition coverage of every document, with its verdict."""
     return quality.quality_rules(documents(spark, sf_dir))

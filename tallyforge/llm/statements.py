@@ -61,3 +61,31 @@ rebuilt AS (SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY place) FI
 SELECT d.doc_id, r.text, coalesce(r.n_chunks, 0) AS n_chunks, coalesce(r.n_removed, 0) AS n_removed
 FROM documents d LEFT JOIN rebuilt r ON d.doc_id = r.doc_id
 """
+
+
+def op6(max_covered: dict[int, float], dup_line_share: float, dup_line_chars: float, symbols: float, upper: float, min_words: int) -> str:
+    """The statement for the limits of the quality rules."""
+    shares = ", ".join(f"coalesce(max(CASE WHEN n = {n} THEN chars END), 0) AS c{n}" for n in max_covered)
+    over = " OR ".join(f"share{n} > {limit}::DOUBLE" for n, limit in max_covered.items())
+    share = lambda n: f"c{n}::DOUBLE / greatest(1, word_chars) AS share{n}"
+    return rf"""
+WITH split AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+windows AS (SELECT doc_id, n, unnest(range(1, len(words) - n + 2)) AS start, words FROM split, (SELECT unnest(range({min(max_covered)}, {max(max_covered) + 1})) AS n) WHERE len(words) >= n),
+twice AS (SELECT doc_id, n, start FROM (SELECT doc_id, n, start, array_to_string(words[start : start + n - 1], ' ') AS w FROM windows) QUALIFY count(*) OVER (PARTITION BY doc_id, n, w) > 1),
+places AS (SELECT DISTINCT doc_id, n, start + more AS place FROM twice, (SELECT unnest(range(0, {max(max_covered)})) AS more) WHERE more < n),
+covered AS (SELECT p.doc_id, p.n, count(*) AS n_covered, sum(length(s.words[p.place])) AS chars FROM places p JOIN split s ON s.doc_id = p.doc_id GROUP BY p.doc_id, p.n),
+wide AS (SELECT doc_id, coalesce(max(CASE WHEN n = 5 THEN n_covered END), 0) AS n_repeat_words, {shares} FROM covered GROUP BY doc_id),
+lines AS (SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM split) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id, line),
+lined AS (SELECT doc_id, sum(n) AS n_lines, sum(n - 1) AS n_dup_lines, sum((n - 1) * length(line)) AS dup_chars FROM lines GROUP BY doc_id),
+measured AS (SELECT s.doc_id, text, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(dup_chars, 0) AS dup_chars,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters, {", ".join(f"coalesce(c{n}, 0) AS c{n}" for n in max_covered)}
+  FROM split s LEFT JOIN wide w ON w.doc_id = s.doc_id LEFT JOIN lined l ON l.doc_id = s.doc_id),
+shared AS (SELECT *, n_words < {min_words} OR 100 * n_repeat_words > 20 * n_words AS base_failed, {", ".join(map(share, max_covered))} FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR {over} OR n_dup_lines > {dup_line_share}::DOUBLE * n_lines OR dup_chars > {dup_line_chars}::DOUBLE * greatest(1, length(text))
+       OR n_symbols > {symbols}::DOUBLE * n_words OR upper > {upper}::DOUBLE * greatest(1, letters)) AS kept,
+  greatest({", ".join(f"share{n}" for n in max_covered)}) AS repeat_share, CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0.0::DOUBLE END AS dup_line_share
+FROM shared
+"""
