@@ -111,3 +111,36 @@ def test_every_signature_pattern_holds_an_anchor():
         for pattern in patterns:
             literal = pattern.replace("\\b", "").replace("(?:ed|ing)", "").lower()
             assert any(anchor in literal for anchor in rules.ANCHORS), pattern
+
+
+def test_signatures_are_found_in_every_field(spark):
+    lost = {"Reason": "ExecutorLostFailure", "Executor ID": "4", "Loss Reason": "Container killed by YARN for exceeding memory limits"}
+    deep = {"Reason": "ExceptionFailure", "Class Name": "x.Y", "Full Stack Trace": "at a\nCaused by: java.lang.OutOfMemoryError: Java heap space"}
+    events = [*_base(), _task(1, reason=lost), _task(2, reason=deep),
+              {"Event": E.SQL_START, "executionId": 1, "description": "q", "physicalPlanDescription": "Netty ran out of native memory", "time": 1}]
+    log = E.EventLog.organise(_log(spark, events))
+    hits = {(r.code, r.source) for r in E.signature_hits(log).collect()}
+    assert hits == {("EXECUTOR_LOST", "task_end_reason"), ("CONTAINER_OOM_OR_137", "task_end_reason"), ("JVM_HEAP_OOM", "task_end_reason"), ("DIRECT_OR_NATIVE_MEMORY", "sql_execution_start")}
+    raw = {(r.code, r.source) for r in E.signature_hits(log, E.raw_line_texts(log)).collect()}
+    assert {code for code, _ in raw} >= {code for code, _ in hits} and {source for _, source in raw} == {"raw_event_line"}
+    examples = {r.example for r in E.signature_examples(log).collect()}
+    assert any("Loss" not in x and "exceeding memory limits" in x for x in examples) and E.signature_examples(log, 1).count() <= 4
+
+
+def test_long_texts_stay_whole_and_all_suspect_stages_are_parsed(spark):
+    reason = "lost " + "x" * 2000
+    events = [*_base(), {"Event": "SparkListenerExecutorAdded", "Executor ID": "9", "Timestamp": 1, "Executor Info": {"Host": "h"}},
+              {"Event": "SparkListenerExecutorRemoved", "Executor ID": "9", "Timestamp": 2, "Removed Reason": reason}]
+    for stage in range(70):
+        events += [{"Event": "SparkListenerStageCompleted", "Stage Info": _info(stage, failure="y" * 900)}, _task(stage)]
+    log = E.EventLog(_log(spark, events))
+    assert E.executors(log).first()["removed_reason"] == reason
+    assert E.deep_stages(log).count() == 70 and E.two_pass_tasks(log).count() == 70
+    assert {len(r.failure_reason) for r in E.stage_infos(log).collect()} == {900}
+
+
+def test_findings_by_code_are_those_of_all_rules(spark):
+    log = E.EventLog(_log(spark, _oom_events()))
+    whole = sorted(map(tuple, E.findings(log).collect()))
+    for code in {row[2] for row in whole}:
+        assert sorted(map(tuple, E.findings(log, codes=(code,)).collect())) == [row for row in whole if row[2] == code]
