@@ -47,22 +47,24 @@ def counts(chunk: Column, least_lines: int) -> Column:
 def deduplicate_lines(docs: DataFrame, ends_one_in: int = ENDS_ONE_IN, least_lines: int = LEAST_LINES) -> DataFrame:
     """All columns of ``docs`` with the text that stays, and the numbers of all and of removed chunks."""
     own = docs.select(c("doc_id").alias("_doc"), c("text").alias("_text")).where("_doc is not null and _text is not null")
-    placed = chunked(own, ends_one_in).select("_doc", F.posexplode("_chunks").alias("_at", "_chunk"))
+    # the outer forms of explode: the plain ones add a filter that would work out all steps once more for each text
+    placed = chunked(own, ends_one_in).select("_doc", F.posexplode_outer("_chunks").alias("_at", "_chunk"))
     seen = kept(placed.where(counts(c("_chunk"), least_lines)).select("_doc", "_at", F.xxhash64("_chunk").alias("_hash")), "chunks")
     first = seen.groupBy("_hash").agg(F.count("*").alias("_n"), F.min(F.struct("_doc", "_at")).alias("_first")).where("_n > 1")
     first = kept(first.select("_hash", c("_first._doc").alias("_doc"), c("_first._at").alias("_at")), "first-chunks")
     wanted = first.groupBy("_doc").agg(F.collect_list(F.struct("_at", "_hash")).alias("_wanted"))  # at most the chunks of a text
-    at_home = chunked(own.join(wanted, "_doc"), ends_one_in)
-    bytes_of = at_home.select(F.explode(F.transform("_wanted", lambda w: F.struct(w["_hash"].alias("_hash"), F.get("_chunks", w["_at"]).alias("_bytes")))).alias("_x"))
-    bytes_of = bytes_of.select("_x.*").where(F.xxhash64("_bytes") == c("_hash")).dropDuplicates(["_hash"])
+    at_home = chunked(own.join(wanted.hint("merge"), "_doc"), ends_one_in)
+    bytes_of = at_home.select(F.explode_outer(F.transform("_wanted", lambda w: F.struct(w["_hash"].alias("_hash"), F.get("_chunks", w["_at"]).alias("_bytes")))).alias("_x"))
+    bytes_of = kept(bytes_of.select("_x.*").where(F.xxhash64("_bytes") == c("_hash")).dropDuplicates(["_hash"]), "chunk-bytes")
     again = (seen.join(first.select("_hash", c("_doc").alias("_doc0"), c("_at").alias("_at0")), "_hash").where("_doc <> _doc0 or _at <> _at0")
              .select("_hash", "_doc", "_at").join(bytes_of, "_hash"))
     again = again.groupBy("_doc").agg(F.collect_list(F.struct("_at", "_bytes")).alias("_again"))  # at most a text
-    rows = docs.select(F.struct(*(c(f"`{n}`") for n in docs.columns)).alias("_row"), c("doc_id").alias("_doc"), c("text").alias("_text")).join(again, "_doc", "left")
+    rows = docs.select(F.struct(*(c(f"`{n}`") for n in docs.columns)).alias("_row"), c("doc_id").alias("_doc"))
+    rows = rows.join(again.hint("merge"), "_doc", "left").withColumn("_text", c("_row.text"))
     cut = chunked(rows, ends_one_in)
     stays = F.filter("_chunks", lambda chunk, i: ~F.exists("_again", lambda a: (a["_at"] == i) & (a["_bytes"] == chunk)))
     cut = cut.withColumn("_stays", F.when(c("_again").isNotNull(), stays))
-    text = F.when(c("_stays").isNotNull(), F.array_join("_stays", "\n")).otherwise(c("_text"))
+    text = F.when(c("_stays").isNotNull(), F.array_join("_stays", "\n")).otherwise(c("_row.text"))
     n, n_stay = F.coalesce(F.size("_chunks"), F.lit(0)), F.size("_stays")
     return cut.select("_row", text.alias("_kept"), F.greatest(n, F.lit(0)).cast("long").alias("_n"),
                       F.when(c("_stays").isNotNull(), n - n_stay).otherwise(0).cast("long").alias("_gone"))
