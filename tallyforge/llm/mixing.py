@@ -51,7 +51,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, documents: int = TRAINING
     sample = labelled.groupBy("_doc").agg(F.max("_domain").alias("_domain")).orderBy(F.xxhash64("_doc"), "_doc").limit(documents)
     # at most ``documents`` rows of two short columns
     rows = docs.select(c("doc_id").alias("_doc"), c("text").alias("_text")).join(F.broadcast(sample), "_doc")
-    found = rows.select("_domain", F.explode(F.array_distinct(buckets(words(c("_text"))))).alias("_bucket")).groupBy("_domain", "_bucket").agg(F.count("*").alias("n")).collect()
+    # the outer form of explode: the plain one adds a filter that would work out the words twice
+    found = rows.select("_domain", F.explode_outer(F.array_distinct(buckets(words(c("_text"))))).alias("_bucket")).where("_bucket is not null").groupBy("_domain", "_bucket").agg(F.count("*").alias("n")).collect()
     sizes = {r["_domain"]: r["n"] for r in rows.groupBy("_domain").agg(F.count("*").alias("n")).collect()}
     counts = np.full((len(DOMAINS), BUCKETS), 0.1)
     for r in found:
