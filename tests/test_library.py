@@ -6,7 +6,6 @@ from datetime import datetime
 
 import pandas as pd
 import pytest
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tallyforge.catalogue import QUERIES
