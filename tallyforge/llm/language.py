@@ -15,6 +15,7 @@ read, and lang never when predicting.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from uuid import uuid4
 
@@ -34,6 +35,8 @@ SCRIPT_SHARE = 0.001
 _NO_CANDIDATE = -60.0
 #: Words a worker remembers the scores of; words that are scored side by side.
 REMEMBERED, SIDE_BY_SIDE = 400_000, 1_000_000
+#: Characters of the texts that are cut into words at a time.
+PORTION = 6_000_000
 #: Words whose n-grams are hashed together.
 _TOGETHER = 20_000
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -266,6 +269,19 @@ _SPAN = pa.struct([("lang", pa.string()), ("first_word", pa.int64()), ("n_words"
 _FIELDS = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("spans", pa.list_(_SPAN))])
 
 
+def in_portions(values: Iterable[str], characters: int = PORTION) -> Iterator[list[str]]:
+    """Lists of texts of about so many characters; only one list's words are held at a time."""
+    some, size = [], 0
+    for value in values:
+        some.append(value)
+        size += len(value)
+        if size >= characters:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def label_documents(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score (share of the letters that lie in spans of lang_pred) and the spans."""
     names, mark = model.languages, uuid4().hex
@@ -276,8 +292,8 @@ def label_documents(docs: DataFrame, model: Model) -> DataFrame:
             return
         labeller = remembered(mark, model)
         ids, pred, score, spans = batch.column("doc_id"), [], [], []
-        values = [(t or b"").decode() for t in texts(batch.column("text"))]
-        for own, letters in labeller.spans(values):
+        values = ((t or b"").decode() for t in texts(batch.column("text")))
+        for own, letters in (found for some in in_portions(values) for found in labeller.spans(some)):
             sums = np.zeros(len(names), dtype=np.int64)
             for label, _, _, n in own:
                 sums[label] += n
