@@ -8,10 +8,12 @@ class from the start, so a group of copies counts once in all that follows. Each
    pairs with too few equal minima are left out, the rest is confirmed on the full sets, and
    alternating large-star and small-star steps join the links into components.
 2. Buckets whose members still lie in several components are compared whole, in blocks of members, by
-   their minima; only pairs across components leave a block, and they are confirmed on the full sets, too.
+   1024 further minima; only pairs across components that are close to the similarity leave a block, so heavily edited
+   copies of one text don't leave all their pairs. These are confirmed on the full sets, too.
 
 A link with a similarity of 0.85 shares no bucket with a chance of (1 - 0.85**4)**32 < 6e-11 (0.8: 5e-8) and falls below
-the bound on equal minima, 0.2 under the similarity asked for, with a chance below 1e-8. Every link found is exact.
+the bounds on equal minima, about six standard deviations under the similarity asked for, with a chance below 1e-8.
+Every link found is exact.
 
 Defined results: null and empty texts, and texts without words, have an empty set, are linked with nothing and kept; fewer
 than k words are one shingle; very long texts are hashed whole; equal similarity links; the smallest
@@ -37,10 +39,13 @@ c = F.col
 BANDS, ROWS = 32, 4
 #: Equal minima may fall this far below the similarity.
 SLACK = 0.2
-BLOCK = 64
+#: Further minima for documents that are still apart in a bucket, how far these may fall below, and documents in a block.
+FINE, FINE_SLACK = 1024, 0.075
+BLOCK = 128
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS, _TERMS = (np.random.default_rng(seed).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (11, 12))
+_FINE_FACTORS, _FINE_TERMS = (np.random.default_rng(seed).integers(0, 1 << 32, FINE, dtype=np.uint32) | np.uint32(1) for seed in (21, 22))
 _TOGETHER = 2048
 
 
@@ -67,6 +72,17 @@ def minima(found: np.ndarray) -> np.ndarray:
     return least
 
 
+def fine_minima(found: np.ndarray) -> np.ndarray:
+    """One byte of the least value of each of many more hash functions."""
+    least = np.full(FINE, 0xFFFFFFFF, dtype=np.uint32)
+    short = (found >> np.uint64(32)).astype(np.uint32)
+    for first in range(0, len(short), _TOGETHER):
+        values = short[first:first + _TOGETHER, None] * _FINE_FACTORS
+        values += _FINE_TERMS
+        least = np.minimum(least, values.min(axis=0))
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+
+
 def buckets(least: np.ndarray) -> np.ndarray:
     """One 64-bit key per band, different for equal minima in different bands."""
     keys = np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP
@@ -134,10 +150,38 @@ def with_marks(pairs: DataFrame, marks: DataFrame, least_equal: int) -> DataFram
     return batches(pairs.join(two, "b").join(one, "a").select("a", "b", "mark_a", "mark_b"), checked, "a long, b long", _PAIRS)
 
 
+def fine(whole: DataFrame, k: int) -> DataFrame:
+    """doc_id, and in ``mark`` the further minima of documents and the keys of all their buckets."""
+
+    def rows(batch: pa.RecordBatch):
+        sets = [shingles(t, k) for t in texts(batch.column("text"))]
+        yield {"doc_id": batch.column("doc_id"), "mark": [fine_minima(x).tobytes() + buckets(minima(x)).tobytes() for x in sets]}
+
+    return batches(whole, rows, "doc_id long, mark binary", pa.schema([("doc_id", pa.int64()), ("mark", pa.binary())]))
+
+
+def close_pairs(marks: np.ndarray, keys: np.ndarray, band: int, allowed: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the allowed pairs that are close by their first 128 minima, then by all.
+
+    Pairs that share a bucket of an earlier band are left to that one.
+    """
+    first = np.ascontiguousarray(marks[:, :BANDS * ROWS])
+    x, y = np.nonzero(allowed)
+    out = []
+    for at in range(0, len(x), 1 << 14):
+        i, j = x[at:at + (1 << 14)], y[at:at + (1 << 14)]
+        close = (first[i] == first[j]).sum(axis=1) >= BANDS * ROWS * (similarity - SLACK)
+        close &= ~(keys[i, :band] == keys[j, :band]).any(axis=1)
+        i, j = i[close], j[close]
+        close = (marks[i] == marks[j]).sum(axis=1) >= FINE * (similarity - FINE_SLACK)
+        out.append((i[close], j[close]))
+    return tuple(np.concatenate([o[side] for o in out]) if out else np.empty(0, dtype=np.int64) for side in (0, 1))
+
+
 _MEMBER = ["key", "i", "j", "doc_id", "component", "part", "mark"]
 
 
-def across(members: DataFrame, least_equal: int) -> DataFrame:
+def across(members: DataFrame, similarity: float) -> DataFrame:
     """Pairs of different components from members (key, n, doc_id, component, mark) of buckets, compared block by block."""
     parts = F.ceil(c("n") / BLOCK).cast("int")
     placed = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), c("parts")).cast("int"))
@@ -145,13 +189,18 @@ def across(members: DataFrame, least_equal: int) -> DataFrame:
     blocks = (spread.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).select(*_MEMBER)
               .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"))
 
-    def compared(ids, components, part, marks, i, j):
-        equal = (marks[:, None, :] == marks[None, :, :]).sum(axis=2) >= least_equal
-        equal &= components[:, None] != components[None, :]
-        equal &= ids[:, None] < ids[None, :]
-        if i != j:
-            equal &= part[:, None] != part[None, :]
-        return np.nonzero(equal)
+    def compared(rows: pa.Table, lo: int, hi: int, name: np.ndarray) -> np.ndarray:
+        own = rows.slice(lo, hi - lo)
+        ids, component, part = (own.column(x).to_numpy() for x in ("doc_id", "component", "part"))
+        allowed = (component[:, None] != component[None, :]) & (ids[:, None] < ids[None, :])
+        if name[1] != name[2]:
+            allowed &= part[:, None] != part[None, :]
+        if not allowed.any():
+            return np.empty((0, 2), dtype=np.int64)
+        both = np.frombuffer(b"".join(own.column("mark").to_pylist()), dtype=np.uint8).reshape(-1, FINE + 8 * BANDS)
+        keys = np.ascontiguousarray(both[:, FINE:]).view(np.int64)
+        x, y = close_pairs(both[:, :FINE], keys, int(np.argmax(keys[0] == name[0])), allowed, similarity)
+        return np.column_stack([ids[x], ids[y]])
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -161,16 +210,9 @@ def across(members: DataFrame, least_equal: int) -> DataFrame:
             names = np.column_stack([rows.column(x).to_numpy() for x in ("key", "i", "j")])
             cuts = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
             bounds = np.concatenate([[0], cuts, [len(names)] if last else []]).astype(np.int64)
-            ids, components, part = (rows.column(x).to_numpy() for x in ("doc_id", "component", "part"))
-            marks = np.frombuffer(b"".join(rows.column("mark").to_pylist()), dtype=np.uint8).reshape(-1, BANDS * ROWS)
-            a, b = [], []
-            for lo, hi in zip(bounds[:-1], bounds[1:]):
-                if hi - lo > 1:
-                    x, y = compared(ids[lo:hi], components[lo:hi], part[lo:hi], marks[lo:hi], names[lo, 1], names[lo, 2])
-                    a.append(ids[lo:hi][x])
-                    b.append(ids[lo:hi][y])
-            found = np.unique(np.column_stack([np.concatenate(a or [np.empty(0, np.int64)]), np.concatenate(b or [np.empty(0, np.int64)])]), axis=0)
-            out = pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], schema=_PAIRS)
+            found = [compared(rows, int(lo), int(hi), names[lo]) for lo, hi in zip(bounds[:-1], bounds[1:]) if hi - lo > 1]
+            pairs = np.unique(np.concatenate([np.empty((0, 2), dtype=np.int64), *found]), axis=0)
+            out = pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], schema=_PAIRS)
             return out, rows.slice(int(bounds[-1]))
 
         for batch in source:
@@ -232,8 +274,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     placed = members.join(stars.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("root", "doc_id"))
     placed = kept(placed.select("key", "n", "doc_id", "component"), "placed")
     split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_members = placed.join(split, "key", "left_semi").join(marks, "doc_id")
-    more = across(open_members, least_equal).join(tested, ["a", "b"], "left_anti")
+    open_members = kept(placed.join(split, "key", "left_semi"), "open")
+    marks = fine(whole.join(open_members.select("doc_id").distinct(), "doc_id", "left_semi"), k)
+    more = kept(across(open_members.join(marks, "doc_id"), percent / 100).join(tested, ["a", "b"], "left_anti"), "more")
     more_links = confirmed(more, whole, k, percent)
     stars = components(stars.select(c("node").alias("a"), c("root").alias("b")).unionByName(more_links))
     by_digest = classes.join(stars, c("first") == c("node"), "left").select("digest", F.coalesce("root", "first").alias("component"))
