@@ -502,6 +502,28 @@ def test_rule_and_learned_verdicts_on_given_pages(spark):
     assert {r.verdict for r in rows} <= {"allow", "block"}
 
 
+def test_verdicts_of_listed_hosts_at_two_sizes(spark):
+    """Whatever the language in the path and the size of the corpus; words that adverts name are learned."""
+    kinds = ("casino-win", "free-bets", "ads-track", "spam-farm", "cheap-pills", "adult-x")
+    hosts = [f"{kind}.example.org" for kind in kinds] + [f"m.{kind}.example.net" for kind in kinds]
+    plain = ["the-ring.example.org", "m.words.example.net", "en.example.org", "thering-of-words.example.org"]
+    for size in (40, 1500):
+        rows = [(f"https://{host}/{code}/{k}", "") for k, host in enumerate(hosts + plain) for code in ("en", "de", "fr", "pt-br", "news")]
+        rows += [(f"https://{words(1, seed=i, of=['ring', 'word', 'here'])}.example.org/en/{i}", f"<title>The ring of the words here {words(6, seed=i)} en de</title><div class=\"ad\">of words</div>") for i in range(size)]
+        frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+        found = url_filter.filter_urls(frame, ()).collect()
+        assert {r.host for r in found if r.verdict == "block"} == set(hosts)
+        assert not [r.host for r in found if r.host in hosts and r.verdict == "allow"]
+
+
+def test_blocked_words_are_learned_from_adverts_and_blocked_hosts(spark):
+    rows = [(f"https://casino-zork.example.org/{i}/p{chr(97 + i)}", "<title>the words here</title><div id='top-promo'><a href='https://gromp.example.net/x'>of</a></div>") for i in range(8)]
+    rows += [("https://zork.example.net/en/1", ""), ("https://gromp.example.org/en/1", ""), ("https://words-here.example.org/en/1", ""), ("https://other.example.org/", "")]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    found = {r.host: r.verdict for r in url_filter.filter_urls(frame, ()).collect()}
+    assert found == {"casino-zork.example.org": "block", "zork.example.net": "block", "gromp.example.org": "block", "words-here.example.org": "allow", "other.example.org": "allow"}
+
+
 # --- together -----------------------------------------------------------------------------------------------
 
 def test_statements_give_the_same_rows(spark):
