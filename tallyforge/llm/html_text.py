@@ -2,9 +2,10 @@
 
 A streaming parser turns a page into lines (one per block), each with its text, its number of
 tags and links, and the element it stands in. The ratio of text to tags, smoothed with a Gaussian
-over neighbouring lines, is cut by a threshold into content and the rest. The element that holds
-most of the content is the region; its lines are the text, but for lines of menus, notices,
-adverts, forms, sidebars, footers and comments inside it.
+over neighbouring lines, is cut by a threshold into content and the rest; a heading goes with the line
+below it. The main elements, or else all articles and main elements, are the region where they hold most of the content;
+on other pages it is the smallest element that holds all of it. Its lines are the text, but for lines of menus, notices,
+adverts, forms, sidebars, footers and comments inside it, and where it is the whole body for link lists before and behind all content.
 
 Defined results: a null or empty page gives an empty text; unclosed, cut off and very long pages are
 read to their end; equal ratios lie on the same side of the threshold; repeated rows are read each
@@ -32,6 +33,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
                     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul").split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of a text that are no region of their own; a cell may be one, where a table lays out the page.
+PARTS = HEADINGS | frozenset("p pre a b i em strong span li ul ol dl dt dd blockquote figure figcaption address table caption thead tbody tfoot tr".split())
+LIST_ITEMS = frozenset("li dt dd td th".split())
 #: Elements whose end tag may be left out: what a start tag ends, and what it can't reach beyond.
 ENDS_P = BLOCKS - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 ENDS_LIKE = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -146,6 +150,10 @@ def main_text(html: str | None) -> str:
     content = (curve >= DEVIATIONS * curve.std()) & (ratios > 0)
     if not content.any():
         content = ratios > 0
+    heads = False  # whether the next line that is not off the content is content
+    for i in range(len(lines) - 1, -1, -1):
+        if not lines[i][4]:
+            heads = content[i] = content[i] or (heads and parser.named[lines[i][3]] in HEADINGS)
     weight: dict[int, int] = {}  # characters of content lines by element
     for (text, _, _, element, _), inside in zip(lines, content):
         if inside:
@@ -153,25 +161,31 @@ def main_text(html: str | None) -> str:
     total = sum(weight.values())
     if not total:
         return ""
+    for names in (("main",), ("article", "main")):
+        inside_region = within(parser, {element for element, name in enumerate(parser.named) if name in names})
+        if 2 * sum(n for element, n in weight.items() if inside_region[element]) > total:
+            return "\n".join(text for text, _, _, element, off in lines if inside_region[element] and not off)
     held = dict(weight)  # with all that lies below
     for element in range(len(parser.parents) - 1, 0, -1):
         if element in held:
             parent = parser.parents[element]
             held[parent] = held.get(parent, 0) + held[element]
-    # the deepest element that holds most of the content; a title and its paragraphs stand side by side in it
-    region = 0
-    for element in range(len(parser.parents)):
-        if 2 * held.get(element, 0) > total and parser.parents[element] in (region, -1) and parser.named[element] not in ("p", "b", "i", "em", "strong", "span", "li", "blockquote", *HEADINGS):
-            region = element
-    for element, name in enumerate(parser.named):  # an article or main element around it is the whole region
-        if name in ("article", "main") and 2 * held.get(element, 0) > total:
-            region = element
-            break
-    inside_region = [False] * len(parser.parents)
-    inside_region[region] = True
-    for element in range(region + 1, len(parser.parents)):
-        inside_region[element] = inside_region[parser.parents[element]]
-    return "\n".join(text for text, _, _, element, off in lines if inside_region[element] and not off)
+    region = max(element for element, n in held.items() if n == total)  # those that hold all lie one in another
+    while parser.named[region] in PARTS:
+        region = parser.parents[region]
+    inside_region = within(parser, {region})
+    first, last = int(content.argmax()), len(lines) - 1 - int(content[::-1].argmax())
+    whole_page = parser.named[region] in ("", "html", "body")
+    return "\n".join(text for i, (text, _, _, element, off) in enumerate(lines) if inside_region[element] and not off
+                     and not (whole_page and not first <= i <= last and ratios[i] == 0 and parser.named[element] in LIST_ITEMS))
+
+
+def within(parser: Lines, tops: set[int]) -> list[bool]:
+    """Whether each element is one of these or lies in one; a parent has a lower number than its children."""
+    inside = [element in tops for element in range(len(parser.parents))]
+    for element in range(1, len(inside)):
+        inside[element] = inside[element] or inside[parser.parents[element]]
+    return inside
 
 
 _FIELDS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

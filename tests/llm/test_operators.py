@@ -200,6 +200,22 @@ def test_html_rows(spark):
     assert [len(r.text.split("\n")) for r in rows if r.page_id is None] == [20_000]
 
 
+A, B, C_ = (" ".join(f"{w} sentence number {n} of the text goes on for a while." for n in range(k)) for w, k in (("First", 6), ("Second", 4), ("Third", 5)))
+
+
+@pytest.mark.parametrize("body, expected", [
+    (f"<div id=post><h1>Title</h1><p class=by>By me</p><div class=entry-content><p>{A}</p><p>{B}</p></div></div>", ["Title", "By me", A, B]),
+    (f"<div id=post><h1>T</h1><div class=entry-content><p>{A}</p><p>{B}</p></div></div>", ["T", A, B]),
+    (f"<div><p>{B}</p><ul><li>{A}<li>{C_}</ul></div>", [B, A, C_]),
+    (f"<section><p>{A}</p></section><section><p>{B}</p></section>", [A, B]),
+    (f"<article><p>{A}</p></article><div class=ad>{C_}</div><article><p>{B}</p></article>", [A, B]),
+    (f"<ul><li><a href=x>Home</a><li><a href=y>All about us</a></ul><section><p>{A}</p></section><section><h2>Part</h2><p>{B}</p></section><footer>me</footer>", [A, "Part", B]),
+    (f"<div><p>{A}</p><table><tr><td>{B}<td>{C_}</table><p>Last.</p></div>", [A, B, C_, "Last."]),
+])
+def test_html_keeps_all_parts_beside_the_largest(body, expected):
+    assert html_text.main_text(f"<html><body>{body}</body></html>").split("\n") == expected
+
+
 # --- 3 top-k ------------------------------------------------------------------------------------------------
 
 def test_top_k_equals_brute_force(spark):
