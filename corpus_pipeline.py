@@ -28,7 +28,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the fitted mixture takes stay, each once."""
+    """Documents that the fitted mixture takes stay, each once; of exact copies that line dedup has made unlike only the first."""
+    docs = kept(line_chunks.without_copies(docs, documents(spark, sf_dir)), "without-copies")
     return mixing.take(docs, table(spark, sf_dir, "labels"))
 
 

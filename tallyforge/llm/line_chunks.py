@@ -80,3 +80,16 @@ def without_repeats(docs: DataFrame, ends_one_in: int = ENDS_ONE_IN, least_lines
     done = deduplicate_lines(docs, ends_one_in, least_lines)
     new = {"text": c("_kept"), "n_chars": F.when(c("_gone") > 0, F.length("_kept")).otherwise(c("_row.n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
     return done.select(*(new[n].alias(n) if new.get(n) is not None else c("_row")[n].alias(n) for n in docs.columns))
+
+
+def without_copies(docs: DataFrame, originals: DataFrame) -> DataFrame:
+    """The documents but for those whose whole text in ``originals`` is that of another one in ``docs`` with a smaller doc_id.
+
+    For texts that are cut already: what is left of a copy isn't alike to its original any more. A doc_id with different texts stays.
+    """
+    whole = originals.select(c("doc_id").alias("_doc"), F.sha2("text", 256).alias("_hash")).where("_doc is not null and _hash is not null")
+    whole = whole.groupBy("_doc").agg(F.min("_hash").alias("_hash"), F.max("_hash").alias("_other")).where("_hash = _other").drop("_other")
+    own = kept(whole.join(docs.select(c("doc_id").alias("_doc")), "_doc", "left_semi"), "whole-texts")
+    first = own.groupBy("_hash").agg(F.min("_doc").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    out = own.join(first, "_hash").where("_doc <> _first").select(c("_doc").alias("_out"))
+    return docs.join(out, docs["doc_id"] == out["_out"], "left_anti")

@@ -574,3 +574,21 @@ def test_pipeline_stages(spark, reference_encoding):
     for r in docs.collect():
         assert list(last[r.doc_id].token_ids) == reference_encoding.encode_ordinary(r.text) and last[r.doc_id].round_trip
     assert p.run(spark, SF).count() == sizes[-1]
+
+
+def test_pipeline_leaves_one_of_each_group_of_exact_copies(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rows = [(100 * i + k, "\n".join(words(30, seed=50 * i + line) for line in range(20))) for i in range(12) for k in range(4)]
+    rows += [(5000 + i, words(200, seed=9000 + i)) for i in range(20)]
+    docs_of(spark, rows, odd=False).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert sorted(r.doc_id for r in p.run(spark, str(tmp_path)).collect()) == [100 * i for i in range(12)] + [5000 + i for i in range(20)]
+
+
+def test_whole_copies_odd_rows(spark):
+    rows = [(1, "a b"), (2, "a b"), (3, "c"), (3, "a b"), (4, None), (None, "a b"), (5, ""), (6, "")]
+    frame = docs_of(spark, rows)
+    out = line_chunks.without_copies(frame, frame)
+    assert out.columns == frame.columns and sorted(str(r.doc_id) for r in out.collect()) == ["1", "3", "3", "4", "5", "None"]
+    assert line_chunks.without_copies(frame.where("doc_id > 1"), frame).where("doc_id = 2").count() == 1
