@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, language, line_chunks, mixing, near_dups, quality, repeats, statements, topk, url_filter
+from . import bpe, filter_audit, html_text, language, licenses, line_chunks, mixing, near_dups, quality, repeats, spelling, statements, topk, url_filter
 from .common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,21 @@ URL_RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule or learned verdict on the url of every page."""
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op11_spelling_variants", statements.OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their usual spelling."""
+    return spelling.variants(documents(spark, sf_dir))
+
+
+@query("op12_filter_audit", statements.OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in every order, for each language."""
+    return filter_audit.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@query("op13_license_scan", statements.op13(licenses.BASE, licenses.NOTICES, licenses.CHARS_PER_EDIT))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices of every document, exact and with errors."""
+    return licenses.license_scan(documents(spark, sf_dir)).drop("spans")

@@ -63,6 +63,80 @@ FROM documents d LEFT JOIN rebuilt r ON d.doc_id = r.doc_id
 """
 
 
+OP11 = r"""
+WITH RECURSIVE steps AS (SELECT unnest(range(0, 256)) AS i, unnest(range(0, 256)) AS v, 0 AS k
+  UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM steps WHERE k = 8),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS raw FROM documents WHERE text IS NOT NULL),
+counted AS (SELECT doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs GROUP BY 1, 2),
+coded AS (SELECT doc_id, run, n, flatten(list_transform(string_split(doc_id || ':' || run, ''),
+          lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + (unicode(x) >> 6)::BIGINT, 128 + (unicode(x) & 63)::BIGINT] END)) AS bytes FROM counted),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], bytes), lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1]))) AS h FROM coded, crc),
+damaged AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+vocab AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM damaged WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab)),
+near AS (SELECT x.word, y.word AS other, y.n FROM less x JOIN vocab y ON x.rest = y.word
+  UNION SELECT y.word, x.word, x.n FROM less x JOIN vocab y ON x.rest = y.word
+  UNION SELECT x.word, y.word, y.n FROM less x JOIN less y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word),
+best AS (SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, n FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, other) = 1),
+formed AS (SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.n >= 2 * v.n THEN other END AS form, CASE WHEN b.n >= 2 * v.n THEN b.n END AS form_n
+  FROM vocab v LEFT JOIN best b ON b.word = v.word),
+followed AS (SELECT word, word AS root FROM formed UNION ALL SELECT f.word, x.form FROM followed f JOIN formed x ON x.word = f.root WHERE x.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN (SELECT g.word, g.root FROM followed g JOIN formed x ON x.word = g.root WHERE x.form IS NULL) r ON r.word = f.word
+"""
+
+OP12 = r"""
+WITH split AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM split GROUP BY text),
+marks AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+judged AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    {'A': len(words) < 200, 'B': 100 * len(list_distinct(words)) < 50 * len(words), 'C': 100 * length(regexp_replace(s.text, '[^A-Z]', '', 'g')) > 3 * length(s.text),
+     'D': regexp_matches(s.text, '[#$%&*|]'), 'E': coalesce(s.doc_id > f.first, false)} AS f
+  FROM split s JOIN firsts f ON f.text = s.text LEFT JOIN marks m ON m.doc_id = s.doc_id),
+failed AS (SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x: CASE x WHEN 'A' THEN f.A WHEN 'B' THEN f.B WHEN 'C' THEN f.C WHEN 'D' THEN f.D ELSE f.E END) AS f FROM judged),
+sums AS (SELECT part, f, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, f),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, unnest(range(1, 6)) AS step FROM orders),
+told AS (SELECT part, o, step, f, n, good, toxic, list_contains(f, substr(o, step, 1)) AS fails,
+    len(list_filter(f, lambda x: instr(o, x) < step)) > 0 AS gone, f = [substr(o, step, 1)] AS alone FROM sums, steps),
+counted AS (SELECT part, o, step, coalesce(sum(n) FILTER (WHERE NOT fails AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (WHERE fails AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE fails AND gone), 0) AS redundant, coalesce(sum(n) FILTER (WHERE alone), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE fails AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE fails AND NOT gone), 0) AS toxic_lost FROM told GROUP BY part, o, step)
+SELECT part, o AS filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, substr(o, step, 1)) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
+def op13(base: tuple[tuple[str, str], ...], notices: tuple[tuple[str, str], ...], chars_per_edit: int) -> str:
+    """The statement for phrases and notices: every run of whole words is measured against every notice of about its length."""
+    listed = lambda pairs: ", ".join(f"('{text}', '{label}')" for text, label in pairs)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH base(phrase, label) AS (VALUES {listed(base)}),
+notices AS (SELECT notice, label, length(notice) AS m, length(notice) // {chars_per_edit} AS k, len(string_split(notice, ' ')) AS w FROM (VALUES {listed(notices)}) x(notice, label)),
+split AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{letters.upper()}', '{letters}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'),
+          lambda x: x <> '') AS words FROM documents),
+marked AS (SELECT r, list_transform(words, lambda x: regexp_replace(x, '[^\x00-\x7F]', '~', 'g')) AS words FROM split),
+pieces AS (SELECT DISTINCT substr(notice, m * j // (k + 1) + 1, m * (j + 1) // (k + 1) - m * j // (k + 1)) AS piece FROM (SELECT notice, m, k, unnest(range(0, k + 1)) AS j FROM notices)),
+plain AS (SELECT r, words FROM marked WHERE EXISTS (SELECT 1 FROM pieces WHERE contains(array_to_string(words, ' '), piece))),
+sizes AS (SELECT DISTINCT unnest(range(greatest(1, w - k), w + k + 1)) AS w FROM notices),
+runs AS (SELECT r, i, s.w, unnest([array_to_string(words[i : i + s.w - 1], ' ')]) AS run FROM (SELECT r, words, unnest(range(1, len(words) + 1)) AS i FROM plain), sizes s WHERE i + s.w - 1 <= len(words)),
+found AS (SELECT r, i, run, notice, label, m, levenshtein(run, notice) AS edits FROM runs JOIN notices n ON runs.w BETWEEN n.w - k AND n.w + k AND abs(length(run) - m) <= k
+          WHERE levenshtein(run, notice) <= k),
+exact AS (SELECT r, i - 1 AS place, b.label FROM runs JOIN base b ON run = phrase),
+based AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels FROM exact GROUP BY r),
+fuzzy AS (SELECT r, max(1 - edits::DOUBLE / m) AS score, list(DISTINCT label) AS labels FROM found GROUP BY r)
+SELECT s.doc_id, len(words) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ','), '') AS labels,
+  greatest(coalesce(score, 0::DOUBLE), CASE WHEN n_base > 0 THEN 1::DOUBLE ELSE 0 END) AS score
+FROM split s LEFT JOIN based b ON b.r = s.r LEFT JOIN fuzzy f ON f.r = s.r
+"""
+
+
 def op6(max_covered: dict[int, float], dup_line_share: float, dup_line_chars: float, symbols: float, upper: float, min_words: int) -> str:
     """The statement for the limits of the quality rules."""
     shares = ", ".join(f"coalesce(max(CASE WHEN n = {n} THEN chars END), 0) AS c{n}" for n in max_covered)
