@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import remove_punctuation
+from ..operators.ordered import match
 
 c = F.col
 
@@ -81,7 +82,7 @@ def feature_columns(frame: DataFrame) -> list[str]:
 def label_remaining_life(cycles: DataFrame) -> DataFrame:
     """``rul = max_age - current_age + 1`` where max_age is the number of cycles of the asset."""
     ages = cycles.groupBy("asset_id").agg(F.count("*").alias("max_age"))
-    joined = cycles.join(ages, "asset_id")
+    joined = match(cycles, ages, ["asset_id"])  # rows without an asset are one group of their own
     return joined.withColumn("rul", (c("max_age") - c("current_age") + 1).cast("int")).withColumn("censor", F.lit(1.0))
 
 

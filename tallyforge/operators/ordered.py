@@ -3,6 +3,10 @@
 The rows are range-partitioned and sorted once and written to the shared folder, so that
 partition numbers stay the same when an executor is lost and a task is run again. What
 a partition needs to know of the ones before it is one small row per partition.
+
+Null is a group like any other, as in SQL windows, and a null value of an ordering column stands before
+all others (ascending, nulls first). Sums, maxima and medians leave null values out; a group of
+nothing but null values has a null sum, maximum and median.
 """
 
 from __future__ import annotations
@@ -16,6 +20,15 @@ c = F.col
 _ROW_BITS = 1 << 33  # monotonically_increasing_id counts rows below, partitions above this bit
 
 
+def match(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys``, each column once, in which null equals null; still a hash or merge join."""
+    if not keys:  # the whole table is one group, so ``right`` is one row
+        return left.join(F.broadcast(right), how=how)
+    own = {k: f"_match_{i}" for i, k in enumerate(keys)}
+    on = [left[k].eqNullSafe(c(own[k])) for k in keys]
+    return left.join(right.withColumnsRenamed(own), on, how).drop(*own.values())
+
+
 def ranged(frame: DataFrame, order: list[str]) -> DataFrame:
     """Sorted rows with ``_part`` (increasing with the order) and ``_row`` inside it."""
     path = scratch(frame.sparkSession, "ranged")
@@ -39,7 +52,7 @@ def with_group_position(frame: DataFrame, group: list[str], order: list[str], al
     """``row_number`` inside each group, safe for a group that holds most of the rows."""
     rows = with_position(frame, group + order, "_place")
     starts = rows.groupBy(*group).agg((F.min("_place") - 1).alias("_start"))
-    return rows.join(starts, group).withColumn(alias, c("_place") - c("_start")).drop("_place", "_start")
+    return match(rows, starts, group).withColumn(alias, c("_place") - c("_start")).drop("_place", "_start")
 
 
 def running(frame: DataFrame, group: list[str], order: list[str], value: str, alias: str, how: str = "sum") -> DataFrame:
@@ -50,7 +63,7 @@ def running(frame: DataFrame, group: list[str], order: list[str], value: str, al
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = rows.groupBy("_part", *group).agg(fold(value).alias("_total"))
     carried = parts.select("_part", *group, fold("_total").over(before).alias("_carried"))
-    local = rows.withColumn("_local", fold(value).over(inside)).join(carried, ["_part", *group])
+    local = match(rows.withColumn("_local", fold(value).over(inside)), carried, ["_part", *group])
     if how == "sum":
         both = F.when(c("_carried").isNull(), c("_local")).otherwise(F.coalesce(c("_local") + c("_carried"), c("_carried")))
     else:
@@ -69,11 +82,11 @@ def medians(frame: DataFrame, group: list[str], value: str, alias: str = "median
     totals = counts.groupBy(*group).agg(F.sum("_n").alias("_total"))
     low, high = F.floor((c("_total") + 1) / 2), F.floor(c("_total") / 2) + 1
     before = c("_upto") - c("_n")
-    middle = placed.join(totals, group).where((c("_upto") >= low) & (before < high))
+    middle = match(placed, totals, group).where((c("_upto") >= low) & (before < high))
     return middle.groupBy(*group).agg(((F.min(value) + F.max(value)).cast("double") / 2).alias(alias))
 
 
 def distribution(frame: DataFrame, group: list[str], value: str) -> DataFrame:
     """count, total, max and exact median of ``value`` per group."""
     totals = frame.groupBy(*group).agg(F.count(value).alias("count"), F.sum(value).alias("total"), F.max(value).alias("max"))
-    return totals.join(medians(frame, group, value), group, "left")
+    return match(totals, medians(frame, group, value), group, "left")

@@ -16,7 +16,7 @@ from ..functions.scalar import flatten
 from ..operators.aggregates import sum_numeric
 from ..plans.mart import _fingerprint
 from ..registry import on_tables
-from ..session import scratch, shared_dir
+from ..session import kept, scratch, shared_dir
 from . import files
 from . import versioned as V
 
@@ -403,6 +403,28 @@ def compaction(t):
     return V.read(t.spark, path).select(*_VERSIONED, "year")
 
 
+@on_tables("ver_08_target_size", f"""SELECT o_orderstatus AS part, count(*) AS records, true AS near_the_target, true AS fewer, true AS others_untouched
+    FROM orders WHERE {_YEAR} < 2001 GROUP BY 1""")
+def target_size(t):
+    """Orders of six years in many small files: those that hold orders up to 1998 are packed to a target size, the others stay as they are."""
+    path, target = _new(t, "versions"), 64 << 10
+    for year in range(1995, 2001):
+        V.write_version(_of_year(t, year).repartition(6, "o_orderkey"), path, _DAY(year - 1994), partition_by=("o_orderstatus",))
+    files_now = lambda label: kept(V.files(t.spark, path).select("slice", "version", F.get_json_object("part", "$.o_orderstatus").alias("part"), "bytes", "records"), label)
+    before = files_now("before")
+    new = V.compact(t.spark, path, _DAY(8), c("year") <= 1998, ("o_orderstatus",), target)
+    after = files_now("after")
+    packed = after.where(c("version") == new)
+    last = packed.groupBy("part").agg(F.min("bytes").alias("rest"))  # the last bin of a partition holds what is left
+    near = packed.join(last, "part").groupBy("part").agg(F.count_if((c("bytes") > c("rest")) & ~c("bytes").between(target // 2, 2 * target)).alias("far"))
+    other = c("version") >= 4  # files of 1999 and 2000 hold no matching row
+    same = before.where(other).join(after.where(other & (c("version") != new)), ["slice", "bytes", "records"], "full").groupBy("slice").count()
+    untouched = after.where(other & (c("version") != new)).count() == before.where(other).count() == same.count()
+    return (after.groupBy("part").agg(F.sum("records").alias("records"), F.count("*").alias("n")).join(near, "part")
+            .join(before.groupBy("part").agg(F.count("*").alias("m")), "part")
+            .select("part", "records", (c("far") == 0).alias("near_the_target"), (c("n") < c("m")).alias("fewer"), F.lit(untouched).alias("others_untouched")))
+
+
 @on_tables("ver_09_unreferenced", f"""SELECT ({_YEAR} - 1995)::INTEGER AS version, CASE WHEN {_YEAR} = 1995 THEN 'overwrite' ELSE 'append' END AS operation, count(*) AS records
     FROM orders WHERE {_YEAR} < 1998 GROUP BY ALL""")
 def unreferenced(t):
@@ -426,6 +448,17 @@ def statistics(t):
         F.sum("records").alias("records"), F.min("min_o_totalprice").alias("least"), F.max("max_o_totalprice").alias("greatest"))
 
 
+@on_tables("ver_11_files_left_out", f"""SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, {_YEAR}::INTEGER AS year, true AS fewer_files
+    FROM orders WHERE o_totalprice BETWEEN 50000 AND 60000""")
+def files_left_out(t):
+    """A read with a price range of versions whose files are sorted by price; files whose range doesn't touch it are left out."""
+    path = _new(t, "versions")
+    for year in range(1995, 2002):
+        V.write_version(_of_year(t, year).repartitionByRange(6, "o_totalprice"), path, _DAY(year - 1994))
+    fewer = V.may_hold(t.spark, path, "o_totalprice", 50000, 60000).count() < V.files(t.spark, path).count() / 2
+    return V.read_between(t.spark, path, "o_totalprice", 50000, 60000).withColumn("fewer_files", F.lit(fewer))
+
+
 @on_tables("ver_12_partitioned", f"SELECT o_orderkey, o_orderstatus, {_YEAR}::INTEGER AS year FROM orders")
 def partitioned(t):
     path = _new(t, "versions")

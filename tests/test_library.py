@@ -116,6 +116,85 @@ def test_compacted_partitions_take_appends(spark):
     assert V.read(spark, path).count() == 60 and V.files(spark, path).agg({"records": "sum"}).first()[0] == 60
 
 
+def scanned_files(frame):
+    """Files that the scan of versioned rows listed, from the metrics of a plan that has run."""
+    frame.collect()
+    text = lambda node: node.getClass().getSimpleName()
+    stack, found = [frame._jdf.queryExecution().executedPlan()], []
+    while stack:
+        node = stack.pop()
+        if text(node) == "AdaptiveSparkPlanExec":
+            stack.append(node.executedPlan())
+        elif text(node).endswith("QueryStageExec"):
+            stack.append(node.plan())
+        elif text(node) == "FileSourceScanExec" and "/rows" in node.relation().location().rootPaths().toString():
+            found.append(node.metrics().apply("numFiles").value())
+        children = node.children()
+        stack += [children.apply(k) for k in range(children.size())]
+    return sum(found)
+
+
+def test_statistics_come_from_the_footers(spark):
+    path, day = scratch(spark, "versions"), lambda n: datetime(2024, 1, n)
+    rows = spark.range(400).select("id", (c("id") % 7).cast("double").alias("x"), F.lit("s").alias("s"), F.expr("IF(id % 2 = 0, NULL, DATE'2024-01-01' + CAST(id AS INT))").alias("d"))
+    V.write_version(rows.repartitionByRange(8, "id"), path, day(1))
+    folder, schema = f"{path}/rows/version=0", V._merged(spark, path).add("slice", "string")
+    with V.footers(spark):
+        plan = V.file_statistics(spark, folder, schema, ["slice"])._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*), MIN(id), MAX(id)" in plan and "PushedGroupBy: [slice]" in plan
+    kept_now = {r.slice: r for r in V.statistics(spark, path, "id", "x", "d").collect()}
+    plain = V.rows(spark, path).groupBy("slice").agg(F.count("*").alias("records"), *[f(n).alias(f"{m}_{n}") for n in ("id", "x", "d") for f, m in ((F.min, "min"), (F.max, "max"))])
+    assert len(kept_now) == 8 and {r.slice: tuple(r) for r in plain.collect()} == {k: tuple(v) for k, v in kept_now.items()}
+    assert all(r.bytes > 0 for r in V.files(spark, path).collect())
+    assert scanned_files(V.read(spark, path)) == 8 and scanned_files(V.read_between(spark, path, "id", 10, 40)) == 1
+    assert sorted(r.id for r in V.read_between(spark, path, "id", 45, 55).collect()) == list(range(45, 56))
+
+
+def test_columns_without_ranges_are_read_instead(spark):
+    """NaN has no place in a footer's range; nulls alone give none; texts have none."""
+    path = scratch(spark, "versions")
+    rows = spark.createDataFrame([(1, float("nan"), None, "a"), (2, 5.0, None, "b")], "id int, x double, n int, s string").coalesce(1)
+    V.write_version(rows, path, datetime(2024, 1, 1))
+    row = V.statistics(spark, path, "id", "x", "n").first()
+    assert (row.records, row.min_id, row.max_id, row.min_x, str(row.max_x), row.min_n) == (2, 1, 2, 5.0, "nan", None)
+    assert V.read_between(spark, path, "x", 4.0, 6.0).count() == 1 and V.read_between(spark, path, "s", "a", "a").count() == 1
+    assert V.read_between(spark, path, "n", 0, 9).count() == 0
+    V.write_version(rows.limit(0), path, datetime(2024, 1, 2))
+    assert V.read(spark, path).count() == 2 and [r.records for r in V.history(spark, path).orderBy("version").collect()] == [2, 0]
+    with pytest.raises(ValueError):
+        V.write_version(rows.withColumn("id", F.lit("text")), path, datetime(2024, 1, 3))
+
+
+def test_compaction_to_a_target_size(spark):
+    path, day = scratch(spark, "versions"), lambda n: datetime(2024, 1, n)
+    rows = spark.range(60_000).select("id", F.xxhash64("id").alias("x"), (c("id") % 2).cast("int").alias("k"))
+    V.write_version(rows.where("id < 40000").repartition(20, "id"), path, day(1), partition_by=("k",))
+    V.write_version(rows.where("id >= 40000").repartition(2, "id"), path, day(2), partition_by=("k",))
+    before = {r.slice: r for r in V.files(spark, path).collect()}
+    small = [r.bytes for r in before.values() if r.version == 0]
+    target = 4 * max(small)
+    version = V.compact(spark, path, day(3), c("id") < 40000, ("k",), target)
+    after = {r.slice: r for r in V.files(spark, path).collect()}
+    new = [r for r in after.values() if r.version == version]
+    assert all(after[s] == before[s] for s in before if before[s].version == 1)
+    for part in {r.part for r in new}:
+        sizes = sorted(r.bytes for r in new if r.part == part)
+        assert len(sizes) >= 4 and all(0.5 * target <= b <= 1.5 * target for b in sizes[1:])
+    assert sorted(r.id for r in V.read(spark, path).collect()) == list(range(60_000)) and V.read(spark, path, 0).count() == 40_000
+    assert V.compact(spark, path, day(4), c("id") < 0, ("k",), target) is None
+    assert V.compact(spark, path, day(4), None, ("k",), 100) is None  # all files are over the target
+
+
+def test_a_broken_write_leaves_nothing_behind(spark):
+    path = scratch(spark, "versions")
+    V.write_version(spark.range(5), path, datetime(2024, 1, 1))
+    V._write_rows(spark.range(50), path, 1, F.lit("p0"), ())  # stopped before its version was noted
+    spark.range(3).select(F.lit("v0p0").alias("slice")).coalesce(1).write.parquet(f"{path}/slices/version=1/kind=removed")
+    assert V.read(spark, path).count() == 5
+    V.write_version(spark.range(5, 8), path, datetime(2024, 1, 2))
+    assert sorted(r.id for r in V.read(spark, path).collect()) == list(range(8))
+
+
 def test_half_a_load_is_never_read(spark):
     star = open_mart(spark, SF)
     assert star.path.startswith(shared_dir(spark))

@@ -5,7 +5,7 @@ from statistics import median
 
 import pytest
 
-from tallyforge.operators.ordered import medians, running, with_group_position, with_position
+from tallyforge.operators.ordered import distribution, medians, running, with_group_position, with_position
 from tallyforge.operators.ranking import rank_by_value
 
 
@@ -72,3 +72,62 @@ def test_median_of_nearly_equal_values_sorts_few_rows(spark, monkeypatch):
     got = {r.g: r.median for r in medians(rows, ["g"], "v").collect()}
     assert got == {0: 7.0, 1: 7.0, 2: 7.0}
     assert sorted_rows[0] <= 3 + 200
+
+
+# ---- null keys and null values, beside windows of another engine ------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def holes():
+    draw = random.Random(8)
+    key = lambda n: draw.choice([None, *range(n)])
+    return [(None if i % 3 == 0 else key(4), key(3) if i % 2 else None, i, key(9)) for i in range(600)] + [(7, None, 1000 + i, None) for i in range(5)]
+
+
+def beside(spark, holes, got, sql):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("raw", pd.DataFrame(holes, columns=["g", "h", "t", "v"], dtype="Int64"))
+    con.execute("CREATE TABLE x AS SELECT g::INT g, h::INT h, t::INT t, v::INT v FROM raw")
+    order = lambda rows: sorted(rows, key=lambda r: [(x is not None, x) for x in r])
+    assert order([tuple(r) for r in got.collect()]) == order(con.execute(sql).fetchall())
+
+
+@pytest.fixture(scope="module")
+def holed(spark, holes):
+    return spark.createDataFrame(holes, "g int, h int, t int, v int").repartition(5)
+
+
+def test_positions_with_nulls(spark, holes, holed):
+    beside(spark, holes, with_position(holed, ["g", "v", "t"]).select("t", "position"),
+           "SELECT t, row_number() OVER (ORDER BY g NULLS FIRST, v NULLS FIRST, t) FROM x")
+    beside(spark, holes, with_group_position(holed, ["g", "h"], ["v", "t"]).select("g", "h", "t", "position"),
+           "SELECT g, h, t, row_number() OVER (PARTITION BY g, h ORDER BY v NULLS FIRST, t) FROM x")
+    beside(spark, holes, with_group_position(holed, [], ["v", "t"]).select("t", "position"), "SELECT t, row_number() OVER (ORDER BY v NULLS FIRST, t) FROM x")
+
+
+@pytest.mark.parametrize("how", ["sum", "max"])
+def test_running_with_nulls(spark, holes, holed, how):
+    beside(spark, holes, running(holed, ["g", "h"], ["t"], "v", "out", how).select("t", "g", "h", "out"),
+           f"SELECT t, g, h, {how}(v) OVER (PARTITION BY g, h ORDER BY t) FROM x")
+
+
+def test_median_rank_and_distribution_with_nulls(spark, holes, holed):
+    beside(spark, holes, medians(holed, ["g", "h"], "v"), "SELECT g, h, median(v)::DOUBLE FROM x WHERE v IS NOT NULL GROUP BY g, h")
+    beside(spark, holes, distribution(holed, ["g", "h"], "v").select("g", "h", "count", "total", "max", "median"),
+           "SELECT g, h, count(v), sum(v), max(v), median(v)::DOUBLE FROM x GROUP BY g, h")
+    beside(spark, holes, rank_by_value(holed, ["g", "h"], "v", "rk").select("t", "rk"), "SELECT t, rank() OVER (PARTITION BY g, h ORDER BY v NULLS FIRST) FROM x")
+
+
+def test_null_safe_joins_stay_equi_joins(spark, holed):
+    plan = with_group_position(holed, ["g", "h"], ["t"])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_assets_without_a_key_keep_their_rows(spark):
+    from tallyforge.ml.jobs import label_remaining_life
+
+    cycles = spark.createDataFrame([(None, 1), (None, 2), (3, 1)], "asset_id int, current_age int")
+    assert sorted((r.asset_id or 0, r.current_age, r.rul) for r in label_remaining_life(cycles).collect()) == [(0, 1, 2), (0, 2, 1), (3, 1, 1)]
