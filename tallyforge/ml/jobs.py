@@ -5,16 +5,19 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC
+from pyspark.ml.classification import LinearSVC, LinearSVCModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import HashingTF, IDF, MinMaxScaler, MinMaxScalerModel, StopWordsRemover, Tokenizer, VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import AFTSurvivalRegression, AFTSurvivalRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import remove_punctuation
-from ..operators.ordered import match
+from ..operators.ordered import match, with_position
+from ..session import scratch
 
 c = F.col
 
@@ -141,6 +144,50 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
     return counts.withColumn("idf", F.log((size.scalar() + 1).cast("double") / (c("docs") + 1)))
 
 
+def term_counts(texts: DataFrame, key: str) -> DataFrame:
+    """(key, word, count) of the words that stop-word removal keeps; a null text has none."""
+    steps = Pipeline(stages=[Tokenizer(inputCol="clean", outputCol="words"), StopWordsRemover(inputCol="words", outputCol="words_nsw")])
+    known = texts.where(c("clean").isNotNull()).select(key, "clean")
+    return steps.fit(known).transform(known).select(key, F.explode("words_nsw").alias("word")).groupBy(key, "word").agg(F.count("*").alias("count"))
+
+
+def dictionary(counts: DataFrame, documents: DataFrame) -> DataFrame:
+    """word, number (from 0, by the order of the words), docs, idf. A distributed table: no vocabulary is held in one place."""
+    words = counts.groupBy("word").agg(F.count("*").alias("docs"))
+    size = documents.agg(F.count("*").alias("n"))
+    weighted = words.withColumn("idf", F.log((size.scalar() + 1).cast("double") / (c("docs") + 1)))
+    return with_position(weighted, ["word"]).withColumn("number", (c("position") - 1).cast("int")).drop("position")
+
+
+_SPARSE = "struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+
+
+def term_vectors(documents: DataFrame, counts: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """``documents`` with the sparse vectors ``tf`` (counts) and ``tfidf`` (counts times idf) over the dictionary.
+
+    Every word has a place of its own; words that the dictionary doesn't hold are left out. A vector
+    is put together where its document's counts meet. Spark has no function from arrays to sparse vectors, so
+    they are written in the layout of a vector and read back as one.
+    """
+    size = words.agg(F.coalesce(F.max("number") + 1, F.lit(0))).first()[0]
+    entries = counts.join(words.select("word", "number", "idf"), "word").groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("number", "count", (c("count") * c("idf")).alias("weight")))).alias("e"))
+    filled = match(documents, entries, [key], "left").withColumn("e", F.coalesce("e", F.array().cast("array<struct<number:int,count:bigint,weight:double>>")))
+    vector = lambda values: F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), c("e.number").alias("indices"), c(values).cast("array<double>").alias("values"))
+    out = filled.select(*documents.columns, vector("e.count").alias("tf"), vector("e.weight").alias("tfidf"))
+    path = scratch(documents.sparkSession, "term-vectors")
+    out.write.parquet(path)
+    schema = T.StructType([T.StructField(f.name, VectorUDT() if f.name in ("tf", "tfidf") else f.dataType) for f in out.schema])
+    return documents.sparkSession.read.schema(schema).parquet(path)
+
+
+def vector_entries(vectors: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(key, number, value of each column): the entries of sparse vectors that have the same places."""
+    parts = [F.from_json(F.to_json(F.struct(c(n).alias("v"))), f"v {_SPARSE}")["v"].alias(n) for n in columns]
+    zipped = F.arrays_zip(c(f"{columns[0]}.indices").alias("number"), *[c(f"{n}.values").alias(n) for n in columns])
+    return vectors.select(key, *parts).select(key, F.explode(zipped).alias("e")).select(key, "e.*")
+
+
 def clean_texts(texts: DataFrame) -> DataFrame:
     return texts.withColumn("clean", remove_punctuation(c("text")))
 
@@ -150,6 +197,12 @@ def train_text_quality(train: DataFrame) -> PipelineModel:
     return Pipeline(stages=[IDF(inputCol="tf", outputCol="tfidf"), LinearSVC(featuresCol="tfidf", labelCol="label", maxIter=50, regParam=0.3)]).fit(train)
 
 
+def train_on_terms(train: DataFrame) -> LinearSVCModel:
+    """The same classifier on exact term vectors (tfidf, label). The penalty is on the weights as they are, so that a word of
+    one document is not raised to the weight of a common one; gradients are added up over three levels of tasks."""
+    return LinearSVC(featuresCol="tfidf", labelCol="label", maxIter=50, regParam=0.3, standardization=False, aggregationDepth=3).fit(train)
+
+
 def f1(predicted: DataFrame) -> float:
     return MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="f1").evaluate(predicted)
 

@@ -3,6 +3,11 @@ model the query gives the facts that hold for any right fit."""
 
 from __future__ import annotations
 
+import os
+import zipfile
+from pathlib import Path
+
+import pyspark
 from pyspark.ml.feature import MinMaxScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -254,16 +259,14 @@ def streaming_scores(t):
 # ---- text -----------------------------------------------------------------------------------------------
 
 
-#: English stop words of the feature library. Fixed values.
-STOP_WORDS = (
-    'i', 'me', 'my', 'myself', 'we', 'our', 'ours', 'ourselves', 'you', 'your', 'yours', 'yourself', 'yourselves', 'he', 'him', 'his', 'himself', 'she', 'her', 'hers', 'herself', 'it', 'its', 'itself', 'they', 'them', 'their', 'theirs',
-    'themselves', 'what', 'which', 'who', 'whom', 'this', 'that', 'these', 'those', 'am', 'is', 'are', 'was', 'were', 'be', 'been', 'being', 'have', 'has', 'had', 'having', 'do', 'does', 'did', 'doing', 'a', 'an', 'the', 'and', 'but', 'if', 'or',
-    'because', 'as', 'until', 'while', 'of', 'at', 'by', 'for', 'with', 'about', 'against', 'between', 'into', 'through', 'during', 'before', 'after', 'above', 'below', 'to', 'from', 'up', 'down', 'in', 'out', 'on', 'off', 'over', 'under',
-    'again', 'further', 'then', 'once', 'here', 'there', 'when', 'where', 'why', 'how', 'all', 'any', 'both', 'each', 'few', 'more', 'most', 'other', 'some', 'such', 'no', 'nor', 'not', 'only', 'own', 'same', 'so', 'than', 'too', 'very', 's', 't', 'can',
-    'will', 'just', 'don', 'should', 'now', "i'll", "you'll", "he'll", "she'll", "we'll", "they'll", "i'd", "you'd", "he'd", "she'd", "we'd", "they'd", "i'm", "you're", "he's", "she's", "it's", "we're", "they're", "i've", "we've",
-    "you've", "they've", "isn't", "aren't", "wasn't", "weren't", "haven't", "hasn't", "hadn't", "don't", "doesn't", "didn't", "won't", "wouldn't", "shan't", "shouldn't", "mustn't", "can't", "couldn't", 'cannot',
-    'could', "here's", "how's", "let's", 'ought', "that's", "there's", "what's", "when's", "where's", "who's", "why's", 'would',
-)
+def stop_words() -> list[str]:
+    """The English stop words of the feature library, read from where it keeps them."""
+    jars = Path(os.environ.get("SPARK_HOME") or pyspark.__path__[0]) / "jars"
+    with zipfile.ZipFile(next(jars.glob("spark-mllib_*.jar"))) as jar:
+        return jar.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
+
+
+STOP_WORDS = stop_words()
 _STOP_SQL = ", ".join("'" + w.replace("'", "''") + "'" for w in STOP_WORDS)
 
 
@@ -276,6 +279,20 @@ def inverse_document_frequency(t):
     return table.select("word", "docs", F.round("idf", 9).alias("idf"))
 
 
+@on_tables("ml_11_term_vectors", r"""WITH w AS (SELECT doc_id, unnest(string_split(lower(rtrim(regexp_replace(text, '[[:punct:]0-9\r\t\n]', ' ', 'g'))), ' ')) AS word FROM documents),
+    k AS (SELECT doc_id, word, count(*) AS count FROM w WHERE word NOT IN (""" + _STOP_SQL + """) GROUP BY 1, 2),
+    d AS (SELECT word, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (count(*) + 1)) AS idf FROM k GROUP BY 1)
+    SELECT doc_id, word, count, round(count * idf, 6) AS weight FROM k JOIN d USING (word)""")
+def term_vectors(t):
+    """Every entry of the sparse vectors of all documents, by its word."""
+    texts = jobs.clean_texts(t.documents.select("doc_id", "text"))
+    counts = kept(jobs.term_counts(texts, "doc_id"), "counts")
+    words = kept(jobs.dictionary(counts, texts), "dictionary")
+    vectors = jobs.term_vectors(t.documents.select("doc_id"), counts, words, "doc_id")
+    entries = jobs.vector_entries(vectors, "doc_id", "tf", "tfidf").join(words, "number")
+    return entries.select("doc_id", "word", c("tf").cast("long").alias("count"), F.round("tfidf", 6).alias("weight"))
+
+
 @on_tables("job_17_text_quality", "SELECT count(*) AS rows, true AS beats_the_majority FROM labels JOIN documents USING (doc_id)")
 def text_quality(t):
     """ML-12 and ML-13: cleaned text, weighted counts, linear classifier; its F1 on the held-out rows is over that of the majority's label."""
@@ -289,6 +306,23 @@ def text_quality(t):
     return rows.agg(F.count("*").alias("rows")).withColumn("beats_the_majority", F.lit(better))
 
 
+@on_tables("job_17_exact_terms", r"""WITH w AS (SELECT unnest(string_split(lower(rtrim(regexp_replace(text, '[[:punct:]0-9\r\t\n]', ' ', 'g'))), ' ')) AS word FROM documents JOIN labels USING (doc_id))
+    SELECT (SELECT count(*) FROM labels JOIN documents USING (doc_id)) AS rows, count(DISTINCT word) AS words, true AS fits_its_rows FROM w WHERE word NOT IN (""" + _STOP_SQL + ")")
+def exact_terms(t):
+    """The same model on the exact term vectors: one weight for each word, and the rows it was fitted on are told apart better than by the majority's label."""
+    rows = t.documents.select("doc_id", "text").join(t.labels, "doc_id").select("doc_id", "text", (1 - c("toxic")).cast("double").alias("label"))
+    counts = kept(jobs.term_counts(jobs.clean_texts(rows), "doc_id"), "counts")
+    rows = rows.select("doc_id", "label")
+    words = kept(jobs.dictionary(counts, rows), "dictionary")  # of all documents; the split comes after the weighting
+    vectors = jobs.term_vectors(rows, counts, words, "doc_id")
+    train, _ = jobs.hash_split(vectors, "doc_id", 0.8)
+    model = jobs.train_on_terms(train)
+    scored = kept(model.transform(train).select("label", "prediction"), "scored")
+    most = train.groupBy("label").count().orderBy(c("count").desc(), "label").first()["label"]
+    better = jobs.f1(scored) > jobs.f1(scored.withColumn("prediction", F.lit(most)))
+    return rows.agg(F.count("*").alias("rows")).withColumn("words", F.lit(model.numFeatures).cast("long")).withColumn("fits_its_rows", F.lit(better))
+
+
 @on_tables("ml_13_f1", """WITH p AS (SELECT l_orderkey % 2 AS y, CASE WHEN l_linenumber > 5 THEN 1 ELSE l_orderkey % 2 END AS z FROM lineitem),
     k AS (SELECT c, count(*) FILTER (WHERE y = c) n, count(*) FILTER (WHERE y = c AND z = c) tp, count(*) FILTER (WHERE z = c) pred FROM p, (VALUES (0), (1)) v(c) GROUP BY 1)
     SELECT round(sum(2.0::DOUBLE * tp / (n + pred) * n) / sum(n), 9) AS f1 FROM k""")

@@ -217,6 +217,31 @@ def test_document_frequencies_equal_the_fitted_model(spark):
     assert all(abs(exact[w] - weights[place.indexOf(w)]) < 1e-12 for w in exact)
 
 
+def test_term_vectors_equal_the_fitted_model(spark):
+    from pyspark.ml.feature import IDF, CountVectorizer, StopWordsRemover, Tokenizer
+
+    rows = [(1, "the red fox"), (2, "a red, red dog!"), (3, "Fox 7 hunts"), (4, None), (5, "the"), (None, "red fox fox")]
+    texts = ml.clean_texts(spark.createDataFrame(rows, "id int, text string"))
+    counts = ml.term_counts(texts, "id")
+    words = ml.dictionary(counts, texts)
+    numbers = {r.number: r.word for r in words.collect()}
+    assert sorted(numbers) == list(range(len(numbers))) and [numbers[k] for k in sorted(numbers)] == sorted(numbers.values())
+    got = {r.id: r for r in ml.term_vectors(texts.select("id"), counts, words, "id").collect()}
+    assert set(got) == {1, 2, 3, 4, 5, None} and got[4].tf.numNonzeros() == 0 and got[4].tf.size == len(numbers)
+    known = texts.where("text is not null")
+    cut = StopWordsRemover(inputCol="w", outputCol="words").transform(Tokenizer(inputCol="clean", outputCol="w").transform(known))
+    counter = CountVectorizer(inputCol="words", outputCol="tf").fit(cut)
+    counted = counter.transform(cut)
+    for r in counted.collect():
+        assert {numbers[int(i)]: v for i, v in zip(got[r.id].tf.indices, got[r.id].tf.values)} == {counter.vocabulary[int(i)]: v for i, v in zip(r.tf.indices, r.tf.values)}
+    weighted = IDF(inputCol="tf", outputCol="tfidf").fit(counted.select("tf")).transform(counted)
+    scale = {w: r.idf for r in ml.dictionary(ml.term_counts(known, "id"), known).collect() for w in [r.word]}
+    for r in weighted.collect():
+        assert all(abs(v - r.tf[int(i)] * scale[counter.vocabulary[int(i)]]) < 1e-12 for i, v in zip(r.tfidf.indices, r.tfidf.values))
+    entries = ml.vector_entries(ml.term_vectors(texts.select("id"), counts, words, "id"), "id", "tf", "tfidf").collect()
+    assert {(r.id, numbers[r.number], r.tf) for r in entries} == {(r.id, r.word, float(r["count"])) for r in counts.collect()}
+
+
 def test_stop_words_are_those_of_the_library(spark):
     from pyspark.ml.feature import StopWordsRemover
 
