@@ -29,16 +29,17 @@ from .common import kept, own_columns, shipped
 
 c = F.col
 
-RUN = r"[A-Za-zÀ-ÿ]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMAGED_ONE_IN = 97
 MIN_CHARS, MIN_COUNT = 5, 3
+#: Maximal runs that can give a word: a shorter one gets no longer by the loss of a letter.
+RUN = f"[A-Za-zÀ-ÿ]{{{MIN_CHARS},}}"
 FORM_TIMES = 2
 #: Letter groups from the most to the least frequent letters; all other letters are the last group.
 GROUPS = ("e", "n", "a", "i", "t", "r", "o", "s", "u", "l", "h", "d", "cm", "bgp", "fvwy", "jkqxz")
 LEVELS = len(GROUPS) + 1
-SHARD = 4096
-BLOCK = 32_768
+SHARD = 16_384
+BLOCK = 65_536
 LEAF = 24
 #: Nodes of a level are broadcast up to this number, joined by a shuffle beyond it.
 FEW_NODES = 10_000
@@ -46,7 +47,7 @@ _PAIRS = 400_000
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """One row for each run of letters, lower-cased; one in 97 (run, document) pairs has lost a letter."""
+    """One row for each run of at least five letters, lower-cased; one in 97 (run, document) pairs has lost a letter."""
     run = own_columns(docs, "doc_id", "text").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("run"))
     run = run.select("doc_id", F.translate("run", UPPER, LOWER).alias("run"))
     h = F.crc32(F.encode(F.concat(c("doc_id").cast("string"), F.lit(":"), c("run")), "UTF-8"))
@@ -69,27 +70,24 @@ def vector() -> Column:
     return F.array(*counts, size - reduce(lambda a, b: a + b, counts))
 
 
-def nodes(words: DataFrame) -> DataFrame:
-    """(prefix, n): the words below each node of the trie, by the counts of its levels."""
-    prefixes = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(LEVELS)), lambda d: F.slice("v", F.lit(1), d))).alias("prefix"))
-    return prefixes.groupBy("prefix").agg(F.count("*").alias("size"))
-
-
 def reach(words: DataFrame, shard: int) -> DataFrame:
-    """(word, n, shard, up, down): every shard that a word can reach, with the surplus and deficit spent on the way."""
-    start = words.select("word", "n", "v", F.array().cast("array<int>").alias("shard"), F.lit(0).alias("up"), F.lit(0).alias("down"))
+    """(word, n, shard, up, down): every shard that a word can reach, with the surplus and deficit spent on the way.
+
+    Level by level: the words that reach a node without spending anything are its own, so their number is its size.
+    """
+    front = words.select("word", "n", "v", F.array().cast("array<int>").alias("shard"), F.lit(0).alias("up"), F.lit(0).alias("down"))
     if words.limit(shard + 1).count() <= shard:
-        return start.drop("v")
-    tree = kept(nodes(words), "spelling-nodes")
-    per_level = {r.level: r.n for r in tree.groupBy(F.size("prefix").alias("level")).agg(F.count("*").alias("n")).collect()}  # one row a level
-    front, found = start, []
+        return front.drop("v")
+    found = []
     for level in range(1, LEVELS + 1):
+        own = front.where("up = 0 AND down = 0").select(F.concat("shard", F.array(F.element_at("v", level))).alias("shard"))
+        nodes = kept(own.groupBy("shard").agg(F.count("*").alias("size")), "spelling-nodes")
+        few = nodes.limit(FEW_NODES + 1).count() <= FEW_NODES
         step = front.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
         count = F.element_at("v", level) + c("step")
         step = step.withColumn("up", c("up") + F.greatest("step", F.lit(0))).withColumn("down", c("down") - F.least("step", F.lit(0)))
         step = step.where((c("up") <= 1) & (c("down") <= 1) & (count >= 0)).withColumn("shard", F.concat("shard", F.array(count))).drop("step")
-        here = tree.where(F.size("prefix") == level).select(c("prefix").alias("shard"), "size")
-        step = kept(step.join(F.broadcast(here) if per_level[level] <= FEW_NODES else here, "shard"), "spelling-reach")
+        step = kept(step.join(F.broadcast(nodes) if few else nodes, "shard"), "spelling-reach")
         inner = (c("size") > shard) & F.lit(level < LEVELS)
         found.append(step.where(~inner).select("word", "n", "shard", "up", "down"))
         front = step.where(inner).drop("size")

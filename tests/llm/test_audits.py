@@ -268,7 +268,7 @@ def test_license_scan_equals_brute_force(spark):
 def test_license_scan_of_a_long_text_and_own_notices(spark):
     text = words(30_000, seed=3) + " Licensed under the Apache Licence, Version 2.0 " + words(30_000, seed=4)
     row = licenses.license_scan(docs_of(spark, [(1, text)])).first()
-    assert (row.labels, row.base_labels, row.n_base, row.n_words) == ("apache", "", 0, 60_007)
+    assert (row.labels, row.base_labels, row.n_base, row.n_words) == ("apache", "", 0, 60_008)
     assert [(s.found, s.edits, s.first_word) for s in row.spans] == [("apache licence", 1, 30_003)]
     own = (("do what you want license", "wtf"),)
     spans = licenses.found_spans(docs_of(spark, [(1, "do wat you want license"), (2, "nothing"), (3, None)]), notices=own, chars_per_edit=10).collect()
