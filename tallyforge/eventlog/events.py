@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import millis_to_iso, nested_text, properties_map, ratio_or_zero, tolerant_int, unwrap_envelope
-from ..operators.ordered import medians
+from ..operators.ordered import match, medians, with_group_position
 from ..session import kept, scratch
 from . import rules
 
@@ -439,6 +439,20 @@ def deep_stages(log: EventLog) -> DataFrame:
     return failed.unionByName(_task_end_keys(raw.where(c("value").rlike(marked))).select(*STAGE)).distinct()
 
 
+def qualification(stages: DataFrame, execs: DataFrame) -> DataFrame:
+    """Rows of a qualification run: app, stage, duration, place of the stage in its application (longest first, then by
+    number; stages without a duration last) and the number of its unsupported operators, 0 for a stage without operators.
+
+    Places come from one sorted table, so an application with most of the stages is spread over many tasks.
+    """
+    refused = F.lower(F.trim("Exec Is Supported")).isin("false", "no", "n", "0") | ~F.lower(F.trim(F.coalesce("Action", F.lit("")))).isin("", "none")
+    bad = execs.groupBy(c("App ID").alias("app"), c("Exec Stages").cast("long").alias("stage")).agg(F.sum(F.when(refused, 1).otherwise(0)).alias("unsupported"))
+    rows = stages.select(c("App ID").alias("app"), c("Stage ID").cast("long").alias("stage"), c("Stage Task Duration").try_cast("long").alias("duration"))
+    ordered = rows.withColumn("_none", c("duration").isNull()).withColumn("_down", -c("duration"))
+    placed = with_group_position(ordered, ["app"], ["_none", "_down", "stage"], "place").drop("_none", "_down")
+    return match(placed, bad, ["app", "stage"], "left").withColumn("unsupported", F.coalesce("unsupported", F.lit(0)))
+
+
 def two_pass_tasks(log: EventLog) -> DataFrame:
     """Task metrics of the chosen stages only: keys are cut out of the text and semi-joined before any JSON is parsed."""
     return task_ends(EventLog(_task_end_keys(log.lines).join(deep_stages(log), STAGE, "left_semi").drop("stage_id", "attempt_id")))

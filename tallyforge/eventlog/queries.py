@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import elapsed_seconds
@@ -307,13 +306,7 @@ def qualification_rows(t):
     rows.groupBy(c("app").alias("App ID"), c("stage").alias("Stage ID")).agg(F.sum("run").alias("Stage Task Duration")).write.option("header", True).csv(f"{path}/stages")
     supported = F.when(c("l_linenumber") == 1, "false").when(c("l_linenumber") == 2, " No ").otherwise("true")
     rows.select(c("app").alias("App ID"), c("stage").alias("Exec Stages"), supported.alias("Exec Is Supported"), F.lit("NONE").alias("Action")).write.option("header", True).csv(f"{path}/execs")
-    execs = read_csv(t.spark, f"{path}/execs")
-    refused = F.lower(F.trim("Exec Is Supported")).isin("false", "no", "n", "0") | ~F.lower(F.trim(F.coalesce("Action", F.lit("")))).isin("", "none")
-    bad = execs.groupBy(c("App ID").alias("app"), c("Exec Stages").alias("stage")).agg(F.sum(F.when(refused, 1).otherwise(0)).alias("unsupported"))
-    stages = read_csv(t.spark, f"{path}/stages").select(c("App ID").alias("app"), c("Stage ID").alias("stage"), c("Stage Task Duration").try_cast("long").alias("duration"))
-    line = Window.partitionBy("app").orderBy(c("duration").desc(), c("stage").cast("long"))
-    out = stages.withColumn("place", F.rank().over(line).cast("long")).join(bad, ["app", "stage"])
-    return out.withColumn("stage", c("stage").cast("long"))
+    return E.qualification(read_csv(t.spark, f"{path}/stages"), read_csv(t.spark, f"{path}/execs"))
 
 
 @evt("evt_30_property_selection", "SELECT app_key, key, value FROM apps, (VALUES ('spark.executor.cores', '4'), ('spark.app.name', 'x')) v(key, value)")

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import remove_punctuation
-from ..operators.ordered import match, with_position
-from ..session import scratch
+from ..operators.ordered import match, running, with_position
+from ..session import kept, scratch
 
 c = F.col
 
@@ -125,6 +125,27 @@ class RemainingLife:
         return scored.drop("features", "scaled_features").withColumnRenamed("prediction", "predicted_RUL")
 
 
+def concordance(scored: DataFrame, actual: str, predicted: str) -> float:
+    """Share of the pairs of rows with unlike ``actual`` whose predictions are in the same order; equal predictions count one half.
+
+    No pair is formed. Predictions are replaced by their places; two places differ first at one bit of their
+    binary form, so each pair belongs to one bit and one prefix above it, where the rows with the bit set meet
+    running counts, by ``actual``, of those without. Rows of null are left out; without any comparable pair the result is NaN.
+    """
+    rows = kept(scored.where(c(actual).isNotNull() & c(predicted).isNotNull()).groupBy(c(actual).alias("_y"), c(predicted).alias("_x")).agg(F.count("*").alias("_n")), "scores")
+    placed = rows.join(with_position(rows.select("_x").distinct(), ["_x"], "_place"), "_x")
+    top = placed.agg(F.coalesce(F.max("_place"), F.lit(0))).first()[0]
+    bits = placed.select("_y", "_n", "_place", F.explode(F.sequence(F.lit(0), F.lit(max(0, int(top).bit_length() - 1)))).alias("_bit"))
+    above, set_ = F.expr("shiftright(_place, _bit + 1)"), F.expr("shiftright(_place, _bit) & 1") == 1
+    counts = bits.groupBy("_bit", above.alias("_above"), "_y").agg(F.sum(F.when(set_, c("_n")).otherwise(0)).alias("_high"), F.sum(F.when(set_, 0).otherwise(c("_n"))).alias("_low"))
+    upto = running(counts, ["_bit", "_above"], ["_y"], "_low", "_upto")
+    right = upto.agg(F.sum(c("_high") * (c("_upto") - c("_low"))).cast("double")).first()[0] or 0.0
+    half = lambda keys: rows.groupBy(*keys).agg(F.sum("_n").cast("double").alias("n")).agg(F.sum(c("n") * c("n"))).first()[0] or 0.0  # pairs within a group, twice
+    everything, same_actual, same_predicted, same_both = half([]), half(["_y"]), half(["_x"]), half(["_y", "_x"])
+    comparable, tied = (everything - same_actual) / 2, (same_predicted - same_both) / 2
+    return (right + tied / 2) / comparable if comparable else float("nan")
+
+
 # ---- text quality -----------------------------------------------------------------------------------
 
 

@@ -13,11 +13,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordered import with_group_position
+from ..operators.ordered import with_group_position, with_position
 from ..operators.projection import level_of
 from ..registry import on_tables
 from ..session import kept, scratch
-from ..sources.files import read_csv
+from ..sources.files import numbered_lines, read_csv
 from ..streaming import jobs as streams
 from . import jobs
 
@@ -196,9 +196,13 @@ def remaining_life_label(t):
 
 @on_tables("ml_08_test_cycles", f"SELECT asset_id, event_id, (max_age + asset_id % 20)::BIGINT AS max_age, current_age AS rul, (max_age + asset_id % 20 - current_age)::INTEGER AS current_age FROM {_CYCLES_SQL}")
 def test_cycles(t):
-    """Test rows keep their remaining life; the label file joins by its line number, here kept as a key."""
+    """Test rows keep their remaining life; line n of the label file, which holds nothing but ages, belongs to the n-th asset."""
     rows = _cycles(t).select("asset_id", "event_id", c("current_age").alias("rul"))
-    initial = t.events.select(c("user_id").alias("asset_id")).distinct().withColumn("initial_age", c("asset_id") % 20)
+    path = scratch(t.spark, "ages")
+    assets = t.events.select(c("user_id").alias("asset_id")).distinct()
+    assets.repartitionByRange(4, "asset_id").sortWithinPartitions("asset_id").select((c("asset_id") % 20).cast("string")).write.text(path)
+    ages = numbered_lines(t.spark, path).select("line", c("value").cast("long").alias("initial_age"))
+    initial = with_position(assets, ["asset_id"], "line").join(ages, "line").select("asset_id", "initial_age")
     return jobs.test_cycles(rows, initial).select("asset_id", "event_id", "max_age", "rul", "current_age")
 
 
@@ -216,6 +220,17 @@ def survival_model(t):
     return scored.agg(F.count("*").alias("rows"), (F.min("predicted_RUL") > 0).alias("all_positive"))
 
 
+@on_tables("ml_06_concordance", "SELECT count(*) AS rows, true AS beats_a_constant, 0.5::DOUBLE AS of_a_constant FROM events")
+def survival_concordance(t):
+    """Of assets that the model has not seen, it puts more pairs of rows in the order of their remaining life than a constant does."""
+    labelled = jobs.label_remaining_life(_cycles(t))
+    train, unseen = jobs.hash_split(labelled, "asset_id", 0.8)
+    scored = kept(jobs.RemainingLife.train(train, 10).score(unseen).select("rul", "predicted_RUL"), "scored")
+    of = lambda frame: jobs.concordance(frame, "rul", "predicted_RUL")
+    constant = of(scored.withColumn("predicted_RUL", F.lit(1.0)))
+    return labelled.agg(F.count("*").alias("rows")).withColumn("beats_a_constant", F.lit(of(scored) > constant)).withColumn("of_a_constant", F.lit(constant))
+
+
 @on_tables("job_09_train_and_reload", "SELECT count(*) AS rows, 0::BIGINT AS changed FROM events")
 def train_and_reload(t):
     """ML-10: train, save, load; the loaded parts score every row the same."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -20,13 +20,24 @@ def read_csv(spark: SparkSession, path: str, header: bool = True, sep: str = ","
     return reader.csv(path)
 
 
-def read_whole_texts(spark: SparkSession, path: str) -> DataFrame:
-    """One row (path, text) per file, for many small documents.
+def read_whole_texts(spark: SparkSession, path: str, min_splits: int = 100, max_split_bytes: int = 128 << 20) -> DataFrame:
+    """One row (path, text) per file, for many small documents, in ``min_splits`` splits or more if there are as many files.
 
-    The reader packs files into splits; the least number of splits is the session's
-    ``spark.sql.files.minPartitionNum``, so no text is shuffled for it.
+    The reader packs files into splits of a size that follows from the listing (number and bytes of the files), so
+    no text is shuffled for it. The size is a setting of a session, so the read has a session of its own with
+    the other settings of ``spark``; an empty file counts as one byte.
     """
-    return spark.read.text(path, wholetext=True).select(c("_metadata.file_path").alias("path"), c("value").alias("text"))
+    listed = spark.read.format("binaryFile").load(path).agg(F.count("*").alias("files"), F.coalesce(F.sum(F.greatest("length", F.lit(1))), F.lit(0)).alias("bytes")).first()
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            own.conf.set(key, value)
+    each = max(1, listed.bytes // max(1, listed.files) // 16)  # the cost of opening a file: little beside its bytes
+    size = max(1, (listed.bytes + each * listed.files) // max(1, min_splits))
+    own.conf.set("spark.sql.files.maxPartitionBytes", min(size, max_split_bytes))
+    own.conf.set("spark.sql.files.openCostInBytes", each)
+    own.conf.set("spark.sql.files.minPartitionNum", min_splits)
+    return own.read.text(path, wholetext=True).select(c("_metadata.file_path").alias("path"), c("value").alias("text"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -41,6 +52,20 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         F.struct(c("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n")).alias("line_id"), "value")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value): lines of text files, counted from 1 through the files in the order of their paths.
+
+    The text is not shuffled: a line's number is its place inside its split, plus the lines of all
+    splits before it, which is one small row for each split.
+    """
+    lines = spark.read.text(path).select(c("_metadata.file_path").alias("_file"), c("_metadata.file_block_start").alias("_split"),
+                                         F.monotonically_increasing_id().alias("_n"), "value")
+    splits = lines.groupBy("_file", "_split").agg(F.min("_n").alias("_first"), F.count("*").alias("_lines"))
+    before = Window.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("_file", "_split", "_first", F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_start"))
+    return lines.join(F.broadcast(starts), ["_file", "_split"]).select((c("_start") + c("_n") - c("_first") + 1).alias("line"), "value")
+
+
 def write_checked(frame: DataFrame, path: str, mode: str = "errorifexists", partition_by: tuple[str, ...] = ()) -> int:
     """Write Parquet and count what can be read back."""
     writer = frame.write.mode(mode)

@@ -103,12 +103,11 @@ def sql_path(t):
 @on_tables("src_10_whole_texts", "SELECT page_id::VARCHAR AS page_id, html, true AS under_its_folder FROM pages")
 def whole_texts(t):
     path = _new(t, "texts")
-    line = F.concat_ws("\t", c("page_id").cast("string"), "html").alias("value")
+    line = F.to_json(F.struct(c("page_id").cast("string").alias("page_id"), "html")).alias("value")  # a null html has no field
     t.pages.select(line).write.option("maxRecordsPerFile", 1).text(path)
     rows = files.read_whole_texts(t.spark, path).where(c("text") != "")
-    page = F.regexp_replace("text", "\n$", "")  # the writer ends a line
-    at = F.instr(page, "\t")
-    return rows.select(F.substring(page, F.lit(1), at - 1).alias("page_id"), F.substring(page, at + 1, F.length(page)).alias("html"),
+    page = F.from_json("text", "page_id string, html string")
+    return rows.select(page.alias("page"), "path").select("page.page_id", "page.html",
                        c("path").contains(path.rsplit("/", 1)[1]).alias("under_its_folder"))
 
 

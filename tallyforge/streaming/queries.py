@@ -160,6 +160,32 @@ def incremental_scan(t):
     return t.spark.read.parquet(out).groupBy("event_type").agg(F.sum("lines").alias("lines"))
 
 
+@on_tables("stm_13_two_pass_arrivals", """WITH marked AS (SELECT user_id FROM events GROUP BY 1 HAVING max(value) > 98)
+    SELECT user_id, count(*) AS lines, sum((value * 100)::BIGINT)::BIGINT AS cents, 1::BIGINT AS most_parsed FROM events WHERE user_id IN (FROM marked) GROUP BY 1""")
+def two_pass_arrivals(t):
+    """Log lines of all users with a line marked HIGH. A running query polls for new files; the lines arrive in three parts,
+    and a user's mark may come after most of the user's lines."""
+    source, out = _new(t, "lines"), _new(t, "two-pass")
+    mark = F.when(c("value") > 98, F.lit("HIGH")).otherwise(F.lit("low"))
+    text = F.to_json(F.struct("event_id", "user_id", F.round(c("value") * 100).cast("long").alias("cents"), mark.alias("mark"))).alias("value")
+    part = lambda k: t.events.where(c("event_id") % 3 == k).select(text).write.mode("append").text(source)
+    part(0)
+    cut = F.regexp_extract("value", '"user_id":([0-9]+)', 1).cast("long").alias("user_id")
+    stream = t.spark.readStream.option("maxFilesPerTrigger", 2).text(source).select(cut, "value")
+    fields = F.from_json("value", "event_id long, cents long")
+    handle = jobs.two_pass_scan(out, ["user_id"], c("value").contains('"mark":"HIGH"'), lambda lines: lines.select("user_id", fields.alias("e")).select("user_id", "e.*"))
+    running = jobs.to_batches(stream, handle, _new(t, "state"), every="1 second")
+    try:
+        running.processAllAvailable()
+        for k in (1, 2):
+            part(k)
+            running.processAllAvailable()
+    finally:
+        running.stop()
+    parsed = jobs.scanned(t.spark, out).groupBy("user_id", "event_id").agg(F.count("*").alias("times"), F.max("cents").alias("cents"))
+    return parsed.groupBy("user_id").agg(F.count("*").alias("lines"), F.sum("cents").alias("cents"), F.max("times").alias("most_parsed"))
+
+
 @on_tables("stm_02_parse_whole_seconds", f"SELECT epoch(date_trunc('second', ts))::BIGINT AS seconds, word, count(*) AS n FROM {_WORDS_SQL} GROUP BY ALL")
 def parse_whole_seconds(t):
     path = _new(t, "words")
@@ -236,6 +262,22 @@ def state_settings(t):
     return jobs.latest_result(t.spark, path)
 
 
+@on_tables("stm_09_state_read_back", """SELECT event_type, count(*) AS n, 1::BIGINT AS partitions, 5::BIGINT AS batches_back, true AS oldest_is_smaller FROM events GROUP BY 1""")
+def state_read_back(t):
+    """Running counts read from the state store itself, of a query with one state partition; its state can be read five batches back."""
+    source, state = _new(t, "events"), _new(t, "state")
+    rows = t.events.select("event_id", "event_type")
+    rows.repartitionByRange(9, "event_id").write.parquet(source)
+    with jobs.state_settings(t.spark, provider="rocksdb", versions=5, partitions=1, maintenance="5s"):
+        stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        jobs.to_batches(stream.groupBy("event_type").agg(F.count("*").alias("n")), jobs.replace_with_latest(_new(t, "counts")), state, mode="complete").awaitTermination()
+    layout = jobs.state_layout(t.spark, state).first()  # one row: the query has one store
+    total = lambda batch: jobs.state_of(t.spark, state, batch).agg(F.sum("value.count")).first()[0]
+    counts = jobs.state_of(t.spark, state).select("key.event_type", c("value.count").alias("n"))
+    return counts.select("event_type", "n", F.lit(layout.numPartitions).cast("long").alias("partitions"), F.lit(layout.maxBatchId - layout.minBatchId).cast("long").alias("batches_back"),
+                         F.lit(total(layout.minBatchId) < total(layout.maxBatchId)).alias("oldest_is_smaller"))
+
+
 @on_tables("udf_05_batch_function", "SELECT event_type, sum((value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY 1")
 def batch_function(t):
     """A function per micro-batch: each batch adds its sums, the sums are added at the end."""

@@ -283,3 +283,67 @@ def test_rate_stream_through_the_copy_job(spark):
         query.stop()
     rows = spark.read.parquet(out)
     assert rows.count() >= 5 and rows.where("time_stamp is null").count() == 0
+
+
+def test_whole_texts_come_in_many_splits_without_a_shuffle(spark):
+    path = scratch(spark, "texts")
+    spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").write.option("maxRecordsPerFile", 1).text(path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    texts = files.read_whole_texts(spark, path)
+    assert texts.rdd.getNumPartitions() >= 100 and "Exchange" not in _plan(texts)
+    assert files.read_whole_texts(spark, path, 7).rdd.getNumPartitions() in range(7, 15)
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == before
+    assert files.read_whole_texts(spark, path).count() == spark.read.text(path, wholetext=True).count()
+
+
+def test_a_page_without_html_stays_null(spark):
+    from tallyforge.catalogue import QUERIES
+
+    folder = scratch(spark, "pages")
+    spark.createDataFrame([(1, "u", None), (2, "u", ""), (3, "u", "a\tb\nc\n")], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    assert sorted((r.page_id, r.html) for r in QUERIES["src_10_whole_texts"](spark, folder).collect()) == [("1", None), ("2", ""), ("3", "a\tb\nc\n")]
+
+
+def test_lines_are_numbered_through_all_files(spark):
+    path = scratch(spark, "lines")
+    spark.range(1000).selectExpr("concat('line ', id) AS v").repartitionByRange(5, "v").sortWithinPartitions("v").write.text(path)
+    numbered = files.numbered_lines(spark, path)
+    want = sorted(f"line {k}" for k in range(1000))
+    assert {r.line: r.value for r in numbered.collect()} == dict(enumerate(want, 1))
+    small = spark.newSession()
+    small.conf.set("spark.sql.files.maxPartitionBytes", "700")  # files are cut into several splits
+    small.conf.set("spark.sql.files.openCostInBytes", "1")
+    cut = files.numbered_lines(small, path)
+    assert cut.count() == 1000 and {r.line: r.value for r in cut.collect()} == dict(enumerate(want, 1))
+    assert files.numbered_lines(spark, scratch_of(spark, [])).count() == 0
+
+
+def scratch_of(spark, rows):
+    path = scratch(spark, "rows")
+    spark.createDataFrame(rows, "value string").write.text(path)
+    return path
+
+
+def test_concordance_equals_counted_pairs(spark):
+    import random
+
+    draw = random.Random(2)
+    rows = [(draw.choice([None, *range(12)]), draw.choice([None, 0.5, *[draw.random() for _ in range(6)]])) for _ in range(400)]
+    known = [(a, b) for a, b in rows if a is not None and b is not None]
+    pairs = [(x, y) for i, x in enumerate(known) for y in known[:i] if x[0] != y[0]]
+    want = sum(0.5 if x[1] == y[1] else float((x[0] < y[0]) == (x[1] < y[1])) for x, y in pairs) / len(pairs)
+    of = lambda rows: ml.concordance(spark.createDataFrame(rows, "a int, p double"), "a", "p")
+    assert abs(of(rows) - want) < 1e-12
+    assert of([(k, float(k)) for k in range(33)]) == 1.0 and of([(k, -float(k)) for k in range(33)]) == 0.0 and of([(k, 1.0) for k in range(5)]) == 0.5
+    assert of([]) != of([])  # NaN
+
+
+def test_stages_without_operators_stay_in_the_qualification(spark):
+    from tallyforge.eventlog.events import qualification
+
+    stages = spark.createDataFrame([("a", "1", "50"), ("a", "2", "70"), ("a", "3", "x"), (None, "1", "5"), ("b", "1", "50"), ("a", "10", "50")], "`App ID` string, `Stage ID` string, `Stage Task Duration` string")
+    execs = spark.createDataFrame([("a", "1", " No ", "NONE"), ("a", "1", "true", "skip"), (None, "1", "0", None), ("b", "1", "true", None)], "`App ID` string, `Exec Stages` string, `Exec Is Supported` string, Action string")
+    got = qualification(stages, execs)
+    key = lambda r: (r[0] or "", r[1])
+    assert sorted(map(tuple, got.collect()), key=key) == [(None, 1, 5, 1, 1), ("a", 1, 50, 2, 2), ("a", 2, 70, 1, 0), ("a", 3, None, 4, 0), ("a", 10, 50, 3, 0), ("b", 1, 50, 1, 0)]
+    assert "windowspecdefinition(app" not in _plan(got)  # only one row for each range of the sorted table is in a window

@@ -57,3 +57,35 @@ def test_scores_come_from_one_persisted_frame(spark):
 
     jobs.fan_out([(True, lambda b, i: b.count()), (True, lambda b, i: b.count())], score)(spark.range(3), 0)
     assert seen == [1]
+
+
+def test_two_pass_scan_parses_each_line_once(spark):
+    """A key becomes suspect in the second arrival: its earlier line is parsed then, its later ones as they come; a batch run again changes nothing."""
+    source, out, state = (scratch(spark, n) for n in ("lines", "two-pass", "state"))
+    handle = jobs.two_pass_scan(out, ["k"], c("value").contains("BAD"), lambda lines: lines.selectExpr("k", "split(value, ' ')[1] AS id"))
+    stream = lambda: spark.readStream.text(source).selectExpr("split(value, ' ')[0] AS k", "value")
+
+    def arrive(*lines):
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(source)
+        jobs.to_batches(stream(), handle, state).awaitTermination()
+        return sorted(r.id for r in jobs.scanned(spark, out).collect())
+
+    assert arrive("a 1 ok", "b 2 ok", "c 3 BAD", "c 4 ok", " 9 ok") == ["3", "4"]
+    assert arrive("a 5 BAD", "c 6 ok", "b 7 ok") == ["1", "3", "4", "5", "6"]
+    assert arrive("a 8 BAD", "b 10 ok") == ["1", "3", "4", "5", "6", "8"]
+    again = spark.createDataFrame([("a", "a 5 BAD"), ("c", "c 6 ok"), ("b", "b 7 ok")], "k string, value string")
+    handle(again, 1)
+    assert sorted(r.id for r in jobs.scanned(spark, out).collect()) == ["1", "3", "4", "5", "6", "8"]
+
+
+def test_state_can_be_read_back(spark):
+    source, state = scratch(spark, "rows"), scratch(spark, "state")
+    spark.range(40).selectExpr("id", "id % 4 AS k").repartitionByRange(8, "id").write.parquet(source)
+    with jobs.state_settings(spark, provider="rocksdb", versions=2, partitions=1, maintenance="1s"):
+        stream = spark.readStream.schema("id long, k long").option("maxFilesPerTrigger", 1).parquet(source)
+        jobs.to_batches(stream.groupBy("k").agg(F.count("*").alias("n")), jobs.replace_with_latest(scratch(spark, "out")), state, mode="complete").awaitTermination()
+    layout = jobs.state_layout(spark, state).first()
+    assert (layout.numPartitions, layout.maxBatchId - layout.minBatchId) == (1, 2)
+    assert {r.key.k: r.value["count"] for r in jobs.state_of(spark, state).collect()} == dict.fromkeys(range(4), 10)
+    assert sum(r.value["count"] for r in jobs.state_of(spark, state, layout.minBatchId).collect()) < 40
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "8"
