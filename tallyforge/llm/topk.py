@@ -14,14 +14,17 @@ and gives k rows per query on, of which k are kept again before and after the la
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, as
 query or candidate; a shorter vector is taken as ending in zeros; ties go to the smaller vec_id; rows with the same
-vec_id as the query are not its candidates; a repeated candidate row counts each time, a query's repeated
-rows give one answer if they hold the same vector; components beyond 2**20 in size are compared exactly too, on Python's integers,
-as long as scores fit a long; with fewer than k candidates all are given; an empty table gives no row; other
+vec_id as the query are not its candidates; a repeated candidate row counts each time; of a query id with several usable vectors
+the least one (by its components in order) is asked; vectors with a component of 2**20 or more in size stand in blocks of their own and are compared
+exactly on Python's integers, whatever the size; a score beyond a long is given as the
+largest or smallest long, but ranked by its true value; with fewer than k candidates all are given; an empty table gives no row; other
 columns are never read.
 """
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -148,46 +151,58 @@ def integers(vector: list | None) -> list[int] | None:
     values = np.asarray(vector, dtype=np.float64)
     if not np.isfinite(values).all():
         return None
-    return [int(x) for x in np.floor(values * SCALE).tolist()]
+    return [int(math.floor(x * SCALE)) if abs(x) < 2**53 else int(x) * SCALE for x in values.tolist()]
 
 
-def _pack(ids: np.ndarray, rows: np.ndarray) -> bytes:
-    return np.column_stack([ids, rows]).astype("<i8").tobytes()
+def _grid(rows: list[list[int]], kind) -> np.ndarray:
+    """Rows of one width, shorter ones ending in zeros."""
+    grid = np.zeros((len(rows), max(map(len, rows))), dtype=kind)
+    for i, row in enumerate(rows):
+        grid[i, :len(row)] = row
+    return grid
+
+
+def _pack(ids: list[int], rows: list[list[int]], wide: bool) -> bytes:
+    return json.dumps([ids, rows]).encode() if wide else np.column_stack([ids, _grid(rows, np.int64)]).astype("<i8").tobytes()
 
 
 def _unpack(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and rows; the rows of a wide block (width 0) are Python's integers."""
+    if not width:
+        ids, rows = json.loads(data)
+        return np.array(ids, dtype=np.int64), _grid(rows, object)
     both = np.frombuffer(data, dtype="<i8").reshape(-1, width + 1)
     return both[:, 0], both[:, 1:]
 
 
 _BLOCK = pa.schema([("width", pa.int32()), ("n", pa.int64()), ("block", pa.binary())])
+WIDE_ROWS_PER_BLOCK = 1 << 12
 
 
 def packed(vectors: DataFrame, id_column: str, vector_column: str, size: int) -> DataFrame:
-    """Blocks of up to ``size`` integer vectors, packed where they are read."""
+    """Blocks of up to ``size`` integer vectors, packed where they are read; those with a large component apart, as blocks of width 0."""
 
     def blocks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int] = []
-        rows: list[list[int]] = []
+        waiting: dict[bool, tuple[list[int], list[list[int]]]] = {False: ([], []), True: ([], [])}
 
-        def flushed():
-            width = max(map(len, rows))
-            grid = np.zeros((len(rows), width), dtype=np.int64)
-            for i, row in enumerate(rows):
-                grid[i, :len(row)] = row
-            return pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([_pack(np.array(ids), grid)], pa.binary())], schema=_BLOCK)
+        def flushed(wide: bool):
+            ids, rows = waiting[wide]
+            waiting[wide] = ([], [])
+            width = 0 if wide else max(map(len, rows))
+            return pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([_pack(ids, rows, wide)], pa.binary())], schema=_BLOCK)
 
         for batch in source:
             for key, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = integers(vector) if key is not None else None
                 if found is not None:
-                    ids.append(key)
-                    rows.append(found)
-                    if len(rows) == size:
-                        yield flushed()
-                        ids, rows = [], []
-        if rows:
-            yield flushed()
+                    wide = max(map(abs, found)) >= _LARGEST
+                    waiting[wide][0].append(key)
+                    waiting[wide][1].append(found)
+                    if len(waiting[wide][0]) == (min(size, WIDE_ROWS_PER_BLOCK) if wide else size):
+                        yield flushed(wide)
+        for wide, (ids, _) in list(waiting.items()):
+            if ids:
+                yield flushed(wide)
 
     shipped(vectors.sparkSession)
     return vectors.select(id_column, vector_column).mapInArrow(blocks, "width int, n long, block binary")
@@ -198,22 +213,40 @@ def best_of_block(row_ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray,
     width = max(rows.shape[1], queries.shape[1])
     rows = np.pad(rows, ((0, 0), (0, width - rows.shape[1])))
     queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
-    small = max(np.abs(rows).max(initial=0), np.abs(queries).max(initial=0)) < _LARGEST
-    index = Slices(rows) if small else None
+    plain = rows.dtype == queries.dtype == np.int64 and max(np.abs(rows).max(initial=0), np.abs(queries).max(initial=0)) < _LARGEST
+    index = Slices(rows) if plain else None
+    if index is None:
+        rows, queries = rows.astype(object), queries.astype(object)
     for query_id, query in zip(query_ids.tolist(), queries):
         own = int(np.count_nonzero(row_ids == query_id))
         places = index.boundary(query, k + own) if index else np.arange(len(rows))
         places = places[row_ids[places] != query_id]
-        scores = rows[places] @ query if index else np.array([sum(int(a) * int(b) for a, b in zip(r, query)) for r in rows[places]], dtype=np.int64)
-        for i in np.lexsort((row_ids[places], -scores))[:k]:
+        scores = rows[places] @ query
+        if index:
+            best = np.lexsort((row_ids[places], -scores))[:k].tolist()
+        else:
+            best = sorted(range(len(places)), key=lambda i: (-scores[i], row_ids[places[i]]))[:k]
+        for i in best:
             yield query_id, int(row_ids[places[i]]), int(scores[i])
 
 
+_MOST, _BYTES = (1 << 63) - 1, 272
+
+
+def as_long(score: int) -> tuple[int, bytes | None]:
+    """The score within a long, and for one at its ends or beyond them bytes in the order of the true values."""
+    if abs(score) < _MOST:
+        return score, None
+    return max(-_MOST, min(_MOST, score)), (score + (1 << (8 * _BYTES - 1))).to_bytes(_BYTES, "big")
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding",
             rows_per_block: int = ROWS_PER_BLOCK, queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k rows of ``vectors`` with the highest inner product for each query."""
     rows = kept(packed(vectors, id_column, vector_column, rows_per_block), "vector-blocks")
-    asked = packed(queries.dropDuplicates([id_column]), id_column, vector_column, queries_per_block)
+    usable = F.forall(vector_column, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+    single = queries.where(F.col(id_column).isNotNull() & (F.size(vector_column) > 0) & usable).groupBy(id_column).agg(F.min(vector_column).alias(vector_column))
+    asked = packed(single, id_column, vector_column, queries_per_block)
     slots = max(1, rows.count())  # one row per block
     rows = rows.withColumn("slot", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(slots)))
     asked = asked.select(F.col("width").alias("query_width"), F.col("block").alias("query_block"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
@@ -224,9 +257,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_column: str
             row_ids, block_rows = _unpack(block.as_py(), width.as_py())
             query_ids, block_queries = _unpack(query_block.as_py(), query_width.as_py())
             found = list(best_of_block(row_ids, block_rows, query_ids, block_queries, k))
-            yield {"query_id": [x[0] for x in found], "vec_id": [x[1] for x in found], "score": [x[2] for x in found]}
+            scores = [as_long(x[2]) for x in found]
+            yield {"query_id": [x[0] for x in found], "vec_id": [x[1] for x in found], "score": [x[0] for x in scores], "beyond": [x[1] for x in scores]}
 
-    fields = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-    best = batches(pairs, scored, "query_id long, vec_id long, score long", fields)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    fields = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("beyond", pa.binary())])
+    best = batches(pairs, scored, "query_id long, vec_id long, score long, beyond binary", fields)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc_nulls_last("beyond"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
