@@ -1,11 +1,12 @@
 """Main text of web pages by text-to-tag ratio.
 
 A streaming parser turns a page into lines (one per block), each with its text, its number of
-tags and links, and the element it stands in. The ratio of text to tags, smoothed with a Gaussian
-over neighbouring lines, is cut by a threshold into content and the rest; a heading goes with the line
-below it. The main elements, or else all articles and main elements, are the region where they hold most of the content;
-on other pages it is the smallest element that holds all of it. Its lines are the text, but for lines of menus, notices,
-adverts, forms, sidebars, footers and comments inside it, and where it is the whole body for link lists before and behind all content.
+tags and links, and the container it stands in: the innermost element that is no part of a text, or the marked element
+around it. The ratio of text to tags, less what is linked, is zero on lines of menus, notices, adverts, forms, sidebars, footers and
+comments. The ratios are smoothed with a Gaussian along the lines, but not across the bounds of such marked parts, and cut by a
+threshold on the deviation of the page's curve; a container is content if lines over the threshold hold half of its characters outside links, and a heading goes with the line
+below it. The region is the smallest element that holds all content. Of its lines those stay whose smoothed
+ratio is over zero, and plain link lines where the region is not the whole body. No element name selects a region.
 
 Defined results: a null or empty page gives an empty text; unclosed, cut off and very long pages are
 read to their end; equal ratios lie on the same side of the threshold; repeated rows are read each
@@ -52,38 +53,41 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = [("", 0, False)]  # name, number of the element, whether it is off the content
+        # name, number of the element, whether it is off the content, number of the innermost block, and of the container
+        self.open: list[tuple[str, int, bool, int, int]] = [("", 0, False, 0, 0)]
+        self.depths: dict[str, list[int]] = {}  # where in the stack elements of a name are open
         self.hidden = 0
         self.parents = [-1]  # of each element
         self.named = [""]
-        self.lines: list[tuple[str, int, int, int, bool]] = []  # text, tags, characters in links, element, off the content
+        self.lines: list[tuple[str, int, int, int, int, bool]] = []  # text, tags, characters in links, element, container, off the content
         self.parts: list[str] = []
         self.tags = self.linked = self.in_link = 0
 
     def _end_line(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            _, element, off = next(x for x in reversed(self.open) if x[0] in BLOCKS or not x[0])
-            self.lines.append((text, self.tags, self.linked, element, off))
+            _, _, off, element, container = self.open[-1]
+            self.lines.append((text, self.tags, self.linked, element, container, off))
             self.tags = self.linked = 0
         self.parts = []
 
     def _close(self, depth: int) -> None:
         """End the elements from ``depth`` of the stack on."""
-        for name, _, _ in reversed(self.open[depth:]):
+        ended = [entry[0] for entry in self.open[depth:]]
+        for name in ended:
             self.in_link -= name == "a"
             self.hidden -= name in HIDDEN
-        if any(name in BLOCKS for name, _, _ in self.open[depth:]):
+        if any(name in BLOCKS for name in ended):
             self._end_line()
+        for name in ended:
+            self.depths[name].pop()
         del self.open[depth:]
 
     def _nearest(self, names, scopes) -> int:
-        for depth in range(len(self.open) - 1, 0, -1):
-            if self.open[depth][0] in names:
-                return depth
-            if self.open[depth][0] in scopes:
-                break
-        return 0
+        """Where the innermost open element of these names is, 0 if there is none above the innermost of the scopes."""
+        innermost = lambda some: max((self.depths[n][-1] for n in some if self.depths.get(n)), default=0)
+        depth = innermost(names)
+        return depth if depth and depth >= innermost(scopes) else 0
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -95,15 +99,19 @@ class Lines(HTMLParser):
             self._close(depth)
         if tag in ENDS_LIKE and (depth := self._nearest(ENDS_LIKE[tag], SCOPES - ENDS_LIKE[tag])):
             self._close(depth)
-        off = self.open[-1][2] or tag in ASIDE or (tag == "header" and not any(name in ("article", "main") for name, _, _ in self.open))
+        _, parent, outside, block, container = self.open[-1]
+        off = outside or tag in ASIDE or (tag == "header" and not self.depths.get("article") and not self.depths.get("main"))
         if not off and tag not in ("html", "body", "article", "main"):
             off = any(value and name in ("class", "id", "role") and MARKED.search(value) for name, value in attrs)
         off = bool(off) or any(name == "hidden" for name, _ in attrs)
         self.hidden += tag in HIDDEN
         self.in_link += tag == "a"
-        self.parents.append(self.open[-1][1])
+        number = len(self.parents)
+        self.parents.append(parent)
         self.named.append(tag)
-        self.open.append((tag, len(self.parents) - 1, off))
+        own = (off and not outside) or (not off and tag in BLOCKS and tag not in PARTS)
+        self.depths.setdefault(tag, []).append(len(self.open))
+        self.open.append((tag, number, off, number if tag in BLOCKS else block, number if own else container))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -145,44 +153,55 @@ def main_text(html: str | None) -> str:
     lines = parser.finish()
     if not lines:
         return ""
-    ratios = np.array([0.0 if off else max(0, len(text) - 2 * linked) / (tags + 1) for text, tags, linked, _, off in lines])
-    curve = smoothed(ratios)
-    content = (curve >= DEVIATIONS * curve.std()) & (ratios > 0)
+    ratios = np.array([0.0 if off else max(0, len(text) - 2 * linked) / (tags + 1) for text, tags, linked, _, _, off in lines])
+    held: dict[int, list[int]] = {}  # lines by container
+    for i, line in enumerate(lines):
+        held.setdefault(line[4], []).append(i)
+    marks = np.array([container if off else -1 for _, _, _, _, container, off in lines])
+    curve = np.concatenate([smoothed(run) for run in np.split(ratios, np.flatnonzero(np.diff(marks)) + 1)])
+    over = (curve > 0) & (curve >= DEVIATIONS * curve.std())
+    size = np.array([max(0, len(text) - linked) for text, _, linked, _, _, _ in lines])
+    content = np.zeros(len(lines), dtype=bool)
+    for own in held.values():
+        content[own] = 2 * size[own][over[own]].sum() >= max(1, size[own].sum())
     if not content.any():
-        content = ratios > 0
+        content = over
+    if not content.any():
+        return ""
     heads = False  # whether the next line that is not off the content is content
     for i in range(len(lines) - 1, -1, -1):
-        if not lines[i][4]:
+        if not lines[i][5]:
             heads = content[i] = content[i] or (heads and parser.named[lines[i][3]] in HEADINGS)
-    weight: dict[int, int] = {}  # characters of content lines by element
-    for (text, _, _, element, _), inside in zip(lines, content):
-        if inside:
-            weight[element] = weight.get(element, 0) + len(text)
-    total = sum(weight.values())
-    if not total:
-        return ""
-    for names in (("main",), ("article", "main")):
-        inside_region = within(parser, {element for element, name in enumerate(parser.named) if name in names})
-        if 2 * sum(n for element, n in weight.items() if inside_region[element]) > total:
-            return "\n".join(text for text, _, _, element, off in lines if inside_region[element] and not off)
-    held = dict(weight)  # with all that lies below
-    for element in range(len(parser.parents) - 1, 0, -1):
-        if element in held:
-            parent = parser.parents[element]
-            held[parent] = held.get(parent, 0) + held[element]
-    region = max(element for element, n in held.items() if n == total)  # those that hold all lie one in another
+    region = holding(parser, {lines[i][3] for i in np.flatnonzero(content)})
     while parser.named[region] in PARTS:
         region = parser.parents[region]
-    inside_region = within(parser, {region})
+    inside = within(parser, region)
     first, last = int(content.argmax()), len(lines) - 1 - int(content[::-1].argmax())
     whole_page = parser.named[region] in ("", "html", "body")
-    return "\n".join(text for i, (text, _, _, element, off) in enumerate(lines) if inside_region[element] and not off
-                     and not (whole_page and not first <= i <= last and ratios[i] == 0 and parser.named[element] in LIST_ITEMS))
+
+    def stays(i: int) -> bool:
+        _, _, _, element, _, off = lines[i]
+        listed = whole_page and not first <= i <= last and ratios[i] == 0 and parser.named[element] in LIST_ITEMS
+        return inside[element] and (content[i] or (not listed and (curve[i] > 0 or not off)))
+
+    return "\n".join(line[0] for i, line in enumerate(lines) if stays(i))
+
+
+def holding(parser: Lines, elements: set[int]) -> int:
+    """The smallest element that holds all of these; a parent has a lower number than its children."""
+    below = dict.fromkeys(elements, 1)
+    for element in range(len(parser.parents) - 1, 0, -1):
+        if n := below.get(element):
+            if n == len(elements):
+                return element
+            parent = parser.parents[element]
+            below[parent] = below.get(parent, 0) + n
+    return 0
 
 
-def within(parser: Lines, tops: set[int]) -> list[bool]:
-    """Whether each element is one of these or lies in one; a parent has a lower number than its children."""
-    inside = [element in tops for element in range(len(parser.parents))]
+def within(parser: Lines, top: int) -> list[bool]:
+    """Whether each element is ``top`` or lies in it."""
+    inside = [element == top for element in range(len(parser.parents))]
     for element in range(1, len(inside)):
         inside[element] = inside[element] or inside[parser.parents[element]]
     return inside

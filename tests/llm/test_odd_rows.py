@@ -65,3 +65,31 @@ def test_a_doc_id_with_very_many_texts(spark):
     rows = [(7, f"{words(pick.randint(0, 60), seed=1000 + k)} {passage}") for k in range(300)] + [(8, passage)]
     found = repeats.remove_repeats(docs_of(spark, rows)).collect()
     assert len(found) == 301 and [r.n_removed for r in found if r.doc_id == 8] == [25] and not any(r.n_removed for r in found if r.doc_id == 7)
+
+
+def test_the_curve_decides_what_is_content(spark, monkeypatch):
+    """A constant curve takes in marked parts; names of elements select no region."""
+    from test_operators import PAGE, SF
+
+    from tallyforge.llm import html_text
+
+    pages = [PAGE] + [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect() if r.html]
+    texts = [html_text.main_text(h) for h in pages]
+    plain = lambda h: h.replace("<article", "<div").replace("</article", "</div").replace("<main", "<div").replace("</main", "</div")
+    assert [html_text.main_text(plain(h)) for h in pages] == texts
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios, sigma=1.0: np.ones(len(ratios)))
+    changed = [html_text.main_text(h) for h in pages]
+    assert all(a != b for a, b in zip(texts, changed, strict=True)) and "Reader comment" in changed[0] and "Reader comment" not in texts[0]
+
+
+def test_malformed_pages_take_time_in_proportion():
+    import time
+
+    from tallyforge.llm import html_text
+
+    for body in ("<b><br>x ", "<div></section>x "):
+        begin = time.process_time()
+        assert html_text.main_text(f"<html><body>{body * 16_000}</body></html>").count("x") == 16_000
+        assert time.process_time() - begin < 8  # a walk over the open elements for each line took minutes
+    deep = "<p><table>" + "<b>" * 8000 + "<div>y</div>" * 8000
+    assert html_text.main_text(deep).count("y") == 8000
