@@ -8,7 +8,7 @@ letters is the text's. Paths of many texts are followed side by side in numpy.
 
 Defined results: a null text and one without a letter give ``und`` and score 0, as does a table
 without a labelled text; ties go to the language first in the alphabet; very long texts are read whole;
-repeated rows are labelled each on its own; columns other than doc_id, text and lang are never
+repeated rows are labelled each on its own; any number of languages up to MAX_LANGUAGES is learned, more are an error that says so; columns other than doc_id, text and lang are never
 read, and lang never when predicting.
 """
 
@@ -28,6 +28,8 @@ from .common import batches, own_columns, texts
 
 #: Labelled documents of each language that the model is fitted on: those with the smallest hash of doc_id.
 TRAINING_DOCUMENTS = 400
+#: The model holds BUCKETS numbers for each language on the driver and in each worker, and the ids of its sample are broadcast.
+MAX_LANGUAGES = 2_000
 BUCKETS = 1 << 16  # what a hash of 64 bits keeps of its highest
 GRAMS = (1, 2, 3, 4)
 SWITCH_PENALTY = 8.0
@@ -117,12 +119,21 @@ class Model:
 
 
 def training_sample(docs: DataFrame, per_language: int = TRAINING_DOCUMENTS) -> DataFrame:
-    """lang and text of the documents to fit on; the rank filter cuts inside each task, before the shuffle."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = (docs.where("lang is not null and text is not null").where(~held_out()).select("lang", "doc_id")
-              .withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select("doc_id"))
+    """lang and text of the documents to fit on.
+
+    The rank is cut twice: among the documents of a language with the same bits of the hash, then among those
+    that are left, so one task gets a bounded number of rows of a language however many tasks read it.
+    """
+    labelled = docs.where("lang is not null and text is not null")
+    if labelled.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} values of lang")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    within = lambda *keys: F.row_number().over(Window.partitionBy("lang", *keys).orderBy(*order)) <= per_language
+    hashed = labelled.where(~held_out()).select("lang", "doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(61)).alias("part"))
+    some = hashed.withColumn("first", within("part")).where("first").drop("first")
+    picked = some.withColumn("first", within()).where("first").select("doc_id")
     # at most per_language ids for each language
-    return docs.where("lang is not null and text is not null").join(F.broadcast(picked.distinct()), "doc_id", "left_semi").select("lang", "text")
+    return labelled.join(F.broadcast(picked.distinct()), "doc_id", "left_semi").select("lang", "text")
 
 
 def held_out():
@@ -170,12 +181,17 @@ def fit(docs: DataFrame, per_language: int = TRAINING_DOCUMENTS) -> Model:
     return Model(languages, grams.astype(np.float32), scripts.astype(bool))
 
 
+def label_type(languages: int) -> np.dtype:
+    return np.dtype(np.uint8 if languages <= 1 << 8 else np.uint16)
+
+
 def best_paths(ids: list[np.ndarray], scores: np.ndarray, penalty: float = SWITCH_PENALTY) -> list[np.ndarray]:
     """For each sequence of rows of ``scores`` the labels of its best path; ties stay, then go to the smaller label."""
-    out: list[np.ndarray] = [np.empty(0, dtype=np.uint8)] * len(ids)
+    kind = label_type(scores.shape[1])
+    out: list[np.ndarray] = [np.empty(0, dtype=kind)] * len(ids)
     order = sorted((i for i in range(len(ids)) if len(ids[i])), key=lambda i: -len(ids[i]))
     while order:
-        side = max(1, SIDE_BY_SIDE // len(ids[order[0]]))
+        side = max(1, 4 * SIDE_BY_SIDE // (len(ids[order[0]]) * max(4, scores.shape[1] * kind.itemsize)))  # by the bytes of the choices kept
         some, order = order[:side], order[side:]
         for i, labels in zip(some, _paths([ids[i] for i in some], scores, penalty)):
             out[i] = labels
@@ -189,18 +205,19 @@ def _paths(ids: list[np.ndarray], scores: np.ndarray, penalty: float) -> list[np
     for k, x in enumerate(ids):
         grid[:len(x), k] = x
     alive = np.searchsorted(-sizes, -np.arange(steps), side="left")  # sequences longer than the step
-    came = np.empty((steps, len(ids), kinds), dtype=np.uint8)
-    own = np.arange(kinds, dtype=np.uint8)
+    kind = label_type(kinds)
+    came = np.empty((steps, len(ids), kinds), dtype=kind)
+    own = np.arange(kinds, dtype=kind)
     value = scores[grid[0]].astype(np.float64)
     for t in range(1, steps):
         n = alive[t]
         now = value[:n]
         best = now.argmax(axis=1)
         moved = now.max(axis=1, keepdims=True) - penalty
-        came[t, :n] = np.where(now >= moved, own, best[:, None].astype(np.uint8))
+        came[t, :n] = np.where(now >= moved, own, best[:, None].astype(kind))
         value[:n] = np.maximum(now, moved) + scores[grid[t, :n]]
-    state = value.argmax(axis=1).astype(np.uint8)
-    labels = np.empty((steps, len(ids)), dtype=np.uint8)
+    state = value.argmax(axis=1).astype(kind)
+    labels = np.empty((steps, len(ids)), dtype=kind)
     for t in range(steps - 1, -1, -1):
         n = alive[t]
         labels[t, :n] = state[:n]
@@ -246,7 +263,7 @@ class Labeller:
         out = []
         for own, labels in zip(ids, best_paths(ids, self.scores)):
             letters = sizes[own] if len(own) else np.empty(0, dtype=np.int64)
-            cuts = np.flatnonzero(np.diff(labels, prepend=255)) if len(own) else np.empty(0, dtype=np.int64)
+            cuts = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]]) if len(own) else np.empty(0, dtype=np.int64)
             ends = np.append(cuts[1:], len(own))
             sums = np.add.reduceat(letters, cuts) if len(own) else []
             out.append(([(int(labels[a]), int(a), int(b - a), int(s)) for a, b, s in zip(cuts, ends, sums)], int(letters.sum())))

@@ -93,3 +93,61 @@ def test_malformed_pages_take_time_in_proportion():
         assert time.process_time() - begin < 8  # a walk over the open elements for each line took minutes
     deep = "<p><table>" + "<b>" * 8000 + "<div>y</div>" * 8000
     assert html_text.main_text(deep).count("y") == 8000
+
+
+def test_three_hundred_languages(spark):
+    from tallyforge.llm import language
+
+    letters = "bcdfghjklmnpqrstvwxz"
+    syllable = lambda k: letters[k % 20] + "aeiou"[k // 20 % 5] + letters[k // 100 % 20] + "aeiou"[k * 7 % 5]
+    rows, ids = [], [k for k in range(2000) if not_held_out(k)]
+    for k in range(300):
+        rows.append((ids[k], f"{syllable(k)} {syllable(k) * 2} {syllable(k)} {syllable(k) * 3}", f"l{k:03d}", "s", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = language.fit(docs)
+    assert len(model.languages) == 300
+    found = {r.doc_id: r.lang_pred for r in language.label_documents(docs, model).collect()}
+    assert found == {r[0]: r[2] for r in rows}
+
+
+def not_held_out(k):
+    import zlib
+
+    return zlib.crc32(str(k).encode()) % 4 != 2
+
+
+def test_word_scores_equal_plain_counts(spark):
+    """Log probabilities of hashed n-grams, counted without numpy, and the rule of scripts."""
+    import zlib
+
+    from tallyforge.llm import language
+
+    step, mix, size = int(language._STEP), int(language._MIX), 1 << 64
+
+    def grams(word):
+        codes = [ord(x) for x in f"^{word}$"]
+        for n in language.GRAMS:
+            for i in range(len(codes) - n + 1):
+                h = 0
+                for j, code in enumerate(codes[i:i + n], 1):
+                    h = (h * step + code + j) % size
+                yield (h * mix % size) >> 48
+
+    train = {"de": "der Hund und die Katze der", "en": "the dog and the cat", "ru": "кот и собака"}
+    ids = [k for k in range(100) if zlib.crc32(str(k).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(ids[k], text, lang) for k, (lang, text) in enumerate(train.items())], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model.languages == ["de", "en", "ru"]
+    counts = {lang: np.full(language.BUCKETS, 0.5) for lang in train}
+    for lang, text in train.items():
+        for word in text.lower().split():
+            for g in grams(word):
+                counts[lang][g] += 1
+    logs = {lang: np.log(x / x.sum()) for lang, x in counts.items()}
+    tested = ["hund", "the", "dogs", "кот", "xyz"]
+    scores = model.word_scores(tested)
+    for word, row in zip(tested, scores, strict=True):
+        plain = np.array([sum(logs[lang][g] for g in grams(word)) for lang in model.languages])
+        allowed = np.array([False, False, True] if word == "кот" else [True, True, False])
+        want = np.where(allowed, plain - plain[allowed].max(), language._NO_CANDIDATE)
+        assert np.allclose(row, want, atol=2e-3)
