@@ -49,12 +49,14 @@ FROM sized s JOIN reached r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.n
 OP7 = r"""
 WITH lines AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 hashed AS (SELECT *, list_transform(lines, lambda x: md5(x)) AS hashes FROM lines),
-ended AS (SELECT *, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines)
-          OR ('0x' || substr(md5(hashes[i] || CASE WHEN i > 1 THEN hashes[i - 1] ELSE '' END), 1, 8))::BIGINT % 3 = 0) AS ends FROM hashed),
+rolled AS (SELECT *, list_transform(range(1, len(lines) + 1), lambda i: ('0x' || substr(md5(hashes[i] || CASE WHEN i > 1 THEN hashes[i - 1] ELSE '' END), 1, 8))::BIGINT) AS h,
+          list_transform(lines, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 50) AS long FROM hashed),
+ended AS (SELECT *, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines) OR long[i] OR coalesce(long[i + 1], false)
+          OR (i > 1 AND i < len(lines) - 1 AND NOT long[i - 1] AND NOT coalesce(long[i + 2], false) AND h[i] < h[i - 1] AND h[i] <= h[i + 1])) AS ends FROM rolled),
 cut AS (SELECT doc_id, list_transform(range(1, len(ends) + 1),
         lambda j: array_to_string(lines[(CASE WHEN j > 1 THEN ends[j - 1] ELSE 0 END) + 1 : ends[j]], chr(10))) AS chunks FROM ended),
 placed AS (SELECT doc_id, unnest(chunks) AS chunk, generate_subscripts(chunks, 1) AS place FROM cut),
-judged AS (SELECT *, len(list_filter(string_split(chunk, chr(10)), lambda x: regexp_matches(x, '[^ \t\r]'))) >= 2
+judged AS (SELECT *, (len(list_filter(string_split(chunk, chr(10)), lambda x: regexp_matches(x, '[^ \t\r]'))) >= 2 OR len(regexp_extract_all(chunk, '[^\x20\x09-\x0D]+')) >= 50)
            AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, place) > 1 AS gone FROM placed),
 rebuilt AS (SELECT doc_id, coalesce(string_agg(chunk, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '') AS text,
             count(*) AS n_chunks, count(*) FILTER (WHERE gone) AS n_removed FROM judged GROUP BY doc_id)

@@ -360,23 +360,32 @@ def test_repeats_odd_rows_and_spans(spark):
 
 # --- 7 lines ------------------------------------------------------------------------------------------------
 
-def brute_lines(rows, one_in=line_chunks.ENDS_ONE_IN, least=line_chunks.LEAST_LINES):
-    chunks = {}
-    for n, (i, text) in enumerate(rows):
-        lines = text.split("\n")
-        hashes = [hashlib.md5(x.encode()).hexdigest() for x in lines]
-        out, now = [], []
-        for k, line in enumerate(lines):
-            now.append(line)
-            if k == len(lines) - 1 or int(hashlib.md5((hashes[k] + (hashes[k - 1] if k else "")).encode()).hexdigest()[:8], 16) % one_in == 0:
-                out.append("\n".join(now))
-                now = []
-        chunks[n] = (i, out)
+def blank_words(text):
+    return [w for w in "".join(" " if ch in " \t\n\r\x0b\x0c" else ch for ch in text).split(" ") if w]
+
+
+def brute_chunks(text):
+    lines = text.split("\n")
+    hashes = [hashlib.md5(x.encode()).hexdigest() for x in lines]
+    h = [int(hashlib.md5((x + (hashes[k - 1] if k else "")).encode()).hexdigest()[:8], 16) for k, x in enumerate(hashes)]
+    long = [len(blank_words(x)) >= line_chunks.LONG_WORDS for x in lines] + [False, False]
+    out, now = [], []
+    for k, line in enumerate(lines):
+        now.append(line)
+        least = 0 < k < len(lines) - 2 and not long[k - 1] and not long[k + 2] and h[k] < h[k - 1] and h[k] <= h[k + 1]
+        if k == len(lines) - 1 or long[k] or long[k + 1] or least:
+            out.append("\n".join(now))
+            now = []
+    return out
+
+
+def brute_lines(rows, least=line_chunks.LEAST_LINES):
+    chunks = {n: (i, brute_chunks(text)) for n, (i, text) in enumerate(rows)}
     seen, result = set(), []
     for i, out in sorted(chunks.values(), key=lambda x: x[0]):
         stays = []
         for chunk in out:
-            several = sum(bool(x.strip(" \t\r")) for x in chunk.split("\n")) >= least
+            several = sum(bool(x.strip(" \t\r")) for x in chunk.split("\n")) >= least or len(blank_words(chunk)) >= line_chunks.LONG_WORDS
             if several and chunk in seen:
                 continue
             if several:
@@ -388,7 +397,7 @@ def brute_lines(rows, one_in=line_chunks.ENDS_ONE_IN, least=line_chunks.LEAST_LI
 
 def test_lines_equal_brute_force(spark):
     pick = random.Random(6)
-    pool = [words(6, seed=i) for i in range(12)] + ["", "  "]
+    pool = [words(6, seed=i) for i in range(12)] + ["", "  "] + [words(n, seed=n) for n in (49, 50, 60)]
     rows = [(i, "\n".join(pick.choice(pool) for _ in range(pick.randint(1, 25)))) for i in range(80)]
     found = line_chunks.line_dedup(docs_of(spark, rows)).collect()
     assert sorted((r.doc_id, r.text, r.n_chunks, r.n_removed) for r in found) == brute_lines(rows)
