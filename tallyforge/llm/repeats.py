@@ -154,21 +154,22 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, seed: int = SEED) -> D
     classes = kept(classes, "classes")
     # a text's first document stands for all its copies
     firsts = read.join(classes.select("whole", c("first").alias("doc_id")), ["doc_id", "whole"], "left_semi")
-    own = ["doc_id", "whole"]
-    found = firsts.select(*own, F.explode(F.arrays_zip("seeds", "places")).alias("x")).select(*own, c("x.seeds").alias("seed"), c("x.places").alias("place"))
+    own = ["doc_id", "mark"]  # a short hash of the text's digest tells the texts of one doc_id apart
+    mark = F.xxhash64("whole").alias("mark")
+    found = firsts.select("doc_id", mark, F.explode(F.arrays_zip("seeds", "places")).alias("x")).select(*own, c("x.seeds").alias("seed"), c("x.places").alias("place"))
     found = kept(found, "seeds")
     again = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
     places = found.join(again, "seed").groupBy(*own).agg(F.collect_set("place").alias("places"))  # at most the places of a text
     places = kept(places, "places")
     whole = F.sha2(F.trim(F.regexp_replace("text", BLANKS, " ")), 256)  # of the words joined by one space
-    first_texts = own_columns(docs, "doc_id", "text").withColumn("whole", whole).join(places, own)
+    first_texts = own_columns(docs, "doc_id", "text").withColumn("mark", F.xxhash64(whole)).join(places, own)
     wide = kept(extended(first_texts, window, seed), "extended")
-    windows = wide.select(*own, F.explode(F.arrays_zip("windows", "checks", "starts")).alias("x")).select(
+    windows = wide.select("doc_id", mark, F.explode(F.arrays_zip("windows", "checks", "starts")).alias("x")).select(
         *own, c("x.windows").alias("window"), c("x.checks").alias("check"), c("x.starts").alias("start"))
     origin = windows.groupBy("window", "check").agg(F.min("doc_id").alias("origin"), F.max("doc_id").alias("last")).where("origin < last").drop("last")
     later = windows.join(origin, ["window", "check"]).where("doc_id > origin").groupBy(*own).agg(F.collect_set("start").alias("later"))  # at most the words of a text
     later = kept(later, "later")
-    done = kept(cut(wide.join(later, own, "left").where("size(own) > 0 or later is not null"), window), "cut").dropDuplicates(["doc_id", "whole"])
+    done = kept(cut(wide.withColumn("mark", mark).join(later, own, "left").where("size(own) > 0 or later is not null"), window), "cut").dropDuplicates(["doc_id", "whole"])
     rows = read.select("doc_id", "n_words", "whole").join(classes, "whole", "left").join(done, ["doc_id", "whole"], "left")
     copy = F.coalesce(c("doc_id") > c("first"), F.lit(False))
     return rows.select("doc_id", "n_words", F.when(copy, c("n_words")).otherwise(F.coalesce("removed", F.lit(0))).alias("n_removed"),
