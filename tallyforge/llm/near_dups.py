@@ -285,7 +285,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(c("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def keep_one_of_originals(docs: DataFrame, originals: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents without those whose text in ``originals`` is a near duplicate of that of another one in ``docs``.
+
+    For texts that are cut already, which may not be alike any more. Only doc_ids that one row of
+    ``originals`` holds take part; others stay.
+    """
+    once = originals.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 1").select("doc_id")
+    once = kept(once.join(docs.select("doc_id"), "doc_id", "left_semi"), "once")
+    return _without(docs, near_duplicates(own_columns(originals, "doc_id", "text").join(once, "doc_id", "left_semi"), k, percent))
+
+
+def _without(docs: DataFrame, found: DataFrame) -> DataFrame:
+    gone = found.where("not kept").select(c("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents without those of which a component keeps another one, with all their columns."""
-    gone = near_duplicates(docs, k, percent).where("not kept").select(c("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return _without(docs, near_duplicates(docs, k, percent))

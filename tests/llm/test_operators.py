@@ -563,7 +563,7 @@ def test_pipeline_stages(spark, reference_encoding):
     import corpus_pipeline as p
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, sizes = docs.columns, [docs.count()]
+    columns, sizes, given = docs.columns, [docs.count()], {r.doc_id: r.text for r in docs.collect()}
     for name, stage in p.STAGES[:-1]:
         before = {r.doc_id: r.text for r in docs.collect()}
         out = p.kept(stage(spark, docs, SF), "stage")
@@ -575,7 +575,9 @@ def test_pipeline_stages(spark, reference_encoding):
         elif name == "line dedup":
             assert rows == {i: t for i, t, _, _ in brute_lines(sorted(before.items()))}
         elif name == "near-dedup":
-            assert set(rows) == {i for i, (_, root) in brute_components(list(before.items()), 5, 80).items() if i == root}
+            left = {i for i, (_, root) in brute_components([(i, given[i]) for i in before], 5, 80).items() if i == root}
+            assert set(rows) == {i for i, (_, root) in brute_components([(i, before[i]) for i in left], 5, 80).items() if i == root}
+            assert all(rows[i] == before[i] for i in rows)
         docs = out
         sizes.append(len(rows))
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
@@ -595,6 +597,33 @@ def test_pipeline_leaves_one_of_each_group_of_exact_copies(spark, tmp_path):
     assert sorted(r.doc_id for r in p.run(spark, str(tmp_path)).collect()) == [100 * i for i in range(12)] + [5000 + i for i in range(20)]
 
 
+def test_pipeline_leaves_one_of_each_group_of_near_copies(spark, tmp_path):
+    """Copies with a word changed in some lines, whose other lines line dedup takes away, so that what is left is unlike."""
+    import corpus_pipeline as p
+
+    rows = []
+    for i in range(10):
+        lines = [words(30, seed=70 * i + line) for line in range(20)]
+        for k in range(4):
+            own = [x if (n + k) % 7 or not k else f"{x} changed{i}x{k}x{n}" for n, x in enumerate(lines)]
+            rows.append((100 * i + k, "\n".join(own)))
+    rows += [(5000 + i, words(200, seed=9000 + i)) for i in range(20)]
+    docs_of(spark, rows, odd=False).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i, _ in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    cut = line_chunks.without_repeats(docs_of(spark, rows, odd=False))
+    assert sum(root == i for i, (_, root) in brute_components([(r.doc_id, r.text) for r in cut.collect()], 5, 80).items()) > 30  # they can't be told any more
+    assert sorted(r.doc_id for r in p.run(spark, str(tmp_path)).collect()) == [100 * i for i in range(10)] + [5000 + i for i in range(20)]
+
+
+def test_near_copies_of_originals_with_odd_rows(spark):
+    text, other = words(60, seed=1), words(60, seed=2)
+    originals = [(1, text), (2, text + " end"), (3, other), (3, text), (4, None), (None, text), (6, text), (7, other)]
+    docs = [(1, "left of one"), (2, "left of two"), (3, "x"), (3, "y"), (4, None), (None, "z"), (5, "not among the originals"), (7, other)]
+    out = near_dups.keep_one_of_originals(docs_of(spark, docs), docs_of(spark, originals))
+    assert out.columns == docs_of(spark, docs).columns
+    assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "3", "3", "4", "5", "7", "None"]
+
+
 def test_whole_copies_odd_rows(spark):
     rows = [(1, "a b"), (2, "a b"), (3, "c"), (3, "a b"), (4, None), (None, "a b"), (5, ""), (6, "")]
     frame = docs_of(spark, rows)
