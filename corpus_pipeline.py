@@ -23,13 +23,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return near_dups.keep_one(docs, k=5, percent=80)
+    """One document of each group of near duplicates stays, by the texts as they were given and by what line dedup has left of them."""
+    left = kept(near_dups.keep_one_of_originals(docs, documents(spark, sf_dir), k=5, percent=80), "one-of-originals")
+    return near_dups.keep_one(left, k=5, percent=80)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the fitted mixture takes stay, each once; of exact copies that line dedup has made unlike only the first."""
-    docs = kept(line_chunks.without_copies(docs, documents(spark, sf_dir)), "without-copies")
+    """Documents that the fitted mixture takes stay, each once."""
     return mixing.take(docs, table(spark, sf_dir, "labels"))
 
 
