@@ -85,7 +85,10 @@ def state_of(spark: SparkSession, checkpoint: str, batch: int | None = None) ->
 
 
 def state_layout(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """One row for each store: operatorName, numPartitions, and the first and last batch whose state can still be read."""
+    """One row for each store: operatorName, numPartitions, and the first and last batch of the checkpoint's log.
+
+    The log goes back as many batches as are retained before the last one; the store itself keeps the state of as many in all.
+    """
     return spark.read.format("state-metadata").load(checkpoint)
 
 

@@ -264,18 +264,18 @@ def state_settings(t):
 
 @on_tables("stm_09_state_read_back", """SELECT event_type, count(*) AS n, 1::BIGINT AS partitions, 5::BIGINT AS batches_back, true AS oldest_is_smaller FROM events GROUP BY 1""")
 def state_read_back(t):
-    """Running counts read from the state store itself, of a query with one state partition; its state can be read five batches back."""
-    source, state = _new(t, "events"), _new(t, "state")
+    """Running counts read from the state store itself, of a query with one state partition that keeps the state of five batches."""
+    source, state, versions = _new(t, "events"), _new(t, "state"), 5
     rows = t.events.select("event_id", "event_type")
     rows.repartitionByRange(9, "event_id").write.parquet(source)
-    with jobs.state_settings(t.spark, provider="rocksdb", versions=5, partitions=1, maintenance="5s"):
+    with jobs.state_settings(t.spark, provider="rocksdb", versions=versions, partitions=1, maintenance="5s"):
         stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
         jobs.to_batches(stream.groupBy("event_type").agg(F.count("*").alias("n")), jobs.replace_with_latest(_new(t, "counts")), state, mode="complete").awaitTermination()
     layout = jobs.state_layout(t.spark, state).first()  # one row: the query has one store
     total = lambda batch: jobs.state_of(t.spark, state, batch).agg(F.sum("value.count")).first()[0]
     counts = jobs.state_of(t.spark, state).select("key.event_type", c("value.count").alias("n"))
     return counts.select("event_type", "n", F.lit(layout.numPartitions).cast("long").alias("partitions"), F.lit(layout.maxBatchId - layout.minBatchId).cast("long").alias("batches_back"),
-                         F.lit(total(layout.minBatchId) < total(layout.maxBatchId)).alias("oldest_is_smaller"))
+                         F.lit(total(layout.maxBatchId - versions + 1) < total(layout.maxBatchId)).alias("oldest_is_smaller"))
 
 
 @on_tables("udf_05_batch_function", "SELECT event_type, sum((value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY 1")
