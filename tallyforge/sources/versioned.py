@@ -51,10 +51,9 @@ def history(spark: SparkSession, path: str) -> DataFrame:
     return _table(spark, f"{path}/versions", _VERSION)
 
 
-def _log(spark: SparkSession, path: str, version: int | None = None) -> list[Row]:
+def _log(spark: SparkSession, path: str) -> list[Row]:
     """The versions that count, in their order: one small row for each commit."""
-    known = history(spark, path) if version is None else history(spark, path).where(c("version") <= version)
-    return known.select("version", "operation", "schema").orderBy("version").collect()
+    return sorted(history(spark, path).select("version", "operation", "schema").collect(), key=lambda r: r.version)
 
 
 def _next(spark: SparkSession, path: str) -> int:
@@ -159,9 +158,9 @@ def convert(spark: SparkSession, parquet_path: str, path: str, committed: dateti
     return _note(spark, path, 0, "convert", committed, schema)
 
 
-def _merged(spark: SparkSession, path: str, more: T.StructType = T.StructType(), converted: bool = False) -> T.StructType:
+def _merged(spark: SparkSession, path: str, more: T.StructType = T.StructType(), converted: bool = False, log: list[Row] | None = None) -> T.StructType:
     """One schema for the rows of all versions, from the schemas kept with them; no footer is read."""
-    known = dict.fromkeys(r.schema for r in _log(spark, path) if converted or r.operation != "convert")
+    known = dict.fromkeys(r.schema for r in (_log(spark, path) if log is None else log) if converted or r.operation != "convert")
     fields: dict[str, T.StructField] = {}
     for schema in [*(T.StructType.fromJson(json.loads(x)) for x in known), more]:
         for field in schema:
@@ -171,13 +170,15 @@ def _merged(spark: SparkSession, path: str, more: T.StructType = T.StructType(),
     return T.StructType([*fields.values()])
 
 
-def _live(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+def _live(spark: SparkSession, path: str, version: int | None = None, log: list[Row] | None = None) -> DataFrame:
     """The slices whose rows make up the dataset at ``version`` (default: the latest), with their statistics."""
-    log = _log(spark, path, version)
+    log = [r for r in (_log(spark, path) if log is None else log) if version is None or r.version <= version]
     begin = max([r.version for r in log if r.operation in ("overwrite", "convert")], default=0)
     events = _table(spark, f"{path}/slices", _SLICE).where(c("version").isin([r.version for r in log if r.version >= begin]))
-    gone = events.where(c("kind") == "removed").select("slice")
-    return events.where(c("kind") == "added").join(gone, "slice", "left_anti")
+    added = events.where(c("kind") == "added")
+    if not any(r.operation == "compact" for r in log):
+        return added
+    return added.join(events.where(c("kind") == "removed").select("slice"), "slice", "left_anti")
 
 
 def state(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
@@ -185,9 +186,9 @@ def state(spark: SparkSession, path: str, version: int | None = None) -> DataFra
     return _live(spark, path, version).select("version").distinct()
 
 
-def rows(spark: SparkSession, path: str, converted: str | None = None) -> DataFrame:
+def rows(spark: SparkSession, path: str, converted: str | None = None, log: list[Row] | None = None) -> DataFrame:
     """All rows ever added with ``version`` and ``slice``; columns added later are null before. ``converted`` is version 0."""
-    schema = T.StructType([*_merged(spark, path), T.StructField("version", T.IntegerType()), T.StructField("slice", T.StringType())])
+    schema = T.StructType([*_merged(spark, path, log=log), T.StructField("version", T.IntegerType()), T.StructField("slice", T.StringType())])
     if converted is None:
         return spark.read.schema(schema).parquet(f"{path}/rows")
     taken = spark.read.parquet(converted).withColumn("version", F.lit(0)).withColumn("slice", F.lit(CONVERTED))
@@ -211,15 +212,17 @@ def _of(found: DataFrame, slices: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str, version: int | None = None, converted: str | None = None) -> DataFrame:
     """The rows of the dataset as it was at ``version``."""
-    return _of(rows(spark, path, converted), _live(spark, path, version)).drop("version", "slice")
+    log = _log(spark, path)
+    return _of(rows(spark, path, converted, log), _live(spark, path, version, log)).drop("version", "slice")
 
 
 def may_hold(spark: SparkSession, path: str, column: str, low, high, version: int | None = None) -> DataFrame:
     """Live slices that can hold a value of ``column`` from ``low`` to ``high``; those without statistics of it are among them."""
-    kind = _merged(spark, path, converted=True)[column].dataType
+    log = _log(spark, path)
+    kind = _merged(spark, path, converted=True, log=log)[column].dataType
     least, greatest = c("least")[column].cast(kind), c("greatest")[column].cast(kind)
     known = F.map_contains_key("least", column)  # a known range of nothing but nulls holds no value
-    return _live(spark, path, version).where(~known | ((least <= F.lit(high)) & (greatest >= F.lit(low))))
+    return _live(spark, path, version, log).where(~known | ((least <= F.lit(high)) & (greatest >= F.lit(low))))
 
 
 def read_between(spark: SparkSession, path: str, column: str, low, high, version: int | None = None) -> DataFrame:
