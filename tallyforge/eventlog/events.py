@@ -36,9 +36,11 @@ def _marked(lines: DataFrame) -> DataFrame:
 
 
 def _with_stop(lines: DataFrame) -> DataFrame:
+    """Lines with the first corrupt line of their file. The stops, one small row for each corrupt file, go to the lines:
+    the text of the log is not shuffled."""
     marked = _marked(lines)
     stops = marked.where(c("bad")).groupBy("app_key", "file").agg(F.min("line_id").alias("stop"))
-    return marked.join(stops, ["app_key", "file"], "left")
+    return marked.join(F.broadcast(stops), ["app_key", "file"], "left")
 
 
 def clean(lines: DataFrame) -> DataFrame:
@@ -93,7 +95,7 @@ class EventLog:
     @classmethod
     def organise(cls, lines: DataFrame) -> EventLog:
         spark, path = lines.sparkSession, scratch(lines.sparkSession, "events")
-        cls(lines).lines.write.partitionBy("event").parquet(f"{path}/lines")
+        cls(lines).lines.write.partitionBy("event").option("compression", "zstd").parquet(f"{path}/lines")
         plain = cls(spark.read.parquet(f"{path}/lines"))
         return cls(plain.lines, {name: kept(fn(plain), name) for name, fn in _STORED.items()})
 
@@ -454,8 +456,12 @@ def qualification(stages: DataFrame, execs: DataFrame) -> DataFrame:
 
 
 def two_pass_tasks(log: EventLog) -> DataFrame:
-    """Task metrics of the chosen stages only: keys are cut out of the text and semi-joined before any JSON is parsed."""
-    return task_ends(EventLog(_task_end_keys(log.lines).join(deep_stages(log), STAGE, "left_semi").drop("stage_id", "attempt_id")))
+    """Task metrics of the chosen stages only: keys are cut out of the text and semi-joined before any JSON is parsed.
+
+    The chosen stages are stored first, so that Spark knows their size and need not shuffle the lines for a few keys.
+    """
+    chosen = kept(deep_stages(log), "deep-stages")
+    return task_ends(EventLog(_task_end_keys(log.lines).join(chosen, STAGE, "left_semi").drop("stage_id", "attempt_id")))
 
 
 def application_summary(log: EventLog, found: DataFrame | None = None) -> DataFrame:

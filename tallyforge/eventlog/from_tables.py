@@ -15,6 +15,7 @@ from .events import SQL_END, SQL_START, EventLog, clean, cleaning_report
 
 c = F.col
 T0 = 1_700_000_000_000
+FILE_LINES = 50_000  # gzip files can't be split, so a task that reads some of them gets a bounded number of lines
 _LOGS: dict[tuple[int, str], EventLog] = {}
 
 
@@ -107,11 +108,11 @@ def _other_lines(t) -> DataFrame:
 
 
 def event_log(t) -> EventLog:
-    """The log of the four applications: written once as text folders, read back as lines, cleaned and organised."""
+    """The log of the four applications: written once as folders of gzip text, read back as lines, cleaned and organised."""
     key = (id(t.spark), f"{shared_dir(t.spark)}|{_fingerprint(t.spark, t.sf_dir)}")
     if key not in _LOGS or _LOGS[key].lines.sparkSession is not t.spark:
         path = scratch(t.spark, "eventlog")
-        _task_lines(t).unionByName(_other_lines(t)).write.partitionBy("app").text(path)
+        _task_lines(t).unionByName(_other_lines(t)).write.partitionBy("app").option("compression", "gzip").option("maxRecordsPerFile", FILE_LINES).text(path)
         lines = read_lines(t.spark, path).withColumn("app_key", F.regexp_replace("app_key", "^app=", ""))
         _LOGS[key] = EventLog.organise(clean(lines))
         _LOGS[key].tables["corrupt"] = kept(cleaning_report(lines).where(c("corrupt")), "corrupt")

@@ -144,3 +144,39 @@ def test_findings_by_code_are_those_of_all_rules(spark):
     whole = sorted(map(tuple, E.findings(log).collect()))
     for code in {row[2] for row in whole}:
         assert sorted(map(tuple, E.findings(log, codes=(code,)).collect())) == [row for row in whole if row[2] == code]
+
+
+def test_lines_are_not_shuffled_and_the_written_log_is_short(spark, tmp_path):
+    from tallyforge.eventlog import from_tables
+    from tallyforge.session import work_dir
+    from tallyforge.sources.tables import Tables
+
+    frame = _log(spark, ['{"Event":"A"}', '{"Event":"B', '{"Event":"C"}'])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with a log whose size Spark can't tell
+    try:
+        for table in (E.clean, E.cleaning_report):
+            assert "SortMergeJoin" not in table(frame)._jdf.queryExecution().executedPlan().toString()
+        assert [r.line_id for r in E.clean(frame).collect()] == [1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+    def table(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    flat = lambda prefix: f"{prefix}key long"
+    for name in ("nation", "customer", "part", "orders"):
+        table(name, [(1,)], flat(name[0]))
+    table("region", [(1,)], "r_regionkey long")
+    table("supplier", [(k, "s") for k in range(1, 5)], "s_suppkey long, s_name string")
+    table("lineitem", [(o, p, p % 4, n, float(n), 1.0, "A", "O") for o in range(50) for n, p in ((1, o), (2, o + 81))],
+          "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_tax double, l_returnflag string, l_linestatus string")
+    before = from_tables.FILE_LINES
+    from_tables.FILE_LINES = 20
+    try:
+        log = from_tables.event_log(Tables(spark, str(tmp_path)))
+        sources = spark.read.text(f"{work_dir(spark)}/eventlog-*/app=*").selectExpr("_metadata.file_path AS file").groupBy("file").count().collect()
+    finally:
+        from_tables.FILE_LINES = before
+    assert log.lines.where("event = 'SparkListenerTaskEnd'").count() == 100
+    assert all(r.file.endswith(".gz") and r["count"] <= 20 for r in sources)
+    assert all(".zstd." in f for f in log.lines.inputFiles())
