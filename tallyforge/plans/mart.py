@@ -54,32 +54,38 @@ def month_key(day: Column) -> Column:
 
 
 def line_facts(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
-    """One row per (order, part) with amounts, returned part and order data."""
-    price = c("l_extendedprice").cast("decimal(12,2)")
-    off = price * c("l_discount").cast("decimal(4,2)")
-    back = c("l_returnflag") == "R"
-    qty = c("l_quantity").cast("long")
-    totals = lineitem.groupBy("l_orderkey", "l_partkey").agg(
+    """One row per (order, part) with amounts, returned part and order data.
+
+    The lines are dealt by order once, in short exact types: totals and the join with the orders both use that layout.
+    """
+    lines = lineitem.where(c("l_orderkey").isNotNull()).select(
+        "l_orderkey", "l_partkey", "l_suppkey", c("l_quantity").cast("long").alias("qty"), c("l_extendedprice").cast("decimal(12,2)").alias("price"),
+        c("l_discount").cast("decimal(4,2)").alias("discount"), c("l_tax").cast("decimal(4,2)").alias("tax"), (c("l_returnflag") == "R").alias("back"))
+    price, qty, back = c("price"), c("qty"), c("back")
+    off, tax = price * c("discount"), price * c("tax")
+    totals = lines.repartition("l_orderkey").groupBy("l_orderkey", "l_partkey").agg(
         F.min("l_suppkey").alias("supp"),
         F.sum(qty).alias("quantity"),
         cents(F.sum(price)).alias("ext_list_price"),
         cents(F.sum(off)).alias("ext_discount_amt"),
-        cents(F.sum(price * c("l_tax").cast("decimal(4,2)"))).alias("ext_tax"),
+        cents(F.sum(tax)).alias("ext_tax"),
         F.sum(F.when(back, qty)).alias("return_quantity"),
         cents(F.sum(F.when(back, price - off))).alias("return_amt"),
-        cents(F.sum(F.when(back, price * c("l_tax").cast("decimal(4,2)")))).alias("return_tax"),
+        cents(F.sum(F.when(back, tax))).alias("return_tax"),
     )
     heads = orders.select("o_orderkey", "o_custkey", c("o_orderdate").cast("date").alias("sold"))
     return totals.join(heads, totals.l_orderkey == heads.o_orderkey)
 
 
 def sales_fact(lines: DataFrame) -> DataFrame:
+    """Sales laid out by channel and month; columns that follow from others are added after the shuffle."""
+    lines = spread(lines.withColumn("channel_no", c("l_orderkey") % 3).withColumn("sold_month", month_key(c("sold"))), ("channel_no", "sold_month"))
     order, part, supp, cust = c("l_orderkey"), c("l_partkey"), c("supp"), c("o_custkey")
     sold_sk = F.datediff("sold", F.lit(EPOCH).cast("date"))
     named = lines.select(
         order.alias("order_number"), part.alias("item_sk"), cust.alias("customer_sk"),
-        pick(("store", "catalog", "web"), order % 3).alias("channel"),
-        sold_sk.alias("sold_date_sk"), month_key(c("sold")).alias("sold_month"),
+        pick(("store", "catalog", "web"), c("channel_no")).alias("channel"),
+        sold_sk.alias("sold_date_sk"), "sold_month",
         ((part * 37 + order * 11) % 1440).cast("int").alias("sold_time_sk"),
         (sold_sk + (part * 7) % 150).cast("int").alias("ship_date_sk"),
         F.when(order % 3 != 0, supp % 6).when(order % 50 != 0, supp).alias("site_sk"),
@@ -105,25 +111,31 @@ def sales_fact(lines: DataFrame) -> DataFrame:
 
 
 def returns_fact(sales: DataFrame) -> DataFrame:
-    """Returned part of each sale; read off the finished sales, so line items are shuffled once."""
+    """Returned part of each sale, laid out by channel and month; read off the finished sales, so line items are shuffled once."""
     order, part = c("order_number"), c("item_sk")
     day = F.date_add(F.lit(EPOCH).cast("date"), (c("sold_date_sk") + part % 150).cast("int"))
-    named = sales.where(c("back_quantity") > 0).select(
+    back = sales.where(c("back_quantity") > 0).select(
         order, part, "customer_sk", "channel", F.datediff(day, F.lit(EPOCH).cast("date")).alias("returned_date_sk"),
-        month_key(day).alias("returned_month"), "site_sk", "page_sk", (part % 10).alias("reason_sk"),
-        (c("customer_sk") % 140).alias("cdemo_sk"), "hdemo_sk", ((order + 3) % 25).alias("addr_sk"),
-        c("back_quantity").alias("return_quantity"), c("back_amt").alias("return_amt"), c("back_tax").alias("return_tax"),
-        cents(c("back_quantity") * F.lit("0.5").cast("decimal(2,1)")).alias("fee"),
-        cents(c("back_amt") * F.lit("0.8").cast("decimal(2,1)")).alias("refunded_cash"),
+        month_key(day).alias("returned_month"), "site_sk", "page_sk", "hdemo_sk",
+        c("back_quantity").alias("return_quantity"), c("back_amt").alias("return_amt"), c("back_tax").alias("return_tax"))
+    named = spread(back, FACTS["returns"]).select(
+        order, part, "customer_sk", "channel", "returned_date_sk", "returned_month", "site_sk", "page_sk", (part % 10).alias("reason_sk"),
+        (c("customer_sk") % 140).alias("cdemo_sk"), "hdemo_sk", ((order + 3) % 25).alias("addr_sk"), "return_quantity", "return_amt", "return_tax",
+        cents(c("return_quantity") * F.lit("0.5").cast("decimal(2,1)")).alias("fee"),
+        cents(c("return_amt") * F.lit("0.8").cast("decimal(2,1)")).alias("refunded_cash"),
     )
     return named.withColumn(
         "net_loss", cents(c("return_amt") - c("refunded_cash") + c("fee")))
 
 
 def inventory_fact(sales: DataFrame) -> DataFrame:
-    """Stock per item, warehouse and day, taken as the pieces moved that day."""
-    return sales.groupBy("item_sk", "warehouse_sk", c("sold_date_sk").alias("date_sk"),
-                         c("sold_month").alias("month")).agg(F.sum("quantity").alias("quantity_on_hand"))
+    """Stock per item, warehouse and day, taken as the pieces moved that day.
+
+    Ranges of days serve the sums and the month folders, so the rows are shuffled once; a busy day is cut by item.
+    """
+    moved = sales.select("item_sk", "warehouse_sk", c("sold_date_sk").alias("date_sk"), c("sold_month").alias("month"), "quantity")
+    ranges = moved.repartitionByRange("month", "date_sk", "item_sk", "warehouse_sk")
+    return ranges.groupBy("item_sk", "warehouse_sk", "date_sk", "month").agg(F.sum("quantity").alias("quantity_on_hand"))
 
 
 def calendar(spark: SparkSession) -> DataFrame:
@@ -246,13 +258,14 @@ def load_star_schema(spark: SparkSession, sf_dir: str, target: str) -> None:
 
     REBALANCE lets adaptive execution cut big (channel, month) slices into several
     tasks and merge small ones, so neither a hot month nor a small test writes badly.
+    Facts come laid out by their own functions.
     """
     lines = line_facts(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
     small = dimensions(spark, sf_dir)
 
     def write(name: str) -> None:
-        frame = small[name].hint("rebalance") if name in small else spread(facts[name], FACTS[name])
-        frame.write.partitionBy(*FACTS.get(name, ())).parquet(f"{target}/{name}")
+        frame = small[name].hint("rebalance") if name in small else facts[name]
+        frame.write.partitionBy(*FACTS.get(name, ())).option("compression", "zstd").parquet(f"{target}/{name}")
 
     with ThreadPoolExecutor(4) as pool:  # independent writes share the cluster
         facts = {"sales": sales_fact(lines)}

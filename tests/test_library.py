@@ -347,3 +347,25 @@ def test_stages_without_operators_stay_in_the_qualification(spark):
     key = lambda r: (r[0] or "", r[1])
     assert sorted(map(tuple, got.collect()), key=key) == [(None, 1, 5, 1, 1), ("a", 1, 50, 2, 2), ("a", 2, 70, 1, 0), ("a", 3, None, 4, 0), ("a", 10, 50, 3, 0), ("b", 1, 50, 1, 0)]
     assert "windowspecdefinition(app" not in _plan(got)  # only one row for each range of the sorted table is in a window
+
+
+def test_the_load_moves_lines_once_and_narrow(spark):
+    """Line items and orders are dealt by order once; sales are laid out before the columns that follow from others."""
+    from tallyforge.plans import mart
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        lines = mart.line_facts(spark.read.parquet(f"{SF}/lineitem.parquet"), spark.read.parquet(f"{SF}/orders.parquet"))
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(l_orderkey") + plan.count("Exchange hashpartitioning(o_orderkey") == plan.count("Exchange ") == 2
+        sales = mart.sales_fact(lines)
+        top = sales._jdf.queryExecution().optimizedPlan()
+        while top.nodeName() != "RebalancePartitions":
+            top = top.children().head()
+        assert top.output().size() <= 14 < len(sales.columns)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    stock = mart.inventory_fact(sales)._jdf.queryExecution().optimizedPlan()
+    while stock.nodeName() != "RepartitionByExpression":
+        stock = stock.children().head()
+    assert stock.output().size() == 5
