@@ -369,3 +369,40 @@ def test_the_load_moves_lines_once_and_narrow(spark):
     while stock.nodeName() != "RepartitionByExpression":
         stock = stock.children().head()
     assert stock.output().size() == 5
+
+
+def test_single_words_are_not_shuffled(spark):
+    """Texts are dealt by their key; counts need no further shuffle, and a null key is a key."""
+    texts = ml.clean_texts(spark.createDataFrame([(1, "red fox red"), (1, "fox"), (None, "dog"), (None, "dog")], "id int, text string"))
+    counts = ml.term_counts(texts, "id")
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert {tuple(r) for r in counts.collect()} == {(1, "red", 2), (1, "fox", 2), (None, "dog", 2)}
+    words = ml.dictionary(counts, texts)
+    got = ml.term_vectors(texts.select("id"), counts, words, "id").collect()
+    assert sorted((r.id is None, sorted(r.tf.values)) for r in got) == [(False, [2.0, 2.0])] * 2 + [(True, [2.0])] * 2
+
+
+def test_pages_are_written_by_many_tasks(spark):
+    rows = QUERIES["src_10_whole_texts"](spark, SF)
+    folder = {f.rsplit("/", 1)[0] for f in rows.inputFiles()}
+    assert len(folder) == 1 and len({re.search(r"part-(\d+)", f).group(1) for f in rows.inputFiles()}) > 8
+    assert rows.count() == spark.read.parquet(f"{SF}/pages.parquet").count()
+
+
+def test_versions_stream_into_open_files(spark, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    seen, write, name = [], DataFrameWriter.parquet, "spark.sql.maxConcurrentOutputFileWriters"
+
+    def parquet(self, path, *more, **named):
+        if "/rows/version=" in path:
+            seen.append(spark.conf.get(name))
+        return write(self, path, *more, **named)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    path, before = scratch(spark, "versions"), spark.conf.get(name)
+    V.write_version(spark.range(100).withColumn("k", c("id") % 20), path, datetime(2024, 1, 1), partition_by=("k",))  # more values than open files
+    V.write_version(spark.range(100, 200).withColumn("k", c("id") % 20), path, datetime(2024, 1, 2), partition_by=("k",))
+    V.compact(spark, path, datetime(2024, 1, 3), None, ("k",))
+    assert seen == [str(V.OPEN_FILES)] * 3 and spark.conf.get(name) == before
+    assert sorted(r.id for r in V.read(spark, path).collect()) == list(range(200))
