@@ -41,7 +41,9 @@ BANDS, ROWS = 32, 4
 SLACK = 0.2
 #: Further minima for documents that are still apart in a bucket, how far these may fall below, and documents in a block.
 FINE, FINE_SLACK = 1024, 0.075
-BLOCK = 128
+BLOCK = 2048
+#: Rows of a pair of blocks that are compared with all others at once.
+STRIP = 256
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FACTORS, _TERMS = (np.random.default_rng(seed).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (11, 12))
@@ -160,14 +162,14 @@ def fine(whole: DataFrame, k: int) -> DataFrame:
     return batches(whole, rows, "doc_id long, mark binary", pa.schema([("doc_id", pa.int64()), ("mark", pa.binary())]))
 
 
-def close_pairs(marks: np.ndarray, keys: np.ndarray, band: int, allowed: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the allowed pairs that are close by their first 128 minima, then by all.
+def close_pairs(marks: np.ndarray, keys: np.ndarray, band: int, allowed: np.ndarray, similarity: float, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the allowed pairs that are close by their first 128 minima, then by all; the first row of ``allowed`` is place ``start``.
 
     Pairs that share a bucket of an earlier band are left to that one.
     """
     first = np.ascontiguousarray(marks[:, :BANDS * ROWS])
     x, y = np.nonzero(allowed)
-    out = []
+    x, out = x + start, []
     for at in range(0, len(x), 1 << 14):
         i, j = x[at:at + (1 << 14)], y[at:at + (1 << 14)]
         close = (first[i] == first[j]).sum(axis=1) >= BANDS * ROWS * (similarity - SLACK)
@@ -181,26 +183,34 @@ def close_pairs(marks: np.ndarray, keys: np.ndarray, band: int, allowed: np.ndar
 _MEMBER = ["key", "i", "j", "doc_id", "component", "part", "mark"]
 
 
-def across(members: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of different components from members (key, n, doc_id, component, mark) of buckets, compared block by block."""
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Members of buckets with the pairs (i, j) of blocks they belong to; a bucket of up to BLOCK members is one block, and no row is copied."""
     parts = F.ceil(c("n") / BLOCK).cast("int")
     placed = members.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id", "key"), c("parts")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), c("parts") - 1)))
-    blocks = (spread.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).select(*_MEMBER)
-              .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"))
+    return spread.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).select(*_MEMBER)
+
+
+def across(members: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of different components from members (key, n, doc_id, component, mark) of buckets, compared block by block."""
+    blocks = in_blocks(members).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compared(rows: pa.Table, lo: int, hi: int, name: np.ndarray) -> np.ndarray:
         own = rows.slice(lo, hi - lo)
         ids, component, part = (own.column(x).to_numpy() for x in ("doc_id", "component", "part"))
-        allowed = (component[:, None] != component[None, :]) & (ids[:, None] < ids[None, :])
-        if name[1] != name[2]:
-            allowed &= part[:, None] != part[None, :]
-        if not allowed.any():
+        if (component == component[0]).all():
             return np.empty((0, 2), dtype=np.int64)
         both = np.frombuffer(b"".join(own.column("mark").to_pylist()), dtype=np.uint8).reshape(-1, FINE + 8 * BANDS)
         keys = np.ascontiguousarray(both[:, FINE:]).view(np.int64)
-        x, y = close_pairs(both[:, :FINE], keys, int(np.argmax(keys[0] == name[0])), allowed, similarity)
-        return np.column_stack([ids[x], ids[y]])
+        band, found = int(np.argmax(keys[0] == name[0])), []
+        for at in range(0, len(ids), STRIP):
+            some = slice(at, at + STRIP)
+            allowed = (component[some, None] != component[None, :]) & (ids[some, None] < ids[None, :])
+            if name[1] != name[2]:
+                allowed &= part[some, None] != part[None, :]
+            x, y = close_pairs(both[:, :FINE], keys, band, allowed, similarity, at)
+            found.append(np.column_stack([ids[x], ids[y]]))
+        return np.concatenate(found)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None

@@ -673,3 +673,27 @@ def test_whole_copies_odd_rows(spark):
     out = line_chunks.without_copies(frame, frame)
     assert out.columns == frame.columns and sorted(str(r.doc_id) for r in out.collect()) == ["1", "3", "3", "4", "5", "None"]
     assert line_chunks.without_copies(frame.where("doc_id > 1"), frame).where("doc_id = 2").count() == 1
+
+
+def test_members_of_a_large_bucket_are_not_copied(spark, monkeypatch):
+    """1,500 documents in one bucket: a row each, and the pairs are those of small blocks."""
+    import numpy as np
+
+    from tallyforge.llm import near_dups as N
+
+    random = np.random.default_rng(5)
+    base = random.integers(0, 256, (300, N.FINE), dtype=np.uint8)
+    key = np.array([77], dtype=np.int64)
+    rows = []
+    for d in range(1500):
+        mark = base[d % 300].copy()
+        mark[random.integers(0, N.FINE, 40)] ^= 1
+        keys = random.integers(1 << 40, 1 << 60, N.BANDS, dtype=np.int64)
+        keys[3] = key[0]
+        rows.append((77, 1500, d, d // 600 * 600, mark.tobytes() + keys.tobytes()))
+    members = spark.createDataFrame(rows, "key long, n long, doc_id long, component long, mark binary").repartition(4)
+    assert N.in_blocks(members).count() == 1500
+    pairs = lambda: {(r.a, r.b) for r in N.across(members, 0.8).collect()}
+    whole = pairs()
+    monkeypatch.setattr(N, "BLOCK", 100)
+    assert whole == pairs() == {(a, b) for a in range(1500) for b in range(a + 300, 1500, 300) if a // 600 != b // 600}
