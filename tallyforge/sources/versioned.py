@@ -33,6 +33,8 @@ _SLICE = "version int, kind string, slice string, bytes long, records long, part
 CONVERTED = "converted"
 #: Up to so many slices are named in the filter of a read; up to the second number they are broadcast; beyond it, joined by a shuffle.
 MAX_NAMED_SLICES, MAX_BROADCAST_SLICES = 10_000, 1_000_000
+#: Files that a task writes side by side; rows are put in order of their slice only where a task has more of them.
+OPEN_FILES = 8
 #: Types whose least and greatest value the footers hold in full.
 _WITH_RANGE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DateType, T.BooleanType)
 
@@ -60,10 +62,13 @@ def _next(spark: SparkSession, path: str) -> int:
     return max([r.version for r in _log(spark, path)], default=-1) + 1
 
 
-@contextmanager
-def footers(spark: SparkSession, push_down: bool = True) -> Iterator[None]:
+def footers(spark: SparkSession, push_down: bool = True):
     """Parquet is read by the reader that answers counts, minima and maxima from footers."""
-    wanted = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": str(push_down).lower()}
+    return _set(spark, {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": str(push_down).lower()})
+
+
+@contextmanager
+def _set(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
     before = {k: spark.conf.get(k, None) for k in wanted}
     try:
         for k, v in wanted.items():
@@ -122,10 +127,14 @@ def _note(spark: SparkSession, path: str, version: int, operation: str, committe
 
 
 def _write_rows(frame: DataFrame, path: str, version: int, name: Column, partition_by: tuple[str, ...], *leave_out: str) -> None:
-    """Write rows below ``version``; ``name`` tells the slice, and each (slice, partition values) is one file."""
+    """Write rows below ``version``; ``name`` tells the slice, and each (slice, partition values) is one file.
+
+    A task streams its rows into a few open files, so it doesn't hold a whole file's rows in memory to sort them by slice.
+    """
     inside = F.concat(F.lit("h"), F.hex(F.xxhash64(*partition_by))) if partition_by else F.lit("")
     marked = frame.withColumn("slice", F.concat(F.lit(f"v{version}"), name, inside)).drop(*leave_out)
-    marked.write.mode("overwrite").partitionBy(*partition_by, "slice").parquet(f"{path}/rows/version={version}")
+    with _set(frame.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": str(OPEN_FILES)}):
+        marked.write.mode("overwrite").partitionBy(*partition_by, "slice").parquet(f"{path}/rows/version={version}")
 
 
 def _publish(spark: SparkSession, path: str, version: int, operation: str, committed: datetime, schema: T.StructType, partition_by: tuple[str, ...]) -> int:
