@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import millis_to_iso, nested_text, properties_map, ratio_or_zero, tolerant_int, unwrap_envelope
 from ..operators.ordered import match, medians, with_group_position
-from ..session import kept, scratch
+from ..session import kept, open_writers, scratch
 from . import rules
 
 c = F.col
@@ -25,33 +25,44 @@ STAGE = ["app_key", "stage_id", "attempt_id"]
 # ---- cleaning ----------------------------------------------------------------------------------
 
 
-def _marked(lines: DataFrame) -> DataFrame:
-    """Each line with its event text, whether it is a candidate, and whether it is corrupt."""
+def _marked(lines: DataFrame, checked: Column | None = None) -> DataFrame:
+    """Each line with its event text, whether it is a candidate, and whether it is corrupt. Where ``checked`` is false
+    the line is known to be whole, and its JSON is not parsed for that."""
+    is_json = lambda text: F.try_parse_json(text).isNotNull()
+    whole = is_json if checked is None else lambda text: F.when(checked, is_json(text)).otherwise(True)
     event = unwrap_envelope(c("value"))
     wrapped = F.trim("value").contains('"log"') & ~F.trim("value").startswith('{"Event":')
-    broken_envelope = wrapped & F.try_parse_json("value").isNull()
-    rows = lines.withColumn("event", event).withColumn("broken", broken_envelope)
+    rows = lines.withColumn("event", event).withColumn("broken", wrapped & ~whole("value"))
     candidate = ~c("broken") & c("event").startswith('{"Event":')
-    return rows.withColumn("candidate", candidate).withColumn("bad", c("broken") | (candidate & F.try_parse_json("event").isNull()))
+    return rows.withColumn("candidate", candidate).withColumn("bad", c("broken") | (candidate & ~whole("event")))
 
 
-def _with_stop(lines: DataFrame) -> DataFrame:
+def corrupt_files(lines: DataFrame) -> DataFrame:
+    """Files that hold a corrupt line, a row each."""
+    return _marked(lines).where(c("bad")).select("app_key", "file").distinct()
+
+
+def _with_stop(lines: DataFrame, corrupt: DataFrame | None = None) -> DataFrame:
     """Lines with the first corrupt line of their file. The stops, one small row for each corrupt file, go to the lines:
-    the text of the log is not shuffled."""
-    marked = _marked(lines)
+    the text of the log is not shuffled. Where ``corrupt`` names the corrupt files, only their lines are parsed again."""
+    if corrupt is None:
+        marked = _marked(lines)
+    else:
+        named = lines.join(F.broadcast(corrupt.withColumn("_corrupt", F.lit(True))), ["app_key", "file"], "left")
+        marked = _marked(named, c("_corrupt").isNotNull()).drop("_corrupt")
     stops = marked.where(c("bad")).groupBy("app_key", "file").agg(F.min("line_id").alias("stop"))
     return marked.join(F.broadcast(stops), ["app_key", "file"], "left")
 
 
-def clean(lines: DataFrame) -> DataFrame:
+def clean(lines: DataFrame, corrupt: DataFrame | None = None) -> DataFrame:
     """Valid events before the first corrupt line of their file."""
-    kept = _with_stop(lines).where(c("candidate") & ~c("bad") & (c("stop").isNull() | (c("line_id") < c("stop"))))
+    kept = _with_stop(lines, corrupt).where(c("candidate") & ~c("bad") & (c("stop").isNull() | (c("line_id") < c("stop"))))
     return kept.select("app_key", "file", "line_id", c("event").alias("value"))
 
 
-def cleaning_report(lines: DataFrame) -> DataFrame:
+def cleaning_report(lines: DataFrame, corrupt: DataFrame | None = None) -> DataFrame:
     """Per file: lines read up to the stop, candidates, events kept, lines skipped, stop line."""
-    read = _with_stop(lines).where(c("stop").isNull() | (c("line_id") <= c("stop")))
+    read = _with_stop(lines, corrupt).where(c("stop").isNull() | (c("line_id") <= c("stop")))
     count = lambda cond, name: F.sum(F.when(cond, 1).otherwise(0)).alias(name)
     out = read.groupBy("app_key", "file").agg(
         F.count("*").alias("input_lines"), count(c("candidate"), "candidates"), count(c("candidate") & ~c("bad"), "output_events"),
@@ -95,9 +106,10 @@ class EventLog:
     @classmethod
     def organise(cls, lines: DataFrame) -> EventLog:
         spark, path = lines.sparkSession, scratch(lines.sparkSession, "events")
-        cls(lines).lines.write.partitionBy("event").option("compression", "zstd").parquet(f"{path}/lines")
+        with open_writers(spark):
+            cls(lines).lines.write.partitionBy("event").option("compression", "zstd").parquet(f"{path}/lines")
         plain = cls(spark.read.parquet(f"{path}/lines"))
-        return cls(plain.lines, {name: kept(fn(plain), name) for name, fn in _STORED.items()})
+        return cls(plain.lines, {name: kept(fn(plain), name, compression="zstd") for name, fn in _STORED.items()})
 
 
 def of_type(log: EventLog, name: str, schema: str) -> DataFrame:

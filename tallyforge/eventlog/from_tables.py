@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.mart import _fingerprint
-from ..session import kept, scratch, shared_dir
+from ..session import kept, open_writers, scratch, shared_dir
 from ..sources.files import read_lines
-from .events import SQL_END, SQL_START, EventLog, clean, cleaning_report
+from .events import SQL_END, SQL_START, EventLog, clean, cleaning_report, corrupt_files
 
 c = F.col
 T0 = 1_700_000_000_000
@@ -112,8 +112,11 @@ def event_log(t) -> EventLog:
     key = (id(t.spark), f"{shared_dir(t.spark)}|{_fingerprint(t.spark, t.sf_dir)}")
     if key not in _LOGS or _LOGS[key].lines.sparkSession is not t.spark:
         path = scratch(t.spark, "eventlog")
-        _task_lines(t).unionByName(_other_lines(t)).write.partitionBy("app").option("compression", "gzip").option("maxRecordsPerFile", FILE_LINES).text(path)
+        with open_writers(t.spark):
+            _task_lines(t).unionByName(_other_lines(t)).write.partitionBy("app").option("compression", "gzip").option("maxRecordsPerFile", FILE_LINES).text(path)
         lines = read_lines(t.spark, path).withColumn("app_key", F.regexp_replace("app_key", "^app=", ""))
-        _LOGS[key] = EventLog.organise(clean(lines))
-        _LOGS[key].tables["corrupt"] = kept(cleaning_report(lines).where(c("corrupt")), "corrupt")
+        corrupt = kept(corrupt_files(lines), "corrupt-files")
+        _LOGS[key] = EventLog.organise(clean(lines, corrupt))
+        in_corrupt = lines.join(F.broadcast(corrupt), ["app_key", "file"], "left_semi")
+        _LOGS[key].tables["corrupt"] = kept(cleaning_report(in_corrupt, corrupt).where(c("corrupt")), "corrupt")
     return _LOGS[key]

@@ -180,3 +180,28 @@ def test_lines_are_not_shuffled_and_the_written_log_is_short(spark, tmp_path):
     assert log.lines.where("event = 'SparkListenerTaskEnd'").count() == 100
     assert all(r.file.endswith(".gz") and r["count"] <= 20 for r in sources)
     assert all(".zstd." in f for f in log.lines.inputFiles())
+
+
+def test_only_corrupt_files_are_parsed_again(spark):
+    good, bad = '{"Event":"SparkListenerLogStart","Spark Version":"3.5.0"}', '{"Event":"Broken'
+    texts = {"events_1": [good, json.dumps({"log": good}), "noise", good], "events_2": [good, bad, good, bad], "events_3": ['{"log" broken', good], "events_4": [good, "", good]}
+    rows = [("app", file, i, text) for file, some in texts.items() for i, text in enumerate(some, 1)]
+    frame = spark.createDataFrame(rows, "app_key string, file string, line_id long, value string")
+    corrupt = E.corrupt_files(frame)
+    assert {r.file for r in corrupt.collect()} == {"events_2", "events_3"}
+    for table in (E.clean, E.cleaning_report):
+        assert sorted(map(tuple, table(frame, corrupt).collect()), key=repr) == sorted(map(tuple, table(frame).collect()), key=repr)
+    unchecked = frame.limit(0).select("app_key", "file")  # no file is named, so no line's JSON is checked
+    assert E.clean(frame, unchecked).where("file = 'events_2'").count() == 4
+
+
+def test_lines_are_not_sorted_to_be_stored_by_event(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    key, seen, plain = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.partitionBy
+    before = spark.conf.get(key)
+    monkeypatch.setattr(DataFrameWriter, "partitionBy", lambda self, *names: seen.append(int(spark.conf.get(key))) or plain(self, *names))
+    log = E.EventLog.organise(_log(spark, _oom_events()))
+    assert seen == [64] and spark.conf.get(key) == before
+    assert log.lines.count() == len(_oom_events())
+    assert all(".zstd." in f for f in E.task_ends(log).inputFiles())
