@@ -42,34 +42,52 @@ def corrupt_files(lines: DataFrame) -> DataFrame:
     return _marked(lines).where(c("bad")).select("app_key", "file").distinct()
 
 
-def _with_stop(lines: DataFrame, corrupt: DataFrame | None = None) -> DataFrame:
+def _stops(marked: DataFrame) -> DataFrame:
+    """The first corrupt line of each corrupt file."""
+    return marked.where(c("bad")).groupBy("app_key", "file").agg(F.min("line_id").alias("stop"))
+
+
+def _with_stop(marked: DataFrame, stops: DataFrame | None = None) -> DataFrame:
     """Lines with the first corrupt line of their file. The stops, one small row for each corrupt file, go to the lines:
-    the text of the log is not shuffled. Where ``corrupt`` names the corrupt files, only their lines are parsed again."""
+    the text of the log is not shuffled."""
+    return marked.join(F.broadcast(_stops(marked) if stops is None else stops), ["app_key", "file"], "left")
+
+
+def _marked_in(lines: DataFrame, corrupt: DataFrame | None) -> DataFrame:
+    """Marked lines; where ``corrupt`` names the corrupt files, only the JSON of their lines is parsed."""
     if corrupt is None:
-        marked = _marked(lines)
-    else:
-        named = lines.join(F.broadcast(corrupt.withColumn("_corrupt", F.lit(True))), ["app_key", "file"], "left")
-        marked = _marked(named, c("_corrupt").isNotNull()).drop("_corrupt")
-    stops = marked.where(c("bad")).groupBy("app_key", "file").agg(F.min("line_id").alias("stop"))
-    return marked.join(F.broadcast(stops), ["app_key", "file"], "left")
+        return _marked(lines)
+    named = lines.join(F.broadcast(corrupt.withColumn("_corrupt", F.lit(True))), ["app_key", "file"], "left")
+    return _marked(named, c("_corrupt").isNotNull()).drop("_corrupt")
 
 
-def clean(lines: DataFrame, corrupt: DataFrame | None = None) -> DataFrame:
-    """Valid events before the first corrupt line of their file."""
-    kept = _with_stop(lines, corrupt).where(c("candidate") & ~c("bad") & (c("stop").isNull() | (c("line_id") < c("stop"))))
-    return kept.select("app_key", "file", "line_id", c("event").alias("value"))
+def _valid(stopped: DataFrame) -> DataFrame:
+    return stopped.where(c("candidate") & ~c("bad") & (c("stop").isNull() | (c("line_id") < c("stop"))))
 
 
-def cleaning_report(lines: DataFrame, corrupt: DataFrame | None = None) -> DataFrame:
-    """Per file: lines read up to the stop, candidates, events kept, lines skipped, stop line."""
-    read = _with_stop(lines, corrupt).where(c("stop").isNull() | (c("line_id") <= c("stop")))
+def _skipped() -> Column:
+    return ~c("candidate") & ~c("bad") & (F.trim("value") != "")
+
+
+def _report(stopped: DataFrame) -> DataFrame:
+    read = stopped.where(c("stop").isNull() | (c("line_id") <= c("stop")))
     count = lambda cond, name: F.sum(F.when(cond, 1).otherwise(0)).alias(name)
     out = read.groupBy("app_key", "file").agg(
         F.count("*").alias("input_lines"), count(c("candidate"), "candidates"), count(c("candidate") & ~c("bad"), "output_events"),
-        count(~c("candidate") & ~c("bad") & (F.trim("value") != ""), "skipped"), F.max(c("stop").isNotNull()).alias("corrupt"))
+        count(c("noise"), "skipped"), F.max(c("stop").isNotNull()).alias("corrupt"))
     return out.withColumn("stopped_at_line", F.when(c("corrupt"), c("input_lines")))
 
 
+def clean(lines: DataFrame, corrupt: DataFrame | None = None) -> DataFrame:
+    """Valid events before the first corrupt line of their file."""
+    return _valid(_with_stop(_marked_in(lines, corrupt))).select("app_key", "file", "line_id", c("event").alias("value"))
+
+
+def cleaning_report(lines: DataFrame, corrupt: DataFrame | None = None) -> DataFrame:
+    """Per file: lines read up to the stop, candidates, events kept, lines skipped, stop line."""
+    return _report(_with_stop(_marked_in(lines, corrupt)).withColumn("noise", _skipped()))
+
+
 def merged_order(lines: DataFrame) -> DataFrame:
     """Lines of an application in file-name order: the file number first, then the name."""
     number = F.coalesce(F.regexp_extract("file", r"^events_(\d+)(?:_|$)", 1).try_cast("long"), F.lit(10**9))
@@ -105,15 +123,40 @@ class EventLog:
 
     @classmethod
     def organise(cls, lines: DataFrame) -> EventLog:
+        """Clean lines, stored by event, and the tables parsed from them."""
+        return cls._parsed(cls._stored(cls(lines).lines))
+
+    @classmethod
+    def read(cls, lines: DataFrame) -> EventLog:
+        """Raw lines, cleaned and organised; the table ``corrupt`` is the cleaning report of the corrupt files.
+
+        The text is read, and the JSON of each line checked, once: lines are stored by event with what the check found, and
+        those from the first corrupt line of a file on are left out when they are read.
+        """
+        marked = cls(_marked(lines).select("app_key", "file", "line_id", c("event").alias("value"), "candidate", "bad", _skipped().alias("noise")))
+        stored = cls._stored(marked.lines)
+        stops = kept(_stops(stored), "stops", compression="zstd")
+        log = cls._parsed(_valid(_with_stop(stored, stops)).select("app_key", "file", "line_id", "value", "event"))
+        in_corrupt = stored.join(F.broadcast(stops), ["app_key", "file"])
+        log.tables["corrupt"] = kept(_report(in_corrupt), "corrupt")
+        return log
+
+    @staticmethod
+    def _stored(lines: DataFrame) -> DataFrame:
         spark, path = lines.sparkSession, scratch(lines.sparkSession, "events")
         with open_writers(spark):
-            cls(lines).lines.write.partitionBy("event").option("compression", "zstd").parquet(f"{path}/lines")
-        plain = cls(spark.read.parquet(f"{path}/lines"))
-        return cls(plain.lines, {name: kept(fn(plain), name, compression="zstd") for name, fn in _STORED.items()})
+            lines.write.partitionBy("event").option("compression", "zstd").parquet(f"{path}/lines")
+        return spark.read.parquet(f"{path}/lines")
+
+    @classmethod
+    def _parsed(cls, lines: DataFrame) -> EventLog:
+        plain = cls(lines)
+        return cls(lines, {name: kept(fn(plain), name, compression="zstd") for name, fn in _STORED.items()})
 
 
 def of_type(log: EventLog, name: str, schema: str) -> DataFrame:
-    parsed = log.lines.where(c("event") == name).select("app_key", F.from_json("value", schema).alias("e"))
+    """Fields of the events of one name. Conditions on them stay behind the explode, so that a line is not parsed again for each."""
+    parsed = log.lines.where(c("event") == name).select("app_key", F.explode(F.array(F.from_json("value", schema))).alias("e"))
     return parsed.select("app_key", "e.*")
 
 
@@ -215,9 +258,9 @@ def task_ends(log: EventLog) -> DataFrame:
     read = lambda name: tolerant_int(c(f"Task Metrics.Shuffle Read Metrics.{name}"))
     why = c("Task End Reason")
     reason = F.coalesce(F.get_json_object(why, "$.Reason"), F.get_json_object(why, "$['Class Name']"), F.lit("Unknown"))
-    return tasks.select(
-        "app_key", _number("Stage ID", -1).alias("stage_id"), _number("Stage Attempt ID").alias("attempt_id"), reason.alias("reason"),
-        (~reason.isin(*rules.SUCCESS_REASONS)).alias("failed"),
+    return tasks.withColumn("reason", reason).select(
+        "app_key", _number("Stage ID", -1).alias("stage_id"), _number("Stage Attempt ID").alias("attempt_id"), "reason",
+        (~c("reason").isin(*rules.SUCCESS_REASONS)).alias("failed"),
         nested_text(why).alias("text"),
         metric("Executor Run Time").alias("run_ms"), metric("JVM GC Time").alias("gc_ms"), metric("Shuffle Read Metrics.Fetch Wait Time").alias("fetch_wait_ms"),
         metric("Memory Bytes Spilled").alias("spill_memory"), metric("Disk Bytes Spilled").alias("spill_disk"), metric("Peak Execution Memory").alias("peak_memory"),

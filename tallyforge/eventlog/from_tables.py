@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.mart import _fingerprint
-from ..session import kept, open_writers, scratch, shared_dir
+from ..session import open_writers, scratch, shared_dir
 from ..sources.files import read_lines
-from .events import SQL_END, SQL_START, EventLog, clean, cleaning_report, corrupt_files
+from .events import SQL_END, SQL_START, EventLog
 
 c = F.col
 T0 = 1_700_000_000_000
@@ -115,8 +115,5 @@ def event_log(t) -> EventLog:
         with open_writers(t.spark):
             _task_lines(t).unionByName(_other_lines(t)).write.partitionBy("app").option("compression", "gzip").option("maxRecordsPerFile", FILE_LINES).text(path)
         lines = read_lines(t.spark, path).withColumn("app_key", F.regexp_replace("app_key", "^app=", ""))
-        corrupt = kept(corrupt_files(lines), "corrupt-files")
-        _LOGS[key] = EventLog.organise(clean(lines, corrupt))
-        in_corrupt = lines.join(F.broadcast(corrupt), ["app_key", "file"], "left_semi")
-        _LOGS[key].tables["corrupt"] = kept(cleaning_report(in_corrupt, corrupt).where(c("corrupt")), "corrupt")
+        _LOGS[key] = EventLog.read(lines)
     return _LOGS[key]

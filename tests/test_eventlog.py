@@ -205,3 +205,29 @@ def test_lines_are_not_sorted_to_be_stored_by_event(spark, monkeypatch):
     assert seen == [64] and spark.conf.get(key) == before
     assert log.lines.count() == len(_oom_events())
     assert all(".zstd." in f for f in E.task_ends(log).inputFiles())
+
+
+def test_a_raw_log_is_read_once_and_gives_the_clean_rows(spark, tmp_path):
+    from tallyforge.sources.files import read_lines
+
+    good, bad = [json.dumps(e, separators=(",", ":")) for e in _oom_events()], '{"Event":"SparkListenerTaskEnd","Sta'
+    texts = {"events_1": [*good, json.dumps({"log": good[0]}), "noise", "", good[1]], "events_2": [good[0], "noise", bad, *good, bad], "events_3": ['{"log" broken', good[2]],
+             "events_4": ["noise", json.dumps({"log": ""}), '{"Event":5}', json.dumps({"log": bad})], "events_5": [""]}
+    for file, lines in texts.items():
+        (tmp_path / "app").mkdir(exist_ok=True)
+        (tmp_path / "app" / file).write_text("\n".join(lines))
+    frame = read_lines(spark, str(tmp_path))
+    rows = lambda f: sorted(map(tuple, f.collect()), key=repr)
+    log, plain = E.EventLog.read(frame), E.EventLog(E.clean(frame))
+    fields = ["app_key", "file", "line_id", "value"]
+    assert rows(log.lines.select(fields)) == rows(plain.lines.select(fields)) and log.lines.count() == len(good) + 4
+    assert rows(log.tables["corrupt"]) == rows(E.cleaning_report(frame).where("corrupt")) and log.tables["corrupt"].count() == 3
+    assert not any("events_" in f.rsplit("/", 1)[1] for f in log.lines.inputFiles())  # the text is not read again
+    for table in (E.findings, E.query_breakdown, E.application_summary):
+        assert rows(table(log)) == rows(table(plain))
+
+
+def test_a_line_is_parsed_once(spark):
+    log = E.EventLog(_log(spark, _oom_events()).localCheckpoint())
+    for table in (E.task_ends, E.task_starts):
+        assert table(log)._jdf.queryExecution().executedPlan().toString().count("from_json(") == 1
