@@ -127,6 +127,17 @@ def test_signatures_are_found_in_every_field(spark):
     assert any("Loss" not in x and "exceeding memory limits" in x for x in examples) and E.signature_examples(log, 1).count() <= 4
 
 
+def test_raw_lines_are_lowered_once_before_the_patterns(spark):
+    events = [*_base(), _task(1), _task(2, reason={"Reason": "ExceptionFailure", "Class Name": "JAVA.LANG.OUTOFMEMORYERROR"}), {"Event": "SparkListenerX", "Text": None}]
+    log = E.EventLog(_log(spark, events).unionByName(_log(spark, ["lost, but no event"], "other")))
+    raw = E.raw_line_texts(log)
+    assert [r.source for r in raw.collect()] == ["raw_event_line"]
+    plan = raw.where("text rlike '(?i)outofmemory'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and plan.index("RLIKE") < plan.index("Generate")  # the pattern is a condition behind the explode
+    assert "rlike" not in plan[plan.index("Generate"):].lower()
+    assert [r.stage_id for r in E.deep_stages(log).collect()] == [2]
+
+
 def test_long_texts_stay_whole_and_all_suspect_stages_are_parsed(spark):
     reason = "lost " + "x" * 2000
     events = [*_base(), {"Event": "SparkListenerExecutorAdded", "Executor ID": "9", "Timestamp": 1, "Executor Info": {"Host": "h"}},
