@@ -406,3 +406,21 @@ def test_versions_stream_into_open_files(spark, monkeypatch):
     V.compact(spark, path, datetime(2024, 1, 3), None, ("k",))
     assert seen == [str(V.OPEN_FILES)] * 3 and spark.conf.get(name) == before
     assert sorted(r.id for r in V.read(spark, path).collect()) == list(range(200))
+
+
+def test_car_text_holds_no_keys_of_the_join(spark, tmp_path, monkeypatch):
+    from tallyforge.ml import queries
+    from tallyforge.sources.tables import Tables
+
+    class Read(Exception):
+        pass
+
+    def stop(_, path):
+        raise Read(path)
+
+    spark.createDataFrame([(1, 7, 900.0)], "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(5, 1, 3.0, 0.05, 0.02)], "l_orderkey long, l_partkey long, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(queries, "read_csv", stop)
+    with pytest.raises(Read) as path:
+        queries.fuel_economy(Tables(spark, str(tmp_path)))
+    assert spark.read.option("header", True).csv(str(path.value)).columns == ["l_orderkey", "cylinders", "displacement", "horsepower", "weight", "acceleration", "mpg"]
