@@ -337,13 +337,12 @@ def signature_texts(log: EventLog) -> DataFrame:
 def raw_line_texts(log: EventLog) -> DataFrame:
     """Every event line that holds a word of a signature, unparsed; the first pass over a very large log.
 
-    The text comes out of an explode with its lower case, so that the words are looked for in one lower-cased text, and
-    conditions on the text stay behind the words.
+    Most lines hold no piece of a signature, which one pass over the line as it is tells; only the others are lower-cased and
+    looked through for the words. The text comes out of an explode, so that conditions on it stay behind these two.
     """
-    both = F.explode(F.array(F.struct(c("value").alias("text"), F.lower("value").alias("lower"))))
-    lines = log.lines.where(c("event") != "").select("app_key", both.alias("line"))
-    anchored = reduce(lambda a, b: a | b, [c("line.lower").contains(word) for word in rules.ANCHORS])
-    return lines.where(anchored).select("app_key", F.lit("raw_event_line").alias("source"), c("line.text").alias("text"))
+    lines = log.lines.where(c("event") != "").select("app_key", F.explode(F.array("value")).alias("text"))
+    anchored = c("text").rlike(rules.PIECE) & F.lower("text").rlike("|".join(rules.ANCHORS))
+    return lines.where(anchored).select("app_key", F.lit("raw_event_line").alias("source"), "text")
 
 
 def signature_hits(log: EventLog, texts: DataFrame | None = None) -> DataFrame:

@@ -18,6 +18,11 @@ ANCHORS = ("oomkilled", "exit code 137", "container", "killed by yarn", "exceed"
            "array size", "direct buffer", "native memory", "netty", "fetchfailed", "failed to connect", "missing an output", "shuffle block",
            "executordead", "lost", "disassociated")
 
+# Each text that matches a signature holds one of these three letters in a row, which the keys of a task's event don't.
+PIECES = ("xce", "xit", "los", "con", "mki", "p s", "ver", "yer", "buf", "ve ", "net", "g a", "not", "pc ")
+# One pass over a text: three classes of letters first, the pieces themselves only where all three fit.
+PIECE = "(?i)" + "".join("[" + "".join(sorted({p[i] for p in PIECES})) + "]" for i in range(3)) + "(?<=" + "|".join(PIECES) + ")"
+
 # Where an event line names its event, its stage and the stage's attempt. Fixed by the format of the log.
 EVENT_KEY = r'"Event"\s*:\s*"([^"]+)"'
 STAGE_KEY = r'"Stage ID"\s*:\s*(-?\d+)'

@@ -113,6 +113,19 @@ def test_every_signature_pattern_holds_an_anchor():
             assert any(anchor in literal for anchor in rules.ANCHORS), pattern
 
 
+def test_one_pass_over_a_line_tells_that_it_holds_no_signature(spark):
+    """Each signature passes in either case, an ordinary task's lines don't, and no line is lower-cased before that."""
+    from re import search
+
+    for _, patterns in rules.SIGNATURES.values():
+        for pattern in patterns:
+            text = pattern.replace("\\b", "").replace("(?:ed|ing)", "ing").replace("(?:killed|kill)", "kill").replace(".*", " of ")
+            assert search(pattern, text) and search(rules.PIECE, text) and search(rules.PIECE, f"A {text.upper()}."), pattern
+    assert not any(search(rules.PIECE, line) for line in map(json.dumps, [_task(1), _start(1, 0)]))
+    plan = E.raw_line_texts(E.EventLog(_log(spark, [*_base(), _task(1)])))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("lower(") < plan.index("Generate") and "Contains" not in plan
+
+
 def test_signatures_are_found_in_every_field(spark):
     lost = {"Reason": "ExecutorLostFailure", "Executor ID": "4", "Loss Reason": "Container killed by YARN for exceeding memory limits"}
     deep = {"Reason": "ExceptionFailure", "Class Name": "x.Y", "Full Stack Trace": "at a\nCaused by: java.lang.OutOfMemoryError: Java heap space"}
