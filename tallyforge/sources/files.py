@@ -20,24 +20,69 @@ def read_csv(spark: SparkSession, path: str, header: bool = True, sep: str = ","
     return reader.csv(path)
 
 
-def read_whole_texts(spark: SparkSession, path: str, min_splits: int = 100, max_split_bytes: int = 128 << 20) -> DataFrame:
+def read_whole_texts(spark: SparkSession, path: str, min_splits: int = 100, max_split_bytes: int = 128 << 20, max_files: int = 50_000) -> DataFrame:
     """One row (path, text) per file, for many small documents, in ``min_splits`` splits or more if there are as many files.
 
+    The driver holds the listing of what a read opens. Where the folders of ``path`` have more than ``max_files`` files
+    together, they are read one group of folders after the other, each with ``max_files`` files at most or one folder, and
+    the texts stored, so that only the listing of one group is held at a time.
+    """
+    groups = _folder_groups(spark, path, max_files)
+    if len(groups) < 2:
+        return _whole_texts(spark, [path], min_splits, max_split_bytes)
+    from ..session import scratch
+
+    out = scratch(spark, "whole-texts")
+    stored = [f"{out}/{i}" for i in range(len(groups))]
+    for folders, target in zip(groups, stored):
+        _whole_texts(spark, folders, min_splits, max_split_bytes).write.option("compression", "zstd").parquet(target)
+    return spark.read.parquet(*stored)
+
+
+def _folder_groups(spark: SparkSession, path: str, max_files: int) -> list[list[str]]:
+    """The folders of ``path`` in groups of ``max_files`` files at most, a larger folder by itself; none if files lie beside
+    folders or a folder holds folders. Files are listed one folder at a time."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    groups, held, folders = [], 0, []
+    listed = fs.listStatusIterator(at) if fs.exists(at) else None
+    while listed is not None and listed.hasNext():
+        status = listed.next()
+        if status.getPath().getName()[0] in "_.":
+            continue
+        if not status.isDirectory():
+            return []
+        folders.append(status.getPath())
+    for folder in sorted(folders, key=lambda f: f.toString()):
+        inside = fs.getContentSummary(folder)
+        if inside.getDirectoryCount() > 1:
+            return []
+        if not groups or held + inside.getFileCount() > max_files:
+            groups, held = [*groups, []], 0
+        groups[-1].append(folder.toString())
+        held += inside.getFileCount()
+    return groups
+
+
+def _whole_texts(spark: SparkSession, paths: list[str], min_splits: int, max_split_bytes: int) -> DataFrame:
+    """The texts of one read.
+
     The reader packs files into splits of a size that follows from the listing (number and bytes of the files), so
     no text is shuffled for it. The size is a setting of a session, so the read has a session of its own with
     the other settings of ``spark``; an empty file counts as one byte.
     """
-    listed = spark.read.format("binaryFile").load(path).agg(F.count("*").alias("files"), F.coalesce(F.sum(F.greatest("length", F.lit(1))), F.lit(0)).alias("bytes")).first()
     own = spark.newSession()
     for key, value in spark.conf.getAll.items():
         if spark.conf.isModifiable(key):
             own.conf.set(key, value)
+    own.conf.set("spark.sql.hive.filesourcePartitionFileCacheSize", 0)  # else the driver keeps listings that nothing reads again
+    listed = own.read.format("binaryFile").load(paths).agg(F.count("*").alias("files"), F.coalesce(F.sum(F.greatest("length", F.lit(1))), F.lit(0)).alias("bytes")).first()
     each = max(1, listed.bytes // max(1, listed.files) // 16)  # the cost of opening a file: little beside its bytes
     size = max(1, (listed.bytes + each * listed.files) // max(1, min_splits))
     own.conf.set("spark.sql.files.maxPartitionBytes", min(size, max_split_bytes))
     own.conf.set("spark.sql.files.openCostInBytes", each)
     own.conf.set("spark.sql.files.minPartitionNum", min_splits)
-    return own.read.text(path, wholetext=True).select(c("_metadata.file_path").alias("path"), c("value").alias("text"))
+    return own.read.text(paths, wholetext=True).select(c("_metadata.file_path").alias("path"), c("value").alias("text"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

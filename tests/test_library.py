@@ -296,6 +296,28 @@ def test_whole_texts_come_in_many_splits_without_a_shuffle(spark):
     assert files.read_whole_texts(spark, path).count() == spark.read.text(path, wholetext=True).count()
 
 
+def test_whole_texts_are_listed_one_group_of_folders_at_a_time(spark, monkeypatch):
+    """No read opens more files than the driver may list, a folder of more is read by itself, and the rows are those of one read."""
+    from tallyforge.catalogue import QUERIES
+    from tallyforge.sources import queries as sources
+
+    folder = scratch(spark, "pages")
+    rows = [(None, None, None), (None, None, None), *[(i, f"u{i}", f"<p>{i}\n</p>" if i % 7 else None) for i in range(300)]]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    groups, plain = [], files._whole_texts
+
+    def seen(spark, paths, *more):
+        groups.append(plain(spark, paths, *more).count())
+        return plain(spark, paths, *more)
+
+    monkeypatch.setattr(files, "_whole_texts", seen)
+    monkeypatch.setattr(sources, "FOLDER_FILES", 5)
+    monkeypatch.setattr(files.read_whole_texts, "__defaults__", (*files.read_whole_texts.__defaults__[:2], 40))
+    got = QUERIES["src_10_whole_texts"](spark, folder).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(((None if i is None else str(i), html, True) for i, _, html in rows), key=repr)
+    assert len(groups) > 7 and max(groups) <= 40 and sum(groups) == len(rows)
+
+
 def test_a_page_without_html_stays_null(spark):
     from tallyforge.catalogue import QUERIES
 
